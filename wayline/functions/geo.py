@@ -12,7 +12,7 @@ def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colu
     dlat = F.radians(lat2 - lat1)
     dlng = F.radians(lng2 - lng1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
-    return F.lit(2 * V.EARTH_RADIUS_KM) * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    return F.lit(2 * V.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def planar_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

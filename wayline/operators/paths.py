@@ -24,13 +24,17 @@ def _leg_km() -> Column:
     return haversine_km(F.col("prev_lng"), F.col("prev_lat"), F.col("lng"), F.col("lat"))
 
 
+def _previous() -> dict[str, Column]:
+    return {"prev_lng": F.col("lng"), "prev_lat": F.col("lat")}
+
+
 def with_legs(scan: OrderedScan) -> OrderedScan:
     """Distance from the previous point of the path (null on the first)."""
-    return scan.extend(lag={"prev_lng": F.col("lng"), "prev_lat": F.col("lat")}).with_columns({"leg_km": _leg_km()})
+    return scan.extend(lag=_previous(), derived={"leg_km": _leg_km()})
 
 
 def with_cumulative(scan: OrderedScan) -> OrderedScan:
-    return with_legs(scan).extend(running_sum={"cum_km": F.col("leg_km")})
+    return scan.extend(lag=_previous(), derived={"leg_km": _leg_km()}, running_sum={"cum_km": F.col("leg_km")})
 
 
 def path_lengths(scan: OrderedScan) -> DataFrame:
@@ -50,29 +54,33 @@ def dedupe_consecutive(scan: OrderedScan) -> DataFrame:
     return rows.where(F.col("prev_token").isNull() | (F.col("prev_token") != here)).drop("prev_token")
 
 
-def _numbered_pieces(scan: OrderedScan, joined_to_prev: Column, joined_to_next: Column, name: str) -> OrderedScan:
-    """Number the pieces of at least two points; a point joined to no neighbour is in none."""
-    opens = F.when(~joined_to_prev & joined_to_next, F.lit(1)).otherwise(F.lit(0))
-    return scan.extend(running_sum={name: opens}).with_columns({"_kept": joined_to_prev | joined_to_next})
+def number_pieces(
+    scan: OrderedScan, lag: dict[str, Column], lead: dict[str, Column], derived: dict[str, Column], before: Column, after: Column, name: str
+) -> DataFrame:
+    """Number the pieces of at least two points from 1; a point joined to no neighbour is in none.
+
+    ``before`` and ``after`` say whether a point is joined to the one before and after it.
+    """
+    opens = F.when(~before & after, F.lit(1)).otherwise(F.lit(0))
+    return scan.extend(lag=lag, lead=lead, derived={**derived, "_kept": before | after, "_opens": opens}, running_sum={name: F.col("_opens")}).df.where(
+        "_kept"
+    ).drop("_kept", "_opens", *lag, *lead)
 
 
 def runs_in_box(scan: OrderedScan, box=V.BUILD_BOX) -> DataFrame:
     """Maximal runs of at least two consecutive points inside the box, numbered from 1 per path."""
     inside = in_box(F.col("lng"), F.col("lat"), box)
-    scan = scan.with_columns({"_in": inside}).extend(lag={"_prev_in": F.col("_in")}, lead={"_next_in": F.col("_in")})
-    before = F.col("_in") & F.coalesce(F.col("_prev_in"), F.lit(False))
-    after = F.col("_in") & F.coalesce(F.col("_next_in"), F.lit(False))
-    rows = _numbered_pieces(scan, before, after, "run").df
-    return rows.where("_kept").drop("_in", "_prev_in", "_next_in", "_kept")
+    before = inside & F.coalesce(F.col("_prev_in"), F.lit(False))
+    after = inside & F.coalesce(F.col("_next_in"), F.lit(False))
+    return number_pieces(scan, {"_prev_in": inside}, {"_next_in": inside}, {}, before, after, "run")
 
 
 def split_at_gaps(scan: OrderedScan, limit_km: float = V.MAX_CHORD_KM) -> DataFrame:
     """Cut a path at every leg above the limit; pieces of one point vanish."""
-    scan = with_legs(scan).extend(lead={"next_leg_km": F.col("leg_km")})
-    before = F.coalesce(F.col("leg_km") <= limit_km, F.lit(False))
-    after = F.coalesce(F.col("next_leg_km") <= limit_km, F.lit(False))
-    rows = _numbered_pieces(scan, before, after, "piece").df
-    return rows.where("_kept").drop("_kept", "next_leg_km", "prev_lng", "prev_lat", "leg_km")
+    next_km = haversine_km(F.col("lng"), F.col("lat"), F.col("_next_lng"), F.col("_next_lat"))
+    before = F.coalesce(_leg_km() <= limit_km, F.lit(False))
+    after = F.coalesce(next_km <= limit_km, F.lit(False))
+    return number_pieces(scan, _previous(), {"_next_lng": F.col("lng"), "_next_lat": F.col("lat")}, {}, before, after, "piece")
 
 
 def with_progress(scan: OrderedScan) -> OrderedScan:
@@ -93,19 +101,18 @@ def loop_metrics(scan: OrderedScan) -> DataFrame:
     """
     keys = scan.keys
     ends = scan.extend(
-        lag={"prev_lng": F.col("lng"), "prev_lat": F.col("lat")},
-        first={"lng0": F.col("lng"), "lat0": F.col("lat")},
-        last={"lng1": F.col("lng"), "lat1": F.col("lat")},
-        position="_pos",
+        first={"lng0": F.col("lng"), "lat0": F.col("lat")}, last={"lng1": F.col("lng"), "lat1": F.col("lat")}
     )
     axis = [F.col(c) for c in ("lng0", "lat0", "lng1", "lat1")]
-    measured = ends.with_columns(
-        {
+    measured = ends.extend(
+        lag=_previous(), position="_pos",
+        derived={
             "leg_km": _leg_km(),
             "progress_km": axis_progress(F.col("lng"), F.col("lat"), *axis),
             "_prev_km": axis_progress(F.col("prev_lng"), F.col("prev_lat"), *axis),
-        }
-    ).extend(running_sum={"cum_km": F.col("leg_km")}, running_max={"peak_km": F.col("progress_km")})
+        },
+        running_sum={"cum_km": F.col("leg_km")}, running_max={"peak_km": F.col("progress_km")},
+    )
     visits = measured.df.groupBy(*keys, token(F.col("lng"), F.col("lat")).alias("token")).agg(
         F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"),
         F.min("cum_km").alias("first_km"), F.max("cum_km").alias("last_km"),

@@ -9,7 +9,7 @@ from wayline import fixed_values as V
 from wayline.functions.geo import array_path_km, haversine_km, in_box, request_signature, token
 from wayline.functions.numbers import finite
 from wayline.operators.ordered import OrderedScan, block_chunk
-from wayline.operators.paths import _numbered_pieces, loop_metrics, path_scan, segments
+from wayline.operators.paths import loop_metrics, number_pieces, path_scan, segments
 
 # cache row: segment string, signature string, audit_version string, points array<struct<lng,lat>>
 
@@ -113,11 +113,10 @@ def repair_gaps(scan: OrderedScan, cache: DataFrame, limit_km: float = V.MAX_CHO
         *keys, "ix", F.posexplode(refill).alias("sub", "p"), F.col("cut")
     ).select(*keys, "ix", "sub", "p.lng", "p.lat", (~F.col("cut")).alias("repaired"), "cut")
     joined = OrderedScan(plain.unionByName(patched), keys, ["ix", "sub"], block_chunk("ix"))
-    joined = joined.extend(lag={"_prev_lng": F.col("lng")}, lead={"_next_cut": F.col("cut")})
     before = F.col("_prev_lng").isNotNull() & ~F.col("cut")
     after = F.coalesce(~F.col("_next_cut"), F.lit(False))
-    rows = _numbered_pieces(joined, before, after, "piece").df
-    return rows.where("_kept").select(*keys, "piece", "ix", "sub", "lng", "lat", "repaired")
+    rows = number_pieces(joined, {"_prev_lng": F.col("lng")}, {"_next_cut": F.col("cut")}, {}, before, after, "piece")
+    return rows.select(*keys, "piece", "ix", "sub", "lng", "lat", "repaired")
 
 
 def missing_gaps(gaps: DataFrame, cache: DataFrame) -> DataFrame:

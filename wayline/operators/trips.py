@@ -21,13 +21,14 @@ def trip_progress(scan: OrderedScan, now: Column) -> DataFrame:
     The next stop is the first in stop order whose time lies after ``now``; the one before it
     is the previous stop. Trips not yet started, already ended or with one timed stop drop out.
     """
-    (trip,), (seq,) = scan.keys, scan.order
+    (trip,) = scan.keys
+    seq = F.struct(*scan.order)
     rows = scan.extend(lag={"prev_stop": F.col("stop"), "prev_time": F.col("time")}).df
     ahead = F.col("time") > now
     found = rows.groupBy(trip).agg(
         F.count(F.lit(1)).alias("stops"),
         F.min_by(F.struct("prev_stop", "prev_time", F.col("stop").alias("next_stop"), F.col("time").alias("next_time")),
-                 F.when(ahead, F.col(seq))).alias("n"),
+                 F.when(ahead, seq)).alias("n"),
         F.max_by("stop", seq).alias("dest_stop"),
     )
     span = F.greatest(F.lit(1.0), (F.col("next_time") - F.col("prev_time")).cast("double"))

@@ -68,32 +68,39 @@ def dry_pieces(points: DataFrame, edges: DataFrame, keys: list[str], buffer: flo
         salted = touched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = located.withColumn("salt", F.pmod(F.hash(*keys, "ix"), F.lit(SALTS))).join(salted, ["cx", "cy", "salt"]).drop("salt")
     shape = [*keys, "ix", "sx", "sy", "ex", "ey", "ax", "ay", "bx", "by"]
-    cuts = met.select(*shape, F.explode(_cut_parameters(buffer)).alias("t"))
-    marks = cuts.distinct().unionByName(legs.select(*shape, F.lit(0.0).alias("t")))
+    cuts = met.select(*shape, "cx", "cy", F.explode(_cut_parameters(buffer)).alias("t"))
+    # a segment and an edge may share several cells; the cell of the cut itself reports it
+    cut_x, cut_y = (F.col(a) + (F.col(b) - F.col(a)) * F.col("t") for a, b in (("sx", "ex"), ("sy", "ey")))
+    own_cell = (F.floor(cut_x / cell) == F.col("cx")) & (F.floor(cut_y / cell) == F.col("cy"))
+    marks = cuts.where(own_cell).drop("cx", "cy").unionByName(legs.select(*shape, F.lit(0.0).alias("t")))
     ordered = OrderedScan(marks, keys, ["ix", "t"], block_chunk("ix")).extend(lead={"_next_ix": F.col("ix"), "_next_t": F.col("t")})
     until = F.when(F.col("_next_ix") == F.col("ix"), F.col("_next_t")).otherwise(1.0)
     span = lambda a, b, t: a + (b - a) * t
     sx, sy, ex, ey = (F.col(c) for c in ("sx", "sy", "ex", "ey"))
     half = (F.col("t") + F.col("u")) / 2
-    pieces = ordered.with_columns({"u": until}).with_columns(
+    pieces = ordered.with_columns({"u": until}).transform(lambda df: df.where(F.col("u") > F.col("t"))).with_columns(
         {
             "x0": span(sx, ex, F.col("t")), "y0": span(sy, ey, F.col("t")), "x1": span(sx, ex, F.col("u")), "y1": span(sy, ey, F.col("u")),
             "lng": span(sx, ex, half), "lat": span(sy, ey, half),
         }
-    ).df.drop("_next_ix", "_next_t", "sx", "sy", "ex", "ey")
-    ids = [*keys, "ix", "t"]
-    flagged = near_edges(
-        assign_regions(pieces, edges, point_id=ids), edges.where(F.col("region") == "water"), buffer, "near_water", ids, cell
     )
-    dry = flagged.withColumn("dry", _is_dry(F.col("regions"), F.col("near_water"))).drop("regions", "near_water", "lng", "lat", "u")
-    return OrderedScan(dry, keys, ["ix", "t"], block_chunk("ix"))
+    ids = [*keys, "ix", "t"]
+    water = edges.where(F.col("region") == "water")
+
+    def classify(df: DataFrame) -> DataFrame:
+        slim = df.drop("_next_ix", "_next_t", "sx", "sy", "ex", "ey")
+        flagged = near_edges(assign_regions(slim, edges, point_id=ids), water, buffer, "near_water", ids, cell)
+        return flagged.withColumn("dry", _is_dry(F.col("regions"), F.col("near_water"))).drop("regions", "near_water", "lng", "lat", "u")
+
+    return pieces.transform(classify)
 
 
 def dry_runs(points: DataFrame, edges: DataFrame, keys: list[str], **options) -> DataFrame:
     """Maximal dry stretches per path with planar length in degrees, terminal flag and verdict."""
-    scan = dry_pieces(points, edges, keys, **options).extend(lag={"_was": F.col("dry")})
     opens = F.when(F.col("dry") & ~F.coalesce("_was", F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    rows = scan.extend(running_sum={"run": opens}).df.where("dry")
+    rows = dry_pieces(points, edges, keys, **options).extend(
+        lag={"_was": F.col("dry")}, derived={"_opens": opens}, running_sum={"run": F.col("_opens")}
+    ).df.where("dry")
     reach = lambda x, y: segment_distance(F.col(x), F.col(y), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     runs = rows.groupBy(*keys, "run").agg(
         F.sum(planar_distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("length_deg"),

@@ -27,7 +27,7 @@ def fold_vessels(messages: DataFrame, prune_s: float = V.VESSEL_PRUNE_S, chunk:
     prune_us = F.lit(int(prune_s * 1_000_000))
     scan = OrderedScan(messages, ["mmsi"], ["at_us"], time_chunk("at_us") if chunk is None else chunk)
     position = ~F.col("is_static")
-    scan = scan.extend(running_max={"_pos": F.when(position, F.col("at_us"))}).extend(lag={"_prev": F.col("_pos")})
+    scan = scan.extend(max_before={"_prev": F.when(position, F.col("at_us"))})
     fresh = F.coalesce(F.col("at_us") - F.col("_prev") <= prune_us, F.lit(False))
     scan = scan.extend(running_max={"_session": F.when(position & ~fresh, F.col("at_us"))})
     rows = scan.df.where(position | fresh)
