@@ -15,6 +15,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.session import cut_lineage
+
 CHUNK = "_chunk"
 
 
@@ -52,6 +54,10 @@ class OrderedScan:
         """Apply a row-wise step (filter, map-side join) that keeps the columns of the scan."""
         return self._next(fn(self._rows))
 
+    def settle(self) -> OrderedScan:
+        """Materialise the rows in the checkpoint folder, so later passes do not repeat costly steps."""
+        return self._next(cut_lineage(self._rows))
+
     def _next(self, rows: DataFrame) -> OrderedScan:
         return OrderedScan(rows, self.keys, self.order, self._chunk, _prepared=True)
 

@@ -92,7 +92,7 @@ def repair_gaps(scan: OrderedScan, cache: DataFrame, limit_km: float = V.MAX_CHO
     ``repaired``. Pieces of one point vanish.
     """
     keys = scan.keys
-    legs = segments(scan).df
+    legs = segments(scan).settle().df
     gap = F.coalesce(F.col("leg_km") > limit_km, F.lit(False))
     plain = legs.where(~gap).select(
         *keys, "ix", F.lit(0).alias("sub"), "lng", "lat", F.lit(False).alias("repaired"), F.lit(False).alias("cut")

@@ -59,7 +59,7 @@ def dry_pieces(points: DataFrame, edges: DataFrame, keys: list[str], buffer: flo
     scan = OrderedScan(points, keys, ["ix"], block_chunk("ix")).extend(
         lag={"sx": F.col("lng"), "sy": F.col("lat")}, first={"ax": F.col("lng"), "ay": F.col("lat")}, last={"bx": F.col("lng"), "by": F.col("lat")}
     )
-    legs = scan.df.where(F.col("sx").isNotNull()).withColumnsRenamed({"lng": "ex", "lat": "ey"})
+    legs = scan.settle().df.where(F.col("sx").isNotNull()).withColumnsRenamed({"lng": "ex", "lat": "ey"})
     touched = edge_cells(edges, cell, buffer)
     located = _cells(legs, F.least("sx", "ex"), F.greatest("sx", "ex"), F.least("sy", "ey"), F.greatest("sy", "ey"), cell)
     if row_bound(edges, MAX_BROADCAST_EDGES):
@@ -92,7 +92,7 @@ def dry_pieces(points: DataFrame, edges: DataFrame, keys: list[str], buffer: flo
         flagged = near_edges(assign_regions(slim, edges, point_id=ids), water, buffer, "near_water", ids, cell)
         return flagged.withColumn("dry", _is_dry(F.col("regions"), F.col("near_water"))).drop("regions", "near_water", "lng", "lat", "u")
 
-    return pieces.transform(classify)
+    return pieces.transform(classify).settle()
 
 
 def dry_runs(points: DataFrame, edges: DataFrame, keys: list[str], **options) -> DataFrame:

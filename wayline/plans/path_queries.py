@@ -12,6 +12,7 @@ from wayline.operators.polyline import decode_polyline, distinct_shapes, encode_
 from wayline.operators.simplify import simplify
 from wayline.operators.water import dry_runs, failing_routes, inland_controls
 from wayline.operators.regions import edges_from_rings
+from wayline.session import cut_lineage
 from wayline.plans.base import (
     FIX, FIXPATH, SHAPE, SHAPEPT, TRACK, WPATH, edge_values, fix_scan, fixes, inside_cte, km, query, r6, shapes, table, track,
     track_scan, with_ctes,
@@ -198,9 +199,9 @@ def _track_ix(spark, sf):
     return scan.df.select("path", F.col("ix").cast("bigint").alias("ix"), "lng", "lat")
 
 
-@query("GEO02 FN02", _simplify_sql(0.05))
+@query("GEO02 FN02", _simplify_sql(0.02))
 def simplified(spark, sf):
-    return simplify(_track_ix(spark, sf), ["path"], tolerance=0.05)
+    return simplify(_track_ix(spark, sf), ["path"], tolerance=0.02)
 
 
 @query("GEO03", _simplify_sql(0.05, 40.0))
@@ -243,7 +244,7 @@ pc AS (SELECT *, sum(CASE WHEN leg_km > 20 AND NOT fixed THEN 1 ELSE 0 END) OVER
 keep AS (SELECT path, brk, sum(pts) AS points, sum(CASE WHEN fixed THEN 1 ELSE 0 END) AS repairs FROM pc GROUP BY path, brk HAVING sum(pts) >= 2)""", """
 SELECT path, dense_rank() OVER (PARTITION BY path ORDER BY brk) AS piece, CAST(points AS BIGINT) AS points, CAST(repairs AS BIGINT) AS repairs FROM keep"""))
 def gap_repair(spark, sf):
-    cache = G.validate_roads(_road_cache(spark, sf)).where(F.size("errors") == 0)
+    cache = cut_lineage(G.validate_roads(cut_lineage(_road_cache(spark, sf))).where(F.size("errors") == 0))
     rows = G.repair_gaps(track_scan(spark, sf).extend(position="ix").select("path", "ts_us", "id", "ix", "lng", "lat"), cache)
     return rows.groupBy("path", "piece").agg(
         F.count(F.lit(1)).alias("points"), F.count_if(F.col("repaired") & (F.col("sub") == 2)).alias("repairs")
