@@ -91,8 +91,12 @@ def repair_gaps(scan: OrderedScan, cache: DataFrame, limit_km: float = V.MAX_CHO
     cache; all other rows pass through. Result: keys, ``piece``, ``ix``, ``sub``, lng, lat,
     ``repaired``. Pieces of one point vanish.
     """
-    keys = scan.keys
-    legs = segments(scan).settle().df
+    return repair_legs(segments(scan).settle(), cache, limit_km)
+
+
+def repair_legs(scan: OrderedScan, cache: DataFrame, limit_km: float = V.MAX_CHORD_KM) -> DataFrame:
+    """``repair_gaps`` over rows that carry their segments already."""
+    keys, legs = scan.keys, scan.df
     gap = F.coalesce(F.col("leg_km") > limit_km, F.lit(False))
     plain = legs.where(~gap).select(
         *keys, "ix", F.lit(0).alias("sub"), "lng", "lat", F.lit(False).alias("repaired"), F.lit(False).alias("cut")

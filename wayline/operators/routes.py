@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from wayline import fixed_values as V
 from wayline.functions.text import non_empty, route_label, source_url
 from wayline.operators.normalise import decode
-from wayline.operators.paths import ordered_points, path_scan, runs_in_box
+from wayline.operators.paths import ordered_points, path_scan, runs_in_box, segments
 from wayline.operators.regions import assign_regions, ordered_regions, path_regions
-from wayline.operators.repair import find_gaps, missing_gaps, repair_gaps
+from wayline.operators.repair import missing_gaps, repair_legs
 from wayline.operators.simplify import simplify
+from wayline.session import cut_lineage
 from wayline.operators.trips import fallback_points, fallback_trips, route_shapes, routes_by_stop, select_routes, shape_points
 
 
@@ -75,26 +76,27 @@ def assemble_routes(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFra
     bare = fallback_points(gtfs["stop_times"], gtfs["stops"], fallback_trips(gtfs["trips"], routes))
     keys = ["feed", "route_id", "path"]
     raw = shaped.unionByName(bare)
-    scan = path_scan(raw, keys, ["seq", "lng", "lat"]).extend(position="ix")
+    scan = path_scan(raw, keys, ["seq", "lng", "lat"]).extend(position="ix").settle()
     runs = runs_in_box(scan).withColumns(
         {"path": F.concat_ws("#", "path", F.col("run").cast("string"))}
     ).select(*keys, F.col("ix").cast("bigint").alias("ix"), "lng", "lat")
+    runs = cut_lineage(runs)
 
-    source_regions = path_regions(runs, edges, keys)
+    source_regions = cut_lineage(path_regions(runs, edges, keys))
     rules = routes.select("feed", "route_id", "kind", F.coalesce("require_region_match", F.lit(False)).alias("required"))
     kept = runs.join(rules, ["feed", "route_id"]).join(source_regions, keys, "left")
     kept = kept.where(~F.col("required") | F.col("found").isNotNull()).drop("found", "required")
     rounded = kept.withColumns({"lng": F.round("lng", 5), "lat": F.round("lat", 5)})
 
-    buses = path_scan(rounded.where(F.col("kind") == 3).select(*keys, "ix", "lng", "lat"), keys)
-    gaps = find_gaps(buses)
-    repaired = repair_gaps(buses, roads)
+    legs = segments(path_scan(rounded.where(F.col("kind") == 3).select(*keys, "ix", "lng", "lat"), keys)).settle()
+    gaps = legs.df.where(F.col("leg_km") > V.MAX_CHORD_KM)
+    repaired = cut_lineage(repair_legs(legs, roads))
     approximate = repaired.where("repaired").select("feed", "route_id").distinct().withColumn("approximate", F.lit(True))
     pieces = repaired.withColumn("path", F.concat_ws("/", "path", F.col("piece").cast("string")))
     numbered = path_scan(pieces, keys, ["ix", "sub"]).extend(position="pos").df.select(*keys, F.col("pos").alias("ix"), "lng", "lat")
-    bus_paths = simplify(numbered, keys, chord_km=V.MAX_CHORD_KM)
+    bus_paths = simplify(cut_lineage(numbered), keys, chord_km=V.MAX_CHORD_KM, dense=True)
     other_paths = simplify(rounded.where(F.col("kind") != 3).select(*keys, "ix", "lng", "lat"), keys)
-    paths = bus_paths.unionByName(other_paths)
+    paths = cut_lineage(bus_paths.unionByName(other_paths))
 
     route_keys = ["feed", "route_id"]
     original = source_regions.join(kept.select(*keys).distinct(), keys, "left_semi")

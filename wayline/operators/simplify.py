@@ -116,24 +116,26 @@ def simplify(
     chord_km: float | None = None,
     local_points: int = LOCAL_POINTS,
     chunk: Column | None = None,
+    dense: bool = False,
 ) -> DataFrame:
     """Keep the farthest point of a span while it is beyond ``tolerance``; ``chord_km`` also halves long chords.
 
-    ``ix`` of the result numbers the points of the input path from 0.
+    ``ix`` of the result numbers the points of the input path from 0; ``dense`` says that the
+    input is numbered so already.
     """
     keys = list(keys)
-    dense = path_scan(points, keys, chunk=chunk).extend(position="_pos").df.select(
-        *keys, F.col("_pos").cast("bigint").alias("ix"), F.col("lng").cast("double"), F.col("lat").cast("double")
-    )
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if not dense:
+        points = path_scan(points, keys, chunk=chunk).extend(position="_pos").df.drop("ix").withColumnRenamed("_pos", "ix")
+    dense_points = points.select(*keys, F.col("ix").cast("bigint").alias("ix"), F.col("lng").cast("double"), F.col("lat").cast("double"))
+    sizes = dense_points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     oversized = sizes.where(F.col("n") > local_points).select(*keys)
     if row_bound(oversized, 0):
-        spans = dense.withColumns({"lo": F.lit(0).cast("bigint"), "tail": F.lit(True)})
+        spans = dense_points.withColumns({"lo": F.lit(0).cast("bigint"), "tail": F.lit(True)})
         return _finish_locally(spans, keys, tolerance, chord_km)
 
-    small = dense.join(oversized, keys, "left_anti").withColumns({"lo": F.lit(0).cast("bigint"), "tail": F.lit(True)})
+    small = dense_points.join(oversized, keys, "left_anti").withColumns({"lo": F.lit(0).cast("bigint"), "tail": F.lit(True)})
     kept = [_finish_locally(small, keys, tolerance, chord_km)]
-    for part in _rounds(dense.join(oversized, keys, "left_semi"), keys, tolerance, chord_km, local_points):
+    for part in _rounds(dense_points.join(oversized, keys, "left_semi"), keys, tolerance, chord_km, local_points):
         part_done = part.where("done").select(*keys, "ix", "lng", "lat")
         part_open = part.where(~F.col("done")).select(*keys, "lo", "tail", "ix", "lng", "lat")
         kept += [part_done, _finish_locally(part_open, keys, tolerance, chord_km)]
