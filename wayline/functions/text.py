@@ -80,11 +80,12 @@ def camera_direction(html: Column) -> Column:
 
 def title_case(x: Column) -> Column:
     """Capital after any non-letter, lower case elsewhere."""
+    def word(w: Column) -> Column:
+        head = F.upper(F.substring(w, 1, 1))
+        return F.concat(F.substring(head, 1, 1), F.lower(F.concat(F.substring(head, 2, 8), F.substring(w, 2, 1_000_000_000))))
+
     words = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))),
-        "",
-    )
+    return F.array_join(F.transform(words, word), "")
 
 
 def route_label(short: Column, long: Column, route_id: Column) -> Column:
@@ -115,7 +116,7 @@ def status_phrase(status: Column, stop_name: Column) -> Column:
 
 def pretty_effect(effect: Column) -> Column:
     s = F.lower(F.replace(effect, F.lit("_"), F.lit(" ")))
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000_000))
 
 
 def source_url(url: Column, fallback: Column) -> Column:

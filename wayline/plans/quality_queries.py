@@ -1 +1,151 @@
-"""Queries."""
+"""Data-quality jobs over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wayline import fixed_values as V
+from wayline.operators import quality as Q
+from wayline.operators import repair as G
+from wayline.plans.base import FIX, SHAPE, fixes, query, shapes, table, with_ctes
+from wayline.plans.catalog_queries import FACIL, airport_rows, pick, pick_sql
+from wayline.operators import catalogs as K
+
+
+@query("QC06", """SELECT 'unique_id' AS check_id, CAST(l_orderkey AS VARCHAR) AS key, 'x' || count(*) AS detail FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING count(*) > 1""")
+def duplicate_ids(spark, sf):
+    return Q.duplicate_ids(table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1), "l_orderkey")
+
+
+REQ = "('AFRICA'), ('ASIA'), ('ATLANTIS')"
+
+
+@query("QC04 JN21", f"""SELECT 'required_set' AS check_id, coalesce(r_name, v) AS key, CASE WHEN r_name IS NULL THEN 'missing' ELSE 'unexpected' END AS detail
+FROM region FULL OUTER JOIN (VALUES {REQ}) t(v) ON r_name = v WHERE r_name IS NULL OR v IS NULL""")
+def required_set(spark, sf):
+    r = table(spark, sf, "region")
+    return Q.required_set(r, "r_name", Q.literal_set(r, ["AFRICA", "ASIA", "ATLANTIS"]))
+
+
+@query("QC10 QC04 JN21", f"""SELECT 'required_set' AS check_id, v AS key, 'missing' AS detail FROM (VALUES {', '.join(f"('{v}')" for v in V.REQUIRED_ROAD_ROUTED)}) t(v)
+WHERE v NOT IN (SELECT CASE o_custkey % 3 WHEN 0 THEN 'greyhound-flix:26' || (10 + o_custkey % 90) ELSE 'boston-express:BX' || (o_custkey % 9) || 'N' END FROM orders)""")
+def required_repairs(spark, sf):
+    k = F.col("o_custkey")
+    route = F.when(k % 3 == 0, F.concat(F.lit("greyhound-flix:26"), (10 + k % 90).cast("string"))).otherwise(F.concat(F.lit("boston-express:BX"), (k % 9).cast("string"), F.lit("N")))
+    o = table(spark, sf, "orders").select(route.alias("route"))
+    return Q.required_set(o, "route", Q.literal_set(o, V.REQUIRED_ROAD_ROUTED), exact=False)
+
+
+@query("QC08 QC05", with_ctes(FIX, """f AS (SELECT id, CASE WHEN id % 50 = 0 THEN NULL ELSE lng END AS lng, lat, CASE WHEN id % 70 = 1 THEN 'bus' ELSE 'airport' END AS grp, CASE WHEN id % 90 = 2 THEN NULL ELSE 'reference' END AS st,
+ CASE WHEN id % 40 = 3 THEN '' ELSE 'x' END AS faa, CASE WHEN id % 60 = 4 THEN 'shared' ELSE 'public' END AS use FROM fix)""", """
+SELECT 'point_validity' AS check_id, CAST(id AS VARCHAR) AS key, unnest(list_filter([CASE WHEN lng IS NULL THEN 'longitude' END, CASE WHEN grp != 'airport' THEN 'group' END, CASE WHEN st IS NULL THEN 'data_status' END,
+ CASE WHEN faa = '' THEN 'faa_id' END, CASE WHEN use = 'shared' THEN 'facility_use' END], lambda x: x IS NOT NULL)) AS detail FROM f"""))
+def point_validity(spark, sf):
+    k = F.col("id")
+    rows = fixes(spark, sf).select(
+        "id", F.when(k % 50 == 0, F.lit(float("nan"))).otherwise(F.col("lng")).alias("lng"), "lat", F.when(k % 70 == 1, "bus").otherwise("airport").alias("grp"),
+        F.when(k % 90 != 2, "reference").alias("data_status"), F.when(k % 40 == 3, "").otherwise("x").alias("faa_id"), F.when(k % 60 == 4, "shared").otherwise("public").alias("facility_use"),
+    )
+    return Q.point_validity(rows, k, "airport", "reference", Q.facility_rules())
+
+
+CLASSES = [*V.FERRY_SERVICE_CLASSES, "charter"]
+
+
+@query("QC05", f"""SELECT 'ferry_metadata' AS check_id, CAST(p_partkey AS VARCHAR) AS key, unnest(list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'group' END, CASE WHEN p_partkey % 7 = 6 THEN 'service_class' END,
+ CASE WHEN p_partkey % 9 = 0 THEN 'season' END, CASE WHEN p_partkey % 8 = 0 THEN 'source_url' END, CASE WHEN p_partkey % 6 = 0 THEN 'geometry' END], lambda x: x IS NOT NULL)) AS detail FROM part""")
+def ferry_metadata(spark, sf):
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        k, F.when(k % 10 == 0, "bus").otherwise("ferry").alias("grp"), pick(CLASSES, k).alias("service_class"), F.col("p_type").alias("service_type"),
+        F.when(k % 9 != 0, "summer").alias("season"), F.when(k % 8 == 0, "http://a.example").otherwise("https://a.example").alias("source_url"),
+        F.when(k % 6 == 0, "Point").otherwise("LineString").alias("geom_type"),
+    )
+    return Q.ferry_metadata(rows, k)
+
+
+@query("QC05", """SELECT 'air_metadata' AS check_id, CAST(p_partkey AS VARCHAR) AS key, unnest(list_filter([CASE WHEN p_partkey % 4 = 2 THEN 'data_status' END, CASE WHEN p_partkey % 9 = 0 THEN 'season' END,
+ CASE WHEN p_partkey % 5 = 0 THEN 'geometry_note' END, CASE WHEN p_partkey % 6 = 0 THEN 'geometry' END], lambda x: x IS NOT NULL)) AS detail FROM part""")
+def air_metadata(spark, sf):
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        k, F.lit("air-service").alias("grp"), F.when(k % 4 == 0, "reference").when(k % 4 == 2, "live").alias("data_status"), F.col("p_type").alias("service_type"),
+        F.when(k % 9 != 0, "summer").alias("season"), F.when(k % 5 != 0, "chart").alias("geometry_note"), F.lit("https://a.example").alias("source_url"),
+        F.when(k % 6 == 0, "MultiLineString").otherwise("LineString").alias("geom_type"),
+    )
+    return Q.air_metadata(rows, k)
+
+
+@query("QC07", with_ctes(FACIL, """c AS (SELECT 'airport' AS key, count(*) AS n, 750 AS floor FROM fac UNION ALL SELECT 'airport_public', count(*) FILTER (WHERE facility_use = 'public'), 170 FROM fac)""", """
+SELECT 'catalog_floor' AS check_id, key, n || ' of ' || floor AS detail FROM c WHERE n < floor
+UNION ALL SELECT 'catalog_floor', 'border', count(*) || ' of 38' FROM nation HAVING count(*) != 38"""))
+def catalog_floors(spark, sf):
+    f = K.facilities(airport_rows(spark, sf))
+    return Q.all_checks(
+        Q.catalog_floor(f, "airport", V.CATALOG_FLOORS["airport"]),
+        Q.catalog_floor(f.where(F.col("facility_use") == "public"), "airport_public", V.CATALOG_FLOORS["airport_public"]),
+        Q.catalog_floor(table(spark, sf, "nation"), "border", V.CATALOG_EXACT["border"], exact=True),
+    )
+
+
+@query("QC03", """SELECT 'lineage' AS check_id, CAST(o_orderkey AS VARCHAR) AS key, unnest(list_filter([CASE WHEN o_orderkey % 100 = 0 THEN 'version' END, CASE WHEN o_orderkey % 75 = 0 OR o_orderkey % 500 = 7 THEN 'sha' END,
+ CASE WHEN o_orderkey % 500 = 7 THEN 'version' END], lambda x: x IS NOT NULL)) AS detail FROM orders""")
+def lineage(spark, sf):
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders")
+    left = o.select(k, F.lit("v4").alias("version"), F.sha2("o_orderpriority", 256).alias("sha"))
+    right = o.where(k % 500 != 7).select(
+        k, F.when(k % 100 == 0, "v3").otherwise("v4").alias("version"), F.when(k % 75 == 0, "old").otherwise(F.sha2("o_orderpriority", 256)).alias("sha")
+    )
+    return Q.lineage(left, right, "o_orderkey", ["version", "sha"])
+
+
+@query("QC09", """SELECT 'route_class' AS check_id, CAST(p_partkey AS VARCHAR) AS key, CASE p_partkey % 3 WHEN 0 THEN 'bus' ELSE NULL END AS detail FROM part WHERE p_name LIKE 'red%' AND p_partkey % 3 != 1""")
+def route_class(spark, sf):
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(k, F.col("p_name").alias("route"), F.when(k % 3 == 0, "bus").when(k % 3 == 1, "ferry").alias("grp"))
+    return Q.route_class(rows, k, "^red", "ferry")
+
+
+@query("FLT19", with_ctes(FIX, """c AS (SELECT id, lng, lat, CASE id % 4 WHEN 0 THEN NULL ELSE CAST(id % 400 AS DOUBLE) END AS bearing, CASE id % 3 WHEN 0 THEN NULL ELSE CAST(id % 190 AS DOUBLE) END AS rng FROM fix)""", """
+SELECT id, array_to_string(list_filter([CASE WHEN lat > 47.0 THEN 'coordinate' END, CASE WHEN bearing >= 360 THEN 'bearing' END,
+ CASE WHEN rng IS NOT NULL AND (bearing IS NULL OR rng <= 0 OR rng > 180) THEN 'range' END], lambda x: x IS NOT NULL), ',') AS errors FROM c"""))
+def control_validation(spark, sf):
+    k = F.col("id")
+    rows = fixes(spark, sf).select(
+        "id", "lng", "lat", F.when(k % 4 != 0, (k % 400).cast("double")).alias("bearing"), F.when(k % 3 != 0, (k % 190).cast("double")).alias("range")
+    )
+    return G.validate_controls(rows, box=(-75.0, 40.0, -65.0, 47.0)).select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("JN19", with_ctes("""seg AS (SELECT p_partkey AS k, p_partkey % 2 = 1 AS rev FROM part), a AS (SELECT k, rev, unnest(CASE WHEN k % 3 = 0 THEN [0.0, 90.0, 200.0, 10.0] ELSE [200.0, 0.0, 90.0, 10.0] END) AS b,
+ unnest([1, 2, 3, 4]) AS pos FROM seg)""", """
+SELECT 's' || k AS segment, string_agg(CAST(CAST(CASE WHEN rev THEN (b + 180) % 360 ELSE b END AS BIGINT) AS VARCHAR), ',' ORDER BY CASE WHEN rev THEN -pos ELSE pos END) AS bearings FROM a GROUP BY k"""))
+def segment_controls(spark, sf):
+    k = F.col("p_partkey")
+    control = lambda b: F.struct(F.lit(-72.0).alias("lng"), F.lit(41.0).alias("lat"), F.lit(b).alias("bearing"), F.lit(25.0).alias("range"))
+    definitions = table(spark, sf, "part").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("segment"), (k % 2 == 1).alias("reversed"),
+        F.when(k % 3 == 0, F.array(F.lit("north"), F.lit("south"))).otherwise(F.array(F.lit("south"), F.lit("north"))).alias("corridors"), F.array(control(10.0)).alias("via"),
+    )
+    corridors = spark.range(1).select(F.explode(F.array(
+        F.struct(F.lit("north").alias("corridor"), F.array(control(0.0), control(90.0)).alias("controls")),
+        F.struct(F.lit("south").alias("corridor"), F.array(control(200.0)).alias("controls")),
+    )).alias("c")).select("c.*")
+    out = G.segment_controls(definitions, corridors)
+    return out.select("segment", F.array_join(F.transform("controls", lambda c: c["bearing"].cast("bigint").cast("string")), ",").alias("bearings"))
+
+
+NAMES = ["Merritt Parkway", "Main Street", "I 95", "FDR Drive", "Ocean Pkwy"]
+
+
+@query("GEO06", f"""SELECT p_partkey, road, CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 'restricted road' WHEN p_partkey % 3 = 1 AND (p_partkey % 2 = 0 OR p_size > 8) THEN 'restricted reference' END AS violation
+FROM (SELECT *, {pick_sql(NAMES, 'p_partkey')} || CASE WHEN p_partkey % 3 = 1 THEN ' · US 1; CT-15' ELSE '' END AS road FROM part)""")
+def step_audit(spark, sf):
+    k = F.col("p_partkey")
+    p = lambda x, y: F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat"))
+    steps = table(spark, sf, "part").select(
+        k, pick(NAMES, k).alias("name"), F.when(k % 3 == 1, "US 1; CT-15").alias("ref"), F.lit("").alias("rotary_name"), (F.col("p_size") * 1000.0).alias("distance_m"),
+        F.when(k % 2 == 0, F.array(p(-73.2, 41.2), p(-73.1, 41.3))).otherwise(F.array(p(-72.7, 41.7), p(-72.6, 41.75))).alias("points"),
+    )
+    return G.audit_steps(steps).select("p_partkey", "road", "violation")
