@@ -20,8 +20,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canon(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return ""
+    if value is None:
+        return "<null>"
+    if isinstance(value, float) and math.isnan(value):
+        return "<nan>"
     if isinstance(value, float):
         return repr(value + 0.0)
     return str(value)

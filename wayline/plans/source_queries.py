@@ -1 +1,237 @@
-"""Queries."""
+"""Message sources: payloads are written from the given tables as JSON and read back through the parsers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wayline.operators import normalise as N
+from wayline.operators import trips as T
+from wayline.operators.ordered import last_wins
+from wayline.operators.regions import assign_regions, edges_from_features
+from wayline.plans.base import FIX, NOW_S, NOW_TEXT, SHAPE, STATION, edge_values, fixes, inside_cte, now, query, r6, stops_view, table, with_ctes
+from wayline.plans.fix_queries import GROUPING, ROUTE_ID, ROUTE_KIND
+from wayline.sources import files as L
+from wayline.sources import messages as M
+
+
+def payload(df, message, *keep):
+    return df.select(*keep, F.to_json(message).alias("payload"))
+
+
+VEH = f"""v AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'lab' || id WHEN id % 7 = 0 THEN 'ent' || id ELSE 'veh' || id END AS vid FROM fix WHERE id % 9 != 0 AND lng BETWEEN -74.0 AND -66.0 AND lat BETWEEN 40.8 AND 47.7)"""
+
+
+@query("SRC05 PRJ01 PRJ08 FLT01 FLT02", with_ctes(FIX, VEH, f"""
+SELECT 'regional-' || source || '-' || vid AS id, 'Agency ' || source || CASE WHEN id % 4 = 0 THEN '' ELSE ' · r' || entity END AS title,
+ CASE WHEN id % 5 = 0 THEN 'Vehicle lab' || id WHEN id % 7 = 0 THEN '' ELSE 'Vehicle veh' || id END AS dest, CAST(floor(speed * 2.23694 + 0.5) AS BIGINT) || ' mph' AS status,
+ CAST({NOW_S} AS BIGINT) - CASE WHEN id % 6 = 0 THEN 1705319980 ELSE ts_us // 1000000 END > 90 AS stale, lng FROM v"""))
+def vehicle_positions(spark, sf):
+    k, s = F.col("id"), F.col("source")
+    inner = F.struct(
+        F.when((k % 5 != 0) & (k % 7 != 0), F.concat(F.lit("veh"), k.cast("string"))).when(k % 7 == 0, "").alias("id"),
+        F.when(k % 5 == 0, F.concat(F.lit("lab"), k.cast("string"))).alias("label"),
+    )
+    vehicle = F.struct(
+        F.when(k % 6 != 0, F.floor(F.col("ts_us") / 1_000_000).cast("bigint")).alias("timestamp"),
+        F.struct(F.when(k % 9 != 0, F.col("lat")).alias("latitude"), F.col("lng").alias("longitude"), F.col("speed").alias("speed")).alias("position"),
+        F.struct(F.when(k % 4 != 0, F.concat(F.lit("r"), F.col("entity").cast("string"))).alias("routeId")).alias("trip"), inner.alias("vehicle"),
+    )
+    message = F.struct(F.struct(F.lit(1705319980).alias("timestamp")).alias("header"), F.array(F.struct(F.concat(F.lit("ent"), k.cast("string")).alias("id"), vehicle.alias("vehicle"))).alias("entity"))
+    sent = payload(fixes(spark, sf), message, s.alias("feed"), F.concat(F.lit("Agency "), s).alias("agency"))
+    return N.regional_buses(N.vehicle_positions(M.vehicle_entities(sent), now()), now()).select("id", "title", "dest", "status", "stale", "lng")
+
+
+@query("SRC06 JN09 WN08", f"""WITH e AS (SELECT vec_id, i AS seq, CAST({NOW_S} AS BIGINT) + i * 60 - 1900 + CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 500) AS BIGINT) AS time FROM embeddings, unnest(range(0, len(embedding))) u(i) WHERE i % 10 != 7),
+s AS (SELECT vec_id, time, row_number() OVER (PARTITION BY vec_id ORDER BY seq) AS ix, 'st' || seq AS stop FROM e), n AS (SELECT vec_id, min(ix) AS nx FROM s WHERE time > {NOW_S} GROUP BY vec_id)
+SELECT CAST(n.vec_id AS VARCHAR) AS trip, b.stop AS next_stop, a.stop AS prev_stop, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({NOW_S} - a.time) / greatest(1.0::DOUBLE, CAST(b.time - a.time AS DOUBLE)))), 6) AS progress
+FROM n JOIN s a ON a.vec_id = n.vec_id AND a.ix = nx - 1 JOIN s b ON b.vec_id = n.vec_id AND b.ix = nx""")
+def trip_update_messages(spark, sf):
+    at = lambda x, i: (F.lit(NOW_S).cast("bigint") + i * 60 - 1900 + F.floor(x.cast("double") * 500).cast("bigint"))
+    update = lambda x, i: F.struct(
+        F.concat(F.lit("st"), i.cast("string")).alias("stopId"), F.struct(F.when((i % 10 != 7) & (i % 2 == 0), at(x, i)).otherwise(F.when(i % 10 != 7, F.lit(5).cast("bigint"))).alias("time")).alias("arrival"),
+        F.struct(F.when((i % 10 != 7) & (i % 2 == 1), at(x, i)).alias("time")).alias("departure"),
+    )
+    trip = F.struct(F.struct(F.lit("3").alias("routeId")).alias("trip"), F.transform("embedding", update).alias("stopTimeUpdate"))
+    message = F.struct(F.struct(F.lit(NOW_S).alias("timestamp")).alias("header"), F.array(F.struct(F.col("vec_id").cast("string").alias("id"), trip.alias("tripUpdate"))).alias("entity"))
+    updates = M.trip_updates(payload(table(spark, sf, "embeddings"), message))
+    p = T.trip_progress(T.stop_scan(T.timed_stops(updates)), F.lit(NOW_S).cast("bigint"))
+    return p.select("trip", "prev_stop", "next_stop", r6(F.col("progress")).alias("progress"))
+
+
+@query("SRC08 PRJ02 AG01", with_ctes(FIX, f"""a AS (SELECT * FROM fix WHERE id % 13 != 0 AND id % 17 != 0), d AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY entity ORDER BY id % 3 DESC, id DESC) = 1)""", f"""
+SELECT 'plane-h' || entity AS id, CASE WHEN entity % 4 = 0 THEN 'H' || entity ELSE 'FL' || entity END AS title, id % 5 = 0 AS stale,
+ CASE WHEN id % 5 = 0 THEN 'On the ground' ELSE concat_ws(' · ', CASE WHEN id % 3 != 0 THEN CASE WHEN id >= 1000 THEN (id // 1000) || ',' || printf('%03d', id % 1000) ELSE CAST(id AS VARCHAR) END || ' ft' END, CAST(floor(speed * 1.15078 + 0.5) AS BIGINT) || ' mph') END AS status,
+ CAST({NOW_S} AS BIGINT) * 1000000 - (id % 60) * 1000000 AS updated_us FROM d"""))
+def aircraft(spark, sf):
+    k, e = F.col("id"), F.col("entity")
+    plane = F.struct(
+        F.when(k % 17 != 0, F.concat(F.lit("h"), e.cast("string"))).alias("hex"), F.when(e % 4 != 0, F.concat(F.lit(" FL"), e.cast("string"), F.lit(" "))).alias("flight"), F.col("lat"), F.when(k % 13 != 0, F.col("lng")).alias("lon"),
+        F.col("speed").alias("gs"), (k % 60).alias("seen"), F.when(k % 5 == 0, "ground").when(k % 3 != 0, k.cast("string")).alias("alt_baro"),
+    )
+    sent = payload(fixes(spark, sf), F.struct(F.array(plane).alias("ac")), (k % 3).alias("probe_ix"), k.alias("seq"))
+    rows = M.aircraft_rows(sent, "probe_ix", "seq").where((F.coalesce("hex", F.lit("")) != "") & F.col("lon").isNotNull())
+    unique = last_wins(rows, ["hex"], ["probe_ix", "seq", "pos"]).withColumn("provider", F.lit("ADSB.lol"))
+    return N.aircraft(unique, now()).select("id", "title", "stale", "status", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query("SRC16 PRJ03 FN07 FN08 ST05 FLT01", with_ctes(FIX, f"""t AS (SELECT *, CASE id % 5 WHEN 0 THEN 'Predeparture' WHEN 1 THEN 'Completed' ELSE 'Active' END AS st FROM fix WHERE id % 5 != 1 AND lat > 40.7 AND lat < 47.75 AND lng > -74.1 AND lng < -65.8)""", f"""
+SELECT 'amtrak-t' || id AS id, CASE st WHEN 'Predeparture' THEN 'estimated' ELSE 'live' END AS data_status, CASE WHEN id % 3 = 0 THEN 'Origin ' || source ELSE 'First' END || ' → Last' AS dest,
+ CASE WHEN st = 'Predeparture' THEN 'Scheduled to depart ' || CASE WHEN id % 3 = 0 THEN 'Origin ' || source ELSE 'First' END WHEN id % 4 = 0 THEN 'Active'
+  ELSE 'Next stop Middle · ' || CASE WHEN id % 60 >= 2 THEN (id % 60) || ' min late' ELSE 'on time' END END AS status,
+ 'train ' || entity || CASE WHEN id % 7 = 0 THEN '' ELSE ' · ' || CAST(floor(speed + 0.5) AS BIGINT) || ' mph' END AS meta, CASE id % 2 WHEN 0 THEN 315.0 ELSE 0.0 END::DOUBLE AS bearing, id % 2 = 0 AS has_bearing,
+ CASE WHEN st = 'Predeparture' THEN FALSE ELSE CAST({NOW_S} AS BIGINT) - ts_us // 1000000 > 300 END AS stale FROM t"""))
+def trains(spark, sf):
+    k = F.col("id")
+    stamp = F.date_format(F.timestamp_seconds(F.floor(F.col("ts_us") / 1_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    late = F.date_format(F.timestamp_seconds(F.lit(NOW_S) + (k % 60) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stop = lambda name, state, sch, arr: F.struct(F.lit(name).alias("name"), state.alias("status"), sch.cast("string").alias("schArr"), arr.cast("string").alias("arr"))
+    null = F.lit(None)
+    stations = F.array(
+        stop("First", F.lit("Departed"), null, null), stop("Middle", F.when(k % 4 != 0, "Enroute").otherwise("Departed"), F.lit(f"{NOW_TEXT.replace(' ', 'T')}Z"), late), stop("Last", F.lit("Scheduled"), null, null)
+    )
+    train = F.struct(
+        F.concat(F.lit("t"), k.cast("string")).alias("trainID"), F.col("entity").cast("string").alias("trainNum"), F.lit("Line").alias("routeName"),
+        F.when(k % 5 == 0, "Predeparture").when(k % 5 == 1, "Completed").otherwise("Active").alias("trainState"), F.col("lat").cast("string").alias("lat"), F.col("lng").cast("string").alias("lon"),
+        F.when(k % 2 == 0, "NW").otherwise("?").alias("heading"), F.when(k % 7 != 0, F.col("speed").cast("string")).alias("velocity"),
+        F.when(k % 3 == 0, F.concat(F.lit("Origin "), F.col("source"))).alias("origName"), stamp.alias("lastValTS"), stations.alias("stations"),
+    )
+    sent = payload(fixes(spark, sf), F.create_map(F.col("entity").cast("string"), F.array(train)))
+    rows = N.trains(M.trains_by_number(sent), now())
+    return rows.select("id", "data_status", "dest", "status", "meta", "bearing", "has_bearing", "stale")
+
+
+def vessel_messages(spark, sf):
+    """Position and static messages of the users as vessels, in event order."""
+    k = F.col("id")
+    static = F.col("grp") == "signup"
+    kind = F.when(static, "ShipStaticData").when(k % 2 == 0, "PositionReport").otherwise("StandardClassBPositionReport")
+    name = F.when(k % 3 == 0, F.concat(F.lit(" Boat "), F.col("entity").cast("string"))).when(k % 3 == 1, "Island Queen")
+    body = F.struct(
+        F.when(~static, F.when(k % 4 == 0, F.lit(511.0)).otherwise((k % 360).cast("double"))).alias("TrueHeading"), F.when(~static, (k % 100).cast("double")).alias("Cog"),
+        F.when(~static, F.col("speed")).alias("Sog"), F.when(static, (50 + k % 20).cast("double")).alias("Type"), F.when(static & (k % 2 == 0), F.lit("Static ship")).alias("Name"),
+    )
+    meta = F.struct(F.col("entity").alias("MMSI"), F.when(static, F.when(k % 5 == 0, "Meta ship")).otherwise(name).alias("ShipName"), F.when(k % 6 == 0, F.lit(61.0)).alias("ShipType"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
+    message = F.struct(kind.alias("MessageType"), meta.alias("MetaData"), F.create_map(kind, body).alias("Message"))
+    return payload(fixes(spark, sf), message, F.col("ts_us").alias("at_us"))
+
+
+VMSG = """vm AS (SELECT entity AS mmsi, ts_us AS at_us, id, grp = 'signup' AS st, lng, lat, speed,
+ CASE WHEN grp = 'signup' THEN CASE WHEN id % 2 = 0 THEN 'Static ship' WHEN id % 5 = 0 THEN 'Meta ship' END ELSE CASE id % 3 WHEN 0 THEN 'Boat ' || entity WHEN 1 THEN 'Island Queen' ELSE '' END END AS name,
+ CASE WHEN id % 4 = 0 THEN CAST(id % 100 AS DOUBLE) ELSE CAST(id % 360 AS DOUBLE) END AS heading, CASE WHEN grp = 'signup' THEN CAST(50 + id % 20 AS DOUBLE) WHEN id % 6 = 0 THEN 61.0 END AS kind FROM fix)"""
+
+
+@query("SRC09 PRJ04 FN22", with_ctes(FIX, VMSG, f"""
+SELECT 'vessel-' || mmsi AS id, CASE WHEN coalesce(kind BETWEEN 60 AND 69, FALSE) OR name = 'Island Queen' THEN 'ferry' ELSE 'vessel' END AS grp, CASE name WHEN '' THEN 'MMSI ' || mmsi ELSE name END AS title,
+ 'Heading ' || CAST(floor(heading + 0.5) AS BIGINT) || '°' AS dest, printf('%.1f', floor(speed * 10 + 0.5) / 10) || ' kn' AS status, 'MMSI ' || mmsi || CASE WHEN kind IS NOT NULL THEN ' · AIS type 61' ELSE '' END AS meta,
+ (CAST({NOW_S} AS BIGINT) * 1000000 - at_us) / 1e6 > 180 AS stale FROM vm WHERE NOT st"""))
+def vessel_positions(spark, sf):
+    rows = M.vessel_rows(vessel_messages(spark, sf), "at_us").where(~F.col("is_static")).withColumn("at", F.timestamp_micros("at_us"))
+    return N.vessels(rows, now()).select("id", "grp", "title", "dest", "status", "meta", "stale")
+
+
+@query("SRC14", """SELECT CASE s_suppkey % 2 WHEN 0 THEN 'bluebikes' ELSE 'spin' END AS system, CAST(s_suppkey AS VARCHAR) AS station_id, s_name AS name, s_suppkey AS capacity FROM supplier""")
+def share_stations(spark, sf):
+    k = F.col("s_suppkey")
+    station = F.struct(k.cast("string").alias("station_id"), F.col("s_name").alias("name"), F.lit(42.0).alias("lat"), F.lit(-71.0).alias("lon"), k.alias("capacity"))
+    nested = F.to_json(F.struct(F.lit("1705319500").alias("last_updated"), F.struct(F.struct(F.array(station).alias("stations")).alias("en")).alias("data")))
+    flat = F.to_json(F.struct(F.lit("1705319500").alias("last_updated"), F.struct(F.array(station).alias("stations")).alias("data")))
+    sent = table(spark, sf, "supplier").select(F.when(k % 2 == 0, "bluebikes").otherwise("spin").alias("system"), F.when(k % 3 == 0, nested).otherwise(flat).alias("payload"))
+    return M.share_rows(sent, "station_information").select("system", "station_id", "name", "capacity")
+
+
+@query("SRC15 PRJ07 JN07 FLT05 AG09 FN19", with_ctes(f"o AS (SELECT o_orderkey AS id, {ROUTE_ID} AS route, {ROUTE_KIND} AS kind, o_custkey FROM orders)", f"""
+SELECT CAST(id AS VARCHAR) AS id, {GROUPING} AS grp, CASE {GROUPING} WHEN 'silver' THEN 'Silver Line S1' WHEN 'bus' THEN 'Bus ' || route ELSE 'Long ' || route END AS title,
+ CASE WHEN id % 3 = 0 THEN 'to South' WHEN id % 3 = 1 THEN 'to North' ELSE '' END AS dest, CASE WHEN id % 2 = 0 THEN 'Stopped at Stop ' || (id % 20) ELSE 'In service' END AS status,
+ concat_ws(' · ', CASE WHEN id % 4 != 0 THEN 'car ' || id END, CASE WHEN id % 5 = 0 THEN 'light crowding' END) AS meta FROM o WHERE id % 10 != 0 AND id % 11 != 0"""))
+def transit_vehicles(spark, sf):
+    from wayline.plans.fix_queries import named_routes
+
+    k = F.col("id")
+    named = named_routes(spark, sf)
+    ref = lambda x: F.struct(F.struct(x.alias("id")).alias("data"))
+    stop = F.concat(F.lit("st"), (k % 20).cast("string"))
+    attributes = F.struct(
+        F.when(k % 11 != 0, F.lit(42.3)).alias("latitude"), F.lit(-71.1).alias("longitude"), F.when(k % 2 == 0, "STOPPED_AT").otherwise("OTHER").alias("current_status"),
+        F.when(k % 3 < 2, (k % 3).cast("int")).alias("direction_id"), F.when(k % 4 != 0, k.cast("string")).alias("label"), F.lit("2024-01-15T12:00:00Z").alias("updated_at"),
+        F.when(k % 5 == 0, F.array(F.struct(F.lit(10.0).alias("occupancy_percentage")), F.struct(F.lit(None).cast("double").alias("occupancy_percentage")))).alias("carriages"),
+        F.when(k % 10 == 0, "NON_REVENUE").otherwise("REVENUE").alias("revenue"),
+    )
+    item = F.struct(k.cast("string").alias("id"), attributes.alias("attributes"), F.struct(ref(F.col("route")).alias("route"), ref(stop).alias("stop")).alias("relationships"))
+    included = F.struct(stop.alias("id"), F.lit("stop").alias("type"), F.struct(F.concat(F.lit("Stop "), (k % 20).cast("string")).alias("name")).alias("attributes"))
+    vehicles, stops = M.api_vehicles(payload(named, F.struct(F.array(item).alias("data"), F.array(included).alias("included"))))
+    info = F.struct(
+        F.col("kind").alias("type"), F.lit("ffffff").alias("color"), F.concat(F.lit("Long "), F.col("route")).alias("long_name"),
+        F.when(F.col("route") == "741", "S1").otherwise("").alias("short_name"), F.array(F.lit("South"), F.lit("North")).alias("direction_destinations"),
+    )
+    routes = M.api_routes(payload(named.select("route", "kind").distinct(), F.struct(F.array(F.struct(F.col("route").alias("id"), info.alias("attributes"))).alias("data"))))
+    return N.transit_vehicles(vehicles, routes, stops, now()).select("id", "grp", "title", "dest", "status", "meta")
+
+
+@query("JN15 FLT18", with_ctes(FIX, """c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 + s_suppkey % 2 END AS n FROM supplier)""", """
+SELECT id, CASE WHEN n >= 2 THEN 'AAA → ' || CASE n WHEN 3 THEN 'KMID → ' ELSE '' END || 'ZZZ' ELSE '' END AS itinerary, CASE WHEN n >= 2 THEN 'Start ' || k || ' → End' END AS endpoints
+FROM fix LEFT JOIN c ON c.k = entity WHERE id % 3 != 0""").replace("ELSE '' END AS itinerary", "END AS itinerary"))
+def flight_itineraries(spark, sf):
+    k = F.col("s_suppkey")
+    port = lambda name, icao, iata: F.struct(name.alias("name"), F.lit(icao).alias("icao"), F.lit(iata).alias("iata"))
+    first, mid, end = port(F.concat(F.lit("Start "), k.cast("string")), "KAAA", "AAA"), port(F.lit("Mid"), "KMID", ""), port(F.lit("End"), "KZZZ", "ZZZ")
+    catalog = table(spark, sf, "supplier").select(
+        F.concat(F.lit("fl"), F.lpad(k.cast("string"), 4, "0"), F.lit(" ")).alias("callsign"),
+        F.when(k % 4 == 0, F.array(first)).when(k % 2 == 1, F.array(first, mid, end)).otherwise(F.array(first, end)).alias("airports"),
+    )
+    call = F.when(F.col("id") % 3 == 0, "x!").otherwise(F.concat(F.lit(" Fl"), F.lpad(F.col("entity").cast("string"), 4, "0")))
+    return N.itineraries(fixes(spark, sf).select("id", call.alias("callsign")), catalog).select("id", "itinerary", "endpoints")
+
+
+RING_TEXT = "[[[-73.0,41.0],[-69.0,41.0],[-69.0,45.0],[-71.0,43.0],[-73.0,45.0],[-73.0,41.0]],[[-71.5,41.5],[-70.5,41.5],[-70.5,42.5],[-71.5,42.5],[-71.5,41.5]]]"
+
+
+@query("SRC02 JN01", with_ctes(FIX, edge_values(), inside_cte("fix"), "SELECT id FROM inside WHERE region = 'notch'"))
+def geojson_regions(spark, sf):
+    """Boundary text with closed rings, as files carry it, against the open rings of the oracle."""
+    key = table(spark, sf, "region").where(F.col("r_regionkey") == 0).select(F.lit("notch").alias("region"), F.lit("Polygon").alias("geom_type"), F.lit(RING_TEXT).alias("coordinates"))
+    located = assign_regions(fixes(spark, sf), edges_from_features(L.polygons(key)))
+    return located.where(F.array_contains("regions", "notch")).select("id")
+
+
+@query("SRC20", with_ctes(STATION, "SELECT stop, name, lng FROM station"))
+def keyed_stations(spark, sf):
+    value = F.struct("name", "lng", "lat")
+    sent = payload(stops_view(spark, sf), F.struct(F.create_map(F.col("stop"), value).alias("stops")))
+    return M.keyed_map(sent, "struct<name:string,lng:double,lat:double>", "stop", "stops").select("stop", "value.name", "value.lng")
+
+
+@query("SRC21 AG20", "SELECT source AS file, count(*) AS routes FROM documents GROUP BY source")
+def catalog_sources(spark, sf):
+    return L.source_counts(table(spark, sf, "documents").withColumnRenamed("source", "file"))
+
+
+@query("SNK02 AG01", with_ctes(STATION, """SELECT 'f' AS feed, stop, CASE WHEN CAST(stop AS BIGINT) % 4 = 0 THEN stop ELSE name END AS name, lng, lat FROM station WHERE CAST(stop AS BIGINT) % 10 != 3"""))
+def station_map(spark, sf):
+    k = F.col("stop").cast("bigint")
+    s = stops_view(spark, sf)
+    new = s.select(F.lit("f").alias("feed"), F.col("stop").alias("stop_id"), k.alias("row_ix"), F.when(k % 4 == 0, "").otherwise(F.col("name")).alias("stop_name"),
+                   F.when(k % 10 == 3, "x").otherwise(F.col("lng").cast("string")).alias("stop_lon"), F.col("lat").cast("string").alias("stop_lat"))
+    old = new.where(F.col("stop_lon") != "x").withColumns({"row_ix": F.lit(-1).cast("bigint"), "stop_lon": F.lit("-1.5")})
+    return L.station_map(old.unionByName(new))
+
+
+@query("SNK01", with_ctes(STATION, """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lng || ',' || lat || ']},"properties":{"stop":"' || stop || '","name":"' || name || '"}}' AS feature FROM station"""))
+def geojson_points(spark, sf):
+    return L.geojson_lines(stops_view(spark, sf).select("lng", "lat", "stop", "name"))
+
+
+@query("SNK03 QC06", with_ctes(SHAPE, """SELECT vec_id % 400 AS k, count(*) AS n FROM shape GROUP BY 1 HAVING count(*) > 1"""))
+def manifest_duplicates(spark, sf):
+    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 400).alias("k"), F.sha2(F.col("vec_id").cast("string"), 256).alias("sha"))
+    return L.fingerprint_manifest(rows, "k")[1]
+
+
+@query("SS09", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'dead' ELSE 'good' END AS outcome FROM documents")
+def malformed_messages(spark, sf):
+    k = F.col("doc_id")
+    good = F.to_json(F.struct(F.struct(F.lit(1).alias("timestamp")).alias("header"), F.array().cast("array<struct<id:string>>").alias("entity")))
+    sent = table(spark, sf, "documents").select(k, F.when(k % 4 == 0, F.concat(F.lit("{"), F.left("text", F.lit(5)))).otherwise(good).alias("payload"))
+    from wayline import schemas as S
+
+    parsed = M.parse(sent, S.VEHICLE_MESSAGE)
+    return M.good(parsed).select("doc_id", F.lit("good").alias("outcome")).unionByName(M.dead_letters(parsed).select("doc_id", F.lit("dead").alias("outcome")))

@@ -1 +1,56 @@
-"""Queries."""
+"""Streaming jobs replayed over the given tables, and the batch operators with the same rules."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from wayline.plans.base import FIX, query, with_ctes
+from wayline.plans.source_queries import VMSG, vessel_messages
+from wayline.session import scratch_folder
+from wayline.sources.messages import vessel_rows
+from wayline.streaming import live, vessels
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+PRUNE = 86400
+
+
+FOLD = f"""p AS (SELECT *, max(CASE WHEN NOT st THEN at_us END) OVER (PARTITION BY mmsi ORDER BY at_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM vm),
+f AS (SELECT *, coalesce(at_us - prev <= {PRUNE}000000, FALSE) AS fresh FROM p),
+s AS (SELECT *, max(CASE WHEN NOT st AND NOT fresh THEN at_us END) OVER (PARTITION BY mmsi ORDER BY at_us) AS session FROM f WHERE NOT st OR fresh),
+last AS (SELECT * FROM s WHERE session = (SELECT max(session) FROM s x WHERE x.mmsi = s.mmsi)),
+pos AS (SELECT * FROM last WHERE NOT st QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY at_us DESC) = 1),
+fst AS (SELECT * FROM last WHERE NOT st QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY at_us) = 1),
+sta AS (SELECT * FROM last WHERE st QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY at_us DESC) = 1),
+nam AS (SELECT mmsi, name, at_us FROM last WHERE st AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY at_us DESC) = 1)"""
+FOLDED = """SELECT pos.mmsi, pos.lng, CASE WHEN nam.at_us > pos.at_us THEN nam.name ELSE pos.name END AS name, pos.heading, CASE WHEN sta.mmsi IS NOT NULL THEN sta.kind ELSE fst.kind END AS ship_type, pos.at_us
+FROM pos JOIN fst USING (mmsi) LEFT JOIN sta USING (mmsi) LEFT JOIN nam USING (mmsi)"""
+
+
+@query("SS01 SS02 SS07", with_ctes(FIX, VMSG, FOLD, FOLDED))
+def vessel_fold(spark, sf):
+    rows = vessel_rows(vessel_messages(spark, sf), "at_us")
+    return vessels.fold_vessels(rows, prune_s=PRUNE).select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
+
+
+def _event_stream(spark, sf):
+    e = live.table_stream(spark, sf, "events", EVENTS)
+    return e.select(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("source"),
+        F.col("event_type").alias("grp"), F.col("user_id").alias("entity"), F.col("event_id").alias("id"), F.col("value").alias("speed"),
+    )
+
+
+@query("SS08", with_ctes(FIX, "SELECT source, grp, count(*) AS n FROM fix GROUP BY source, grp"))
+def live_counts(spark, sf):
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    live.versioned_sink(live.live_counts(_event_stream(spark, sf)), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    return live.newest_version(spark, f"{folder}/out", ["source", "grp"]).select("source", "grp", "n")
+
+
+@query("SS10 WN09", with_ctes(FIX, "SELECT entity, id, ts_us FROM fix QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts_us DESC, id DESC) = 1"))
+def last_positions(spark, sf):
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    live.last_positions(_event_stream(spark, sf).select("entity", "id", "ts_us"), ["entity"], ["ts_us", "id"], f"{folder}/out", f"{folder}/cp").awaitTermination()
+    return live.merged_positions(spark, f"{folder}/out", ["entity"], ["ts_us", "id"])

@@ -52,3 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def row_bound(df: DataFrame, bound: int) -> bool:
     """True when ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
     return df.limit(bound + 1).count() <= bound
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables, under the checkpoint folder."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
