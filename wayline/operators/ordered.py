@@ -29,7 +29,7 @@ def block_chunk(ix: str, size: int = 65_536) -> Column:
 
 
 class OrderedScan:
-    """``chunk`` must not decrease along ``order``; ``order`` must be unique per key."""
+    """``chunk`` must not decrease along ``order``; ``order`` must be unique per key. Rows without a key are dropped."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, _prepared: bool = False):
         self.keys, self.order = list(keys), list(order)
@@ -37,7 +37,10 @@ class OrderedScan:
         if _prepared:
             self._rows = df
         else:
+            # the join on (key, chunk) needs both; filtering here keeps its two inputs one exchange
             df = df.withColumn(CHUNK, chunk)
+            for c in [*self.keys, CHUNK]:
+                df = df.where(F.col(c).isNotNull())
             self._rows = df.repartition(*[F.col(k) for k in self.keys], F.col(CHUNK))
 
     @property
