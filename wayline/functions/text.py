@@ -82,10 +82,10 @@ def title_case(x: Column) -> Column:
     """Capital after any non-letter, lower case elsewhere."""
     def word(w: Column) -> Column:
         head = F.upper(F.substring(w, 1, 1))
-        return F.concat(F.substring(head, 1, 1), F.lower(F.concat(F.substring(head, 2, 8), F.substring(w, 2, 1_000_000_000))))
+        return F.concat(F.substring(head, 1, 1), F.lower(F.substring(head, 2, 8)), F.substring(w, 2, 1_000_000_000))
 
-    words = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(words, word), "")
+    # cut before every word start, so a piece holds one word and what follows it
+    return F.array_join(F.transform(F.split(F.lower(x), r"(?<!\p{L})(?=\p{L})"), word), "")
 
 
 def route_label(short: Column, long: Column, route_id: Column) -> Column:

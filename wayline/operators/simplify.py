@@ -1,8 +1,8 @@
 """Polyline simplification over all paths at once.
 
-A path of at most ``local_points`` points is one Arrow group. A longer one is split by
+Paths of at most ``local_points`` points are simplified in Arrow batches. A longer one is split by
 distributed rounds (one farthest-point aggregate per open span and round, checkpointed)
-until every open span fits in a group, so no task ever holds a whole hot path.
+until every open span is that short, so no task ever holds a whole hot path.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +55,46 @@ def kept_mask(xy: np.ndarray, tolerance: float, chord_km: float | None) -> np.nd
     return keep
 
 
-def _finish_locally(spans: DataFrame, keys: Sequence[str], tolerance: float, chord_km: float | None) -> DataFrame:
-    schema = spans.select(*keys, "ix", "lng", "lat").schema
+def _simplify_groups(rows: pa.Table, starts: np.ndarray, tolerance: float, chord_km: float | None) -> pa.Table:
+    """Kept rows of the whole groups in ``rows``, which begin at ``starts``."""
+    xy = np.column_stack([rows["lng"].to_numpy(), rows["lat"].to_numpy()])
+    keep = np.zeros(len(xy), dtype=bool)
+    ends = np.append(starts[1:], len(xy))
+    for a, b in zip(starts, ends):
+        keep[a:b] = kept_mask(xy[a:b], tolerance, chord_km)
+    # a span that is not the tail of its path leaves its end to the next span
+    keep[ends - 1] = rows["tail"].to_numpy(zero_copy_only=False)[ends - 1]
+    return rows.filter(pa.array(keep))
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ix", kind="stable")
-        keep = kept_mask(pdf[["lng", "lat"]].to_numpy(), tolerance, chord_km)
-        keep[-1] = bool(pdf["tail"].iloc[0])
-        return pdf.loc[keep, [*keys, "ix", "lng", "lat"]]
 
-    return spans.groupBy(*keys, "lo").applyInPandas(finish, schema)
+def _finish_locally(spans: DataFrame, keys: Sequence[str], tolerance: float, chord_km: float | None) -> DataFrame:
+    """Simplify bounded spans, many per Arrow batch; only the last, unfinished span waits for the next batch."""
+    group = [*keys, "lo"]
+    out = [*keys, "ix", "lng", "lat"]
+    schema = spans.select(*out).schema
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if waiting is not None:
+                rows = pa.concat_tables([waiting, rows])
+            change = np.zeros(rows.num_rows, dtype=bool)
+            for name in group:
+                values = rows[name].to_numpy()
+                change[1:] |= values[1:] != values[:-1]
+            starts = np.append(0, np.flatnonzero(change))
+            waiting = rows.slice(int(starts[-1]))
+            if len(starts) > 1:
+                done = rows.slice(0, int(starts[-1]))
+                yield from _simplify_groups(done, starts[:-1], tolerance, chord_km).select(out).combine_chunks().to_batches()
+        if waiting is not None:
+            yield from _simplify_groups(waiting, np.array([0]), tolerance, chord_km).select(out).combine_chunks().to_batches()
+
+    ordered = spans.select(*group, "tail", "ix", "lng", "lat").repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, "ix")
+    return ordered.mapInArrow(finish, schema)
 
 
 def _point() -> Column:
@@ -72,7 +102,7 @@ def _point() -> Column:
 
 
 def _rounds(big: DataFrame, keys: Sequence[str], tolerance: float, chord_km: float | None, local_points: int) -> Iterator[DataFrame]:
-    """Yield span tables small enough for one group, and the kept corners of spans that need no more cuts."""
+    """Yield span tables small enough for one batch, and the kept corners of spans that need no more cuts."""
     ends = big.groupBy(*keys).agg(F.min_by(_point(), "ix").alias("a"), F.max_by(_point(), "ix").alias("b"))
     open_spans = big.join(ends, list(keys)).withColumns({"lo": F.col("a.ix"), "hi": F.col("b.ix"), "tail": F.lit(True)})
     open_spans = cut_lineage(open_spans)
@@ -124,10 +154,10 @@ def simplify(
     input is numbered so already.
     """
     keys = list(keys)
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if not dense:
         points = path_scan(points, keys, chunk=chunk).extend(position="_pos").df.drop("ix").withColumnRenamed("_pos", "ix")
     dense_points = points.select(*keys, F.col("ix").cast("bigint").alias("ix"), F.col("lng").cast("double"), F.col("lat").cast("double"))
-    sizes = dense_points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     oversized = sizes.where(F.col("n") > local_points).select(*keys)
     if row_bound(oversized, 0):
         spans = dense_points.withColumns({"lo": F.lit(0).cast("bigint"), "tail": F.lit(True)})

@@ -201,12 +201,12 @@ def _track_ix(spark, sf):
 
 @query("GEO02 FN02", _simplify_sql(0.02))
 def simplified(spark, sf):
-    return simplify(_track_ix(spark, sf), ["path"], tolerance=0.02)
+    return simplify(_track_ix(spark, sf), ["path"], tolerance=0.02, dense=True)
 
 
 @query("GEO03", _simplify_sql(0.05, 40.0))
 def simplified_bus(spark, sf):
-    return simplify(_track_ix(spark, sf), ["path"], tolerance=0.05, chord_km=40.0)
+    return simplify(_track_ix(spark, sf), ["path"], tolerance=0.05, chord_km=40.0, dense=True)
 
 
 @query("FN02", with_ctes(TRACK, f"""e AS (SELECT path, arg_min(lng, (ts_us, id)) AS ax, arg_min(lat, (ts_us, id)) AS ay, arg_max(lng, (ts_us, id)) AS ex, arg_max(lat, (ts_us, id)) AS ey
