@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline import schemas as S
@@ -38,7 +38,8 @@ def gtfs_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
                         reader = pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000, engine="c", quoting=csv.QUOTE_MINIMAL)
                         at = 0
                         for part in reader:
-                            part = part.reindex(columns=columns)
+                            part = part.reindex(columns=columns).astype(object)
+                            part = part.where(part.notna(), None)
                             part.insert(0, "row_ix", range(at, at + len(part)))
                             part.insert(0, "feed", feed)
                             at += len(part)
@@ -129,14 +130,21 @@ def facilities_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean.select(*[F.coalesce(F.col(c.split()[0]), F.lit("")).alias(c.split()[0]) for c in S.AIRPORT.split(", ")])
 
 
+def windows_1252(latin1: Column) -> Column:
+    """Text of Windows-1252 bytes that were read as ISO-8859-1; only 0x80 to 0x9F differ."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", errors="ignore")) for b in range(0x80, 0xA0)]
+    pairs = [(a, b) for a, b in pairs if b]
+    return F.translate(latin1, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
 def border_offices_csv(spark: SparkSession, path: str) -> DataFrame:
     names = {
         "Office Name": "office_name", "US port": "us_port", "Physical Address Province": "province", "Services": "services",
         "Travellers Hours Monday": "hours_weekday", "Travellers Hours Saturday": "hours_weekend", "Travellers Hours Seasonal": "seasonal",
         "Travellers Hours Notes": "notes",
     }
-    raw = spark.read.option("header", True).option("encoding", "windows-1252").option("multiLine", True).csv(path)
-    return raw.select(*[F.coalesce(F.col(f"`{k}`"), F.lit("")).alias(v) for k, v in names.items()])
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("multiLine", True).csv(path)
+    return raw.select(*[F.coalesce(windows_1252(F.col(f"`{k}`")), F.lit("")).alias(v) for k, v in names.items()])
 
 
 def station_map(stops: DataFrame) -> DataFrame:

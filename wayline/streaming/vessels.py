@@ -68,10 +68,10 @@ class VesselProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(at_us // 1000 + self.prune_us // 1000 + 1)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("at_us", kind="stable")
         stored = self.state.get()
-        now = list(stored) if stored is not None else None
+        now = [_clean(v) for v in stored] if stored is not None else None
         for m in batch.itertuples(index=False):
             at = int(m.at_us)
             if now is not None and at - now[6] > self.prune_us:
@@ -92,7 +92,7 @@ class VesselProcessor(StatefulProcessor):
         self._arm(now[6])
         yield pd.DataFrame([[int(key[0]), *now]], columns=["mmsi", "lng", "lat", "name", "sog", "heading", "ship_type", "at_us"])
 
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter(())
 
