@@ -181,3 +181,56 @@ def audit_steps(steps: DataFrame) -> DataFrame:
         F.when(F.rlike("road", F.lit(V.RESTRICTED_ROAD)), "restricted road")
         .when(F.rlike("road", F.lit(V.RESTRICTED_REF)) & outside, "restricted reference"),
     )
+
+
+def audit_cache(cache: DataFrame, controls_sha256: str) -> DataFrame:
+    """Integrity of stored road rows, as ``(segment, error)``.
+
+    ``cache`` adds ``start``, ``end`` (points), ``distance_km``, ``direct_stored_km``, ``roads array<string>`` and
+    ``ref_segments array<struct<distance_km, bbox array<double>>>`` to the columns of ``validate_roads``.
+    """
+    rows = validate_roads(cache).drop("errors")
+    pts, ends = F.col("points"), key_points(F.col("segment"))
+
+    def same(p: Column, q: Column) -> Column:
+        return F.coalesce(token(p["lng"], p["lat"]) == token(q["lng"], q["lat"]), F.lit(False))
+
+    legs = F.zip_with(
+        F.slice(pts, F.lit(1), F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, F.lit(2), F.greatest(F.size(pts) - 1, F.lit(0))),
+        lambda a, b: F.struct(haversine_km(a["lng"], a["lat"], b["lng"], b["lat"]).alias("km"), (token(a["lng"], a["lat"]) == token(b["lng"], b["lat"])).alias("same")),
+    )
+    first, final = _end(pts, 1), _end(pts, -1)
+    direct = haversine_km(first["lng"], first["lat"], final["lng"], final["lat"])
+    shaped = rows.withColumns({"_e": ends, "_legs": legs}).withColumns(
+        {"_ok": F.col("_e").isNotNull() & (F.size(pts) >= 4) & ~F.exists(pts, lambda p: finite(p["lng"]).isNull() | finite(p["lat"]).isNull()), "_d": direct}
+    )
+    d, routed = F.col("_d"), F.col("routed_km")
+    back, down = F.col("backtracking_km") > F.greatest(F.lit(5.0), d * 0.08), F.col("max_drawdown_km") > F.greatest(F.lit(5.0), d * 0.03)
+    excess = routed - d > F.greatest(F.lit(20.0), d * 0.35)
+    repeated = F.col("max_repeat_km") > F.greatest(F.lit(5.0), d * 0.02)
+
+    def bad_ref(s: Column) -> Column:
+        box = s["bbox"]
+        inside = (box[1] >= V.RESTRICTED_REF_SOUTH) & (box[0] >= V.RESTRICTED_REF_WEST) & (s["distance_km"] <= V.RESTRICTED_REF_KM)
+        return ~F.coalesce((F.size(box) == 4) & ~F.exists(box, lambda v: finite(v).isNull()) & inside, F.lit(False))
+
+    ok = F.col("_ok")
+    signature = request_signature(V.ROUTING_VERSION, F.lit(controls_sha256), F.col("segment"))
+    audited = (F.col("audit_version") == V.ROAD_AUDIT_VERSION) & (F.size("roads") > 0)
+    checks = [
+        (F.col("_e").isNull(), "malformed key"),
+        (F.col("_e").isNotNull() & ~ok, "malformed coordinates"),
+        (ok & ~F.col("signature").eqNullSafe(signature), "stale signature"),
+        (ok & ~F.coalesce(audited, F.lit(False)), "missing road audit"),
+        (ok & audited & F.exists("roads", lambda r: F.rlike(r, F.lit(V.RESTRICTED_ROAD))), "restricted road"),
+        (ok & F.exists("ref_segments", bad_ref), "restricted reference"),
+        (ok & ~(same(F.col("start"), first) & same(F.col("end"), final)), "from or to differs"),
+        (ok & ~(same(F.col("_e")[0], first) & same(F.col("_e")[1], final)), "key differs"),
+        (ok & ((F.abs(F.col("direct_stored_km") - d) > 0.05) | (F.abs(F.col("distance_km") - routed) > 0.1)), "stale distances"),
+        (ok & F.exists("_legs", lambda leg: leg["same"]), "consecutive duplicates"),
+        (ok & F.exists("_legs", lambda leg: leg["km"] > V.MAX_CHORD_CHECK_KM), "long chord"),
+        (ok & (routed > d * V.MAX_DETOUR_RATIO + V.MAX_DETOUR_ALLOWANCE_KM), "detour"),
+        (ok & (repeated | (back & down) | (excess & (back | down))), "loop or backtracking"),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in checks]))
+    return shaped.select("segment", F.explode(found).alias("error"))

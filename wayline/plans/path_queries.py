@@ -118,11 +118,12 @@ def canonical_segments(spark, sf):
     return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("AG11 N7", with_ctes(TRACK, f"""ix AS (SELECT path, ts_us // 3600000000 % 24 AS seq, lng, lat FROM track), pt AS (SELECT path, seq // 6 AS part, seq, lng, lat FROM ix)""", """
+@query("AG11", with_ctes(TRACK, f"""pt AS (SELECT path, ts_us // 900000000 AS seq, ts_us // 900000000 // 4 AS part, lng, lat FROM track)""", """
 SELECT path, part, count(*) AS points, string_agg(printf('%.2f %.2f', lng, lat), ',' ORDER BY seq, lng, lat) AS line FROM pt GROUP BY path, part"""))
 def stops_in_order(spark, sf):
-    pts = track(spark, sf).withColumn("seq", F.floor(F.col("ts_us") / 3_600_000_000).cast("bigint") % 24)
-    parts = P.ordered_points(pts, ["path"], "seq", block=6)
+    """Point lists per hour; quarter hours tie, and ties go by position."""
+    pts = track(spark, sf).withColumn("seq", F.floor(F.col("ts_us") / 900_000_000).cast("bigint"))
+    parts = P.ordered_points(pts, ["path"], "seq", block=4)
     line = F.array_join(F.transform("points", lambda p: F.format_string("%.2f %.2f", p["lng"], p["lat"])), ",")
     return parts.select("path", "part", F.size("points").cast("bigint").alias("points"), line.alias("line"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayline import fixed_values as V
 from wayline.operators import quality as Q
 from wayline.operators import repair as G
-from wayline.plans.base import FIX, SHAPE, fixes, query, shapes, table, with_ctes
+from wayline.plans.base import FIX, SHAPE, SHAPEPT, fixes, km, query, shapes, table, with_ctes
 from wayline.plans.catalog_queries import FACIL, airport_rows, pick, pick_sql
 from wayline.operators import catalogs as K
 
@@ -149,3 +149,33 @@ def step_audit(spark, sf):
         F.when(k % 2 == 0, F.array(p(-73.2, 41.2), p(-73.1, 41.3))).otherwise(F.array(p(-72.7, 41.7), p(-72.6, 41.75))).alias("points"),
     )
     return G.audit_steps(steps).select("p_partkey", "road", "violation")
+
+
+@query("QC02 FN24", with_ctes(SHAPE, SHAPEPT, f"""s AS (SELECT vec_id, lng, lat, ix, lag(lng) OVER w AS pl, lag(lat) OVER w AS pa FROM shapept WINDOW w AS (PARTITION BY vec_id ORDER BY ix)),
+g AS (SELECT vec_id, sum({km('pl', 'pa', 'lng', 'lat')}) AS routed, max({km('pl', 'pa', 'lng', 'lat')}) AS chord, arg_min(lng, ix) AS x0, arg_min(lat, ix) AS y0, arg_max(lng, ix) AS x1, arg_max(lat, ix) AS y1 FROM s GROUP BY vec_id),
+d AS (SELECT *, {km('x0', 'y0', 'x1', 'y1')} AS direct FROM g)""", """
+SELECT vec_id, unnest(list_filter([CASE WHEN vec_id % 4 = 0 THEN 'stale signature' END, CASE WHEN vec_id % 6 = 0 THEN 'missing road audit' END, CASE WHEN vec_id % 6 = 1 THEN 'restricted road' END,
+ CASE WHEN vec_id % 7 = 0 THEN 'restricted reference' END, CASE WHEN vec_id % 8 = 0 THEN 'from or to differs' END, CASE WHEN vec_id % 9 = 0 THEN 'stale distances' END, CASE WHEN chord > 20.05 THEN 'long chord' END,
+ CASE WHEN routed > direct * 1.6 + 5 THEN 'detour' END], lambda e: e IS NOT NULL)) AS error FROM d"""))
+def road_cache_audit(spark, sf):
+    from wayline.functions.geo import array_path_km, haversine_km, token
+    from wayline.session import cut_lineage
+
+    k, pts = F.col("vec_id"), F.col("points")
+    a, b = pts[0], F.element_at("points", -1)
+    key = F.concat(F.lit("driving:"), token(a["lng"], a["lat"]), F.lit("|"), token(b["lng"], b["lat"]))
+    rows = shapes(spark, sf).withColumn("segment", key)
+    shifted = F.struct((a["lng"] + F.when(k % 8 == 0, 0.1).otherwise(0.0)).alias("lng"), a["lat"].alias("lat"))
+    ref = F.struct(F.lit(1.0).alias("distance_km"), F.when(k % 7 == 0, F.array(F.lit(-73.0), F.lit(41.0), F.lit(-72.0), F.lit(42.0))).otherwise(
+        F.array(F.lit(-72.7), F.lit(41.7), F.lit(-72.6), F.lit(41.8))).alias("bbox"))
+    cache = rows.select(
+        "vec_id", "segment", "points", F.concat_ws("|", F.lit(V.ROUTING_VERSION), F.when(k % 4 == 0, "old").otherwise("abc"), "segment").alias("signature"),
+        F.lit(V.ROAD_AUDIT_VERSION).alias("audit_version"), shifted.alias("start"), F.struct(b["lng"].alias("lng"), b["lat"].alias("lat")).alias("end"),
+        (array_path_km(pts) + F.when(k % 9 == 0, 1.0).otherwise(0.0)).alias("distance_km"), haversine_km(a["lng"], a["lat"], b["lng"], b["lat"]).alias("direct_stored_km"),
+        F.when(k % 6 == 0, F.array().cast("array<string>")).when(k % 6 == 1, F.array(F.lit("I 91"), F.lit("Merritt Pkwy"))).otherwise(F.array(F.lit("I 91"))).alias("roads"),
+        F.array(ref).alias("ref_segments"),
+    )
+    cache = cut_lineage(cache)
+    found = G.audit_cache(cache.drop("vec_id"), "abc").join(cache.select("vec_id", "segment"), "segment")
+    # loops have their own query
+    return found.where(F.col("error") != "loop or backtracking").select("vec_id", "error")
