@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from wayline import fixed_values as V
 from wayline.operators import routes as R
 from wayline.operators.trips import select_routes
-from wayline.plans.base import edge_values, inside_cte, query, r6, region_edges, table, track, with_ctes
-from wayline.plans.trip_queries import CALL, ROUTE, TRIP, feeds, gtfs
+from wayline.plans.base import TRACK, edge_values, inside_cte, km, query, r6, region_edges, table, track, with_ctes
+from wayline.plans.trip_queries import CALL, FALL, ROUTE, TRIP, feeds, gtfs
 
 FEEDCOL = """f AS (SELECT *, CASE feed WHEN 'f1' THEN 'amtrak' ELSE CASE kind WHEN 2 THEN 'commuter' WHEN 3 THEN 'bus' ELSE 'ferry' END END AS grp, CAST(route_id AS BIGINT) AS k FROM sel)"""
 
@@ -83,9 +83,33 @@ def _assembled(spark, sf):
     return R.assemble_routes(g, feeds(spark), region_edges(spark), none)
 
 
-@query("GEO07 SRC01 FLT03 FLT04 JN02 JN03 JN04 JN05 AG11 AG14 WN06")
+ASSEMBLED = [
+    ROUTE, TRIP, CALL, FALL, TRACK,
+    """shr AS (SELECT feed, shape_id, route_id FROM trip WHERE shape_id != '' AND (feed, route_id) IN (SELECT (feed, route_id) FROM sel) QUALIFY row_number() OVER (PARTITION BY feed, shape_id ORDER BY row_ix) = 1)""",
+    """apt AS (SELECT s.feed, s.route_id, 'shape:' || shape_id AS path, ts_us // 60000000 AS seq, lng, lat FROM shr s JOIN track k ON 'sh' || k.path = shape_id AND 'f' || (k.path % 5) = s.feed
+ UNION ALL SELECT f.feed, f.route_id, 'trip:' || f.trip_id, CAST(seq AS BIGINT), lng, lat FROM fb f JOIN call USING (feed, trip_id) JOIN stp USING (stop_id))""",
+    "spot AS (SELECT row_number() OVER () AS id, lng, lat FROM (SELECT DISTINCT lng, lat FROM apt))", edge_values(), inside_cte("spot"),
+    "hitp AS (SELECT DISTINCT feed, route_id, path, region FROM apt JOIN spot USING (lng, lat) JOIN inside USING (id))",
+    """keptp AS (SELECT feed, route_id, path, kind FROM (SELECT feed, route_id, path FROM apt GROUP BY ALL HAVING count(*) >= 2) JOIN sel USING (feed, route_id)
+ WHERE feed != 'f3' OR (feed, route_id, path) IN (SELECT (feed, route_id, path) FROM hitp))""",
+    f"""aleg AS (SELECT *, {km('pl', 'pa', 'lng', 'lat')} AS leg_km FROM (SELECT apt.*, kind, lag(lng) OVER w AS pl, lag(lat) OVER w AS pa FROM apt JOIN keptp USING (feed, route_id, path)
+ WINDOW w AS (PARTITION BY feed, route_id, path ORDER BY seq, lng, lat)))""",
+    "drawn AS (SELECT DISTINCT feed, route_id FROM aleg WHERE pl IS NOT NULL AND (kind != 3 OR leg_km <= 20))",
+    "o(region, rk) AS (VALUES ('ct',1),('ma',2),('me',3),('nh',4),('ri',5),('vt',6),('boston',7))",
+    """regs AS (SELECT feed, route_id, coalesce(string_agg(o.region, ',' ORDER BY rk), '') AS regions FROM (SELECT DISTINCT feed, route_id, region FROM hitp WHERE (feed, route_id, path) IN (SELECT (feed, route_id, path) FROM keptp))
+ h LEFT JOIN o USING (region) GROUP BY ALL)""",
+    FEEDCOL,
+]
+
+
+@query("GEO07 SRC01 FLT03 FLT04 JN02 JN03 JN04 JN05 AG11 AG14 WN06", with_ctes(*ASSEMBLED, f"""
+SELECT feed || ':' || route_id AS route, grp, CASE WHEN feed = 'f2' THEN '#123456' WHEN grp = 'amtrak' THEN '#5b9bd5' ELSE CASE kind WHEN 2 THEN '#a58add' WHEN 3 THEN '#f2b84b' ELSE '#2eb7c5' END END AS color,
+ CASE WHEN feed = 'f1' AND agency_id = '1' THEN 'Agency One' WHEN feed = 'f1' AND agency_id = '2' THEN 'Agency Two' ELSE 'Agency ' || right(feed, 1) END AS agency, label AS name,
+ CASE WHEN feed = 'f3' THEN 'Feed maker' ELSE '{V.DEFAULT_PROVIDER}' END AS provider, coalesce(regions, CASE WHEN feed IN ('f1', 'f3') THEN 'ct,ma' ELSE 'vt' END) AS regions,
+ CAST(NULL AS VARCHAR) AS geometry_accuracy, CASE WHEN feed = 'f1' AND url IS NOT NULL THEN url ELSE '{V.DEFAULT_SOURCE_URL}' END AS source_url
+FROM f JOIN drawn USING (feed, route_id) LEFT JOIN regs USING (feed, route_id)"""))
 def assembled_routes(spark, sf):
-    """Route features of the five feeds; parts are checked one by one by other queries and end to end on a fixture in the tests."""
+    """Route features of the five feeds, from routes, trips, shapes, stops and stop times."""
     f = _assembled(spark, sf)["features"]
     return f.select("route", "grp", "color", "agency", "name", "provider", F.array_join("regions", ",").alias("regions"), "geometry_accuracy", "source_url")
 
@@ -96,7 +120,8 @@ def assembled_paths(spark, sf):
     return p.groupBy("feed", "route_id").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("path").alias("paths"), r6(F.sum("lng")).alias("lng_sum"))
 
 
-@query("JN20 GEO04")
+@query("JN20 GEO04", with_ctes(*ASSEMBLED, """
+SELECT DISTINCT feed, route_id, printf('%.5f,%.5f', pl, pa) AS from_token, printf('%.5f,%.5f', lng, lat) AS to_token FROM aleg WHERE kind = 3 AND leg_km > 20"""))
 def assembled_missing(spark, sf):
     """Bus gaps above the chord limit that no cached road geometry covers."""
     return _assembled(spark, sf)["missing"].select("feed", "route_id", "from_token", "to_token").distinct()
