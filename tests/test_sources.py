@@ -1,6 +1,5 @@
 """File sources, route assembly and normalisers on small fixtures."""
 
-import io
 import json
 import zipfile
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
-from wayline.functions.numbers import finite
-from wayline.functions.times import epoch_time, micros, older_than, relative_age
+from wayline.functions.numbers import safe_number
+from wayline.functions.times import epoch_time, micros, relative_age
 from wayline.operators import counts as C
 from wayline.operators.normalise import age_rows, decode, layer_group
 from wayline.operators.ordered import first_wins, last_wins
@@ -150,6 +150,4 @@ def compass_headings(spark, sf):
 def safe_numbers(spark, sf):
     k = F.col("id") % 9
     raw = F.when(k == 0, "").when(k == 3, "NaN").when(k == 6, "1e999").otherwise(F.col("speed").cast("string"))
-    from wayline.functions.numbers import safe_number
-
     return fixes(spark, sf).select("id", safe_number(raw).alias("speed"))
