@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, packing, rans
+from wayline.llm import decontaminate, jaccard, packing, rans, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
 
+def fold(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(load(spark, sf_dir, "documents"))
 
@@ -28,8 +33,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = toxicity.fit(docs, labels, fold(4) != 2).score(docs, ["doc_id"])
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op6_decontamination)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op6_decontamination, op7_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
