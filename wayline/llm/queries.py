@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, packing, rans, toxicity
+from wayline.llm import decontaminate, jaccard, language, packing, rans, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -40,8 +40,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs, fold(3) != 1), ["doc_id"])
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op6_decontamination, op7_toxicity)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op6_decontamination, op7_toxicity, op8_language_spans)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
