@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, language, neighbours, packing, rans, toxicity
+from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, rans, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -28,6 +29,12 @@ def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(rans.write_tokens(load(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)), digest=True)
 
 
+def op5_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(load(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", partial(pii.is_kind, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "terms")).alias("spans"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,7 +58,7 @@ def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op6_decontamination, op7_toxicity, op8_language_spans, op10_posting_list_search)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op10_posting_list_search)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
