@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, rans, toxicity
+from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, rans, repeats, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -25,6 +25,10 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op3_run_length_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(rans.write_tokens(load(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)), digest=True)
 
@@ -63,7 +67,7 @@ def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
