@@ -30,7 +30,7 @@ from wayline.llm.components import component_roots
 from wayline.llm.shingles import WORDS, mixed, shingle_sets
 
 THRESHOLD = 85  # per cent
-SPARE_SHARE = 0.05  # of a set's shingles, beyond what it may lack, in step 1
+SPARE_SHARE = 0.1  # of a set's shingles, beyond what it may lack, in step 1
 BLOCK_SHINGLES = 1_000_000  # of a block in step 3
 
 
@@ -189,13 +189,14 @@ def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_number"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, text_number bigint, n_shingles bigint, node bigint, head array<bigint>"
     signatures = staged(rows.mapInArrow(_signatures(words, threshold), schema), "uncompressed")
-    # the texts of the sets that may have partners; joined by size, so a long list is shuffled and not broadcast
+    # the texts of the sets that may have partners; their list grows with the corpus, so it is never broadcast
     chosen = staged(_sharing(signatures, threshold).distinct())
-    texts = rows.join(chosen, "text_number").select("text")
+    texts = rows.join(chosen.hint("merge"), "text_number").select("text")
     sets = texts.mapInArrow(_full_sets(words), "node bigint, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
     roots = component_roots(links(staged(sets, "uncompressed"), threshold))
     known = signatures.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     place = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node"))
     placed = known.select("doc_id", "n_shingles", place.alias("place"))
-    smallest = placed.filter("place IS NOT NULL").groupBy("place").agg(F.min("doc_id").alias("first"))
+    # staged, so that the join below has its own shuffle, whose large partitions Spark can split
+    smallest = staged(placed.filter("place IS NOT NULL").groupBy("place").agg(F.min("doc_id").alias("first")))
     return placed.join(smallest, "place", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))

@@ -57,8 +57,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
             s = np.sort(rolled[at : at + k - words + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif k:
-            short = (hashes[at : at + k] * c[:k]).sum(dtype=np.uint64) + np.uint64(k) * c[words]
-            out.append(mixed(np.array([short], np.uint64)))
+            short = (hashes[at : at + k] * c[:k]).sum(dtype=np.uint64, keepdims=True) + c[words : words + 1] * np.uint64(k)
+            out.append(mixed(short))
         else:
             out.append(np.empty(0, np.uint64))
         at += k
