@@ -27,7 +27,7 @@ BLOCK_CHARS = 1 << 24
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _automata: dict[str, list] = {}
 SCHEMA = (
-    "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, "
+    "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, "
     "spans array<struct<start int, end int>>"
 )
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -100,23 +100,31 @@ def scan(text: str, automata: list) -> tuple[int, int, set, list[tuple[int, int]
     return n_words, int(hit.sum()), {i for f in found for i in f[2]}, spans
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document with its hit words, the items whose windows occur, and the hit spans of the original text."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per document: columns ``keep``, its hit words, the items whose windows occur, and the hit spans of the original text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct()
-    blocks = automaton_blocks([tuple(r) for r in items.toLocalIterator()], window)
+    blocks = automaton_blocks([tuple(r) for r in items.toLocalIterator()], window, block_chars)
     key = hashlib.sha256(pickle.dumps(blocks)).hexdigest()
     sent = spark.sparkContext.broadcast(blocks)
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automaton(key, sent.value)
-        for batch in slices(batches, "text"):
-            out = [scan(t or "", automata) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, "_text"):
+            out = [scan(t, automata) for t in batch.column(len(keep)).to_pylist()]
             ids = [sorted(i for i in r[2] if i is not None) for r in out]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]), pa.array([r[1] > 0 for r in out]), pa.array(ids, pa.list_(pa.string())),
+                *batch.columns[: len(keep)], pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]), pa.array([r[1] > 0 for r in out], pa.bool_()), pa.array(ids, pa.list_(pa.string())),
                 pa.array([[{"start": a, "end": b} for a, b in r[3]] for r in out], _SPAN),
-            ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+            ], names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, f"{kept}, {SCHEMA}")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of ``docs`` that hold no window of the benchmark."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return contamination(rows, benchmark, window, ("row",)).filter("NOT contaminated").select("row.*")

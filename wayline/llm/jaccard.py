@@ -184,8 +184,8 @@ def links(sets: DataFrame, threshold: int = THRESHOLD, block_shingles: int = BLO
     return met.groupBy("root", "x", "y").applyInArrow(_meet(threshold), "a bigint, b bigint")
 
 
-def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, text_number, n_shingles, place) for every row: rows with one place are linked; null without shingles."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_number"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, text_number bigint, n_shingles bigint, node bigint, head array<bigint>"
     signatures = staged(rows.mapInArrow(_signatures(words, threshold), schema), "uncompressed")
@@ -194,9 +194,29 @@ def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     texts = rows.join(chosen.hint("merge"), "text_number").select("text")
     sets = texts.mapInArrow(_full_sets(words), "node bigint, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
     roots = component_roots(links(staged(sets, "uncompressed"), threshold))
-    known = signatures.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
-    place = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node"))
-    placed = known.select("doc_id", "n_shingles", place.alias("place"))
+    known = signatures.select("doc_id", "text_number", "n_shingles", "node").join(roots, "node", "left")
+    return known.select("doc_id", "text_number", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("place"))
+
+
+def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    placed = grouped(docs, words, threshold)
     # staged, so that the join below has its own shuffle, whose large partitions Spark can split
     smallest = staged(placed.filter("place IS NOT NULL").groupBy("place").agg(F.min("doc_id").alias("first")))
     return placed.join(smallest, "place", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last). Rows without shingles stay."""
+    placed = grouped(docs, words, threshold)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_number")
+    best = placed.filter("place IS NOT NULL").groupBy("place").agg(F.min(rank).alias("best"), F.count("*").alias("rows"))
+    # where a component is one row nothing has to be compared; the other rows that stay are listed
+    listed = staged(placed.join(best, "place", "left").filter("rows > 1").select("doc_id", "text_number", (rank == F.col("best")).alias("stays")))
+    verdicts = listed.groupBy("doc_id", "text_number").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_number"))
+    joined = rows.alias("r").join(verdicts.alias("v"), F.col("r.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("r.text_number") == F.col("v.text_number")), "left")
+    kept = joined.filter(F.coalesce("stays", F.lit(True))).select("row", "r.doc_id", "r.text_number", F.coalesce("copies", F.lit(1)).alias("copies"))
+    single = kept.filter("copies = 1").select("row.*")
+    repeated = kept.filter("copies > 1").dropDuplicates(["doc_id", "text_number"]).select("row.*")
+    return single.unionByName(repeated)

@@ -149,7 +149,7 @@ def _pack(path: str):
 
 def lexical_key(text: Column) -> Column:
     """Smallest hash of the text's words: equal for equal word sets, often equal for near ones."""
-    return F.coalesce(F.array_min(F.transform(F.split(F.lower(text), "[^a-zÀ-ɏ0-9]+"), lambda w: F.xxhash64(w))), F.lit(0).cast("bigint"))
+    return F.coalesce(F.array_min(F.transform(F.split(F.lower(text), " "), lambda w: F.xxhash64(w))), F.lit(0).cast("bigint"))
 
 
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:

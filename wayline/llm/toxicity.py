@@ -115,12 +115,12 @@ class Marks(dict):
 def with_features(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the features of ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(lexicon))
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(sent.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "_text"):
             values = np.array([marks.features(t) for t in batch.column(len(keep)).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(values[:, i]) for i in range(len(FEATURES)))], names=[*keep, *FEATURES])
             if len(marks) > PIECES_KEPT:
@@ -143,6 +143,11 @@ class ToxicityModel:
         raw = self.trees.transform(felt).select(*keep, vector_to_array("probability")[1].alias("raw"))
         return self.calibration.transform(raw).select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
 
+    def without_toxic(self, docs: DataFrame, cut: float = CUT) -> DataFrame:
+        """Rows of ``docs`` with a score under ``cut``; a row travels as one struct, so its column names cannot clash with others."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+        return self.score(rows, ["row"]).filter(F.col("score") < cut).select("row.*")
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, toxic) of at most ``rows`` labelled doc_ids for which ``learn_from`` holds."""
