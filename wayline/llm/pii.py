@@ -147,7 +147,7 @@ def written(spans: Column) -> Column:
 def sanitised(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in angle brackets, or left out where its value is ``remove``."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("before"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
