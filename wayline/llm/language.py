@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from wayline.llm.common import slices, staged
 
 SAMPLE_ROWS, MOST_GRAMS = 8_000, 150_000
-GRAM_SIZES = (1, 2, 3, 4)
+GRAM_SIZES = (2, 3)
 PENALTY, WORST = 12.0, -6.0
 WORDS_KEPT = 400_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
 UNKNOWN = "und"
 #: First and last code point of scripts.
 SCRIPTS = {
@@ -93,33 +93,52 @@ def learn(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> Langu
 
 
 class Words(dict):
-    """word -> row of ``scores``, filled on demand."""
+    """word -> its row of ``scores``; new words are listed on demand and scored together."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows = model, []
+        self.index = {g: i for i, g in enumerate(model.table)}
+        self.values = np.array([*model.table.values(), np.zeros(len(model.langs))])
+        self.allowed = {name: np.where(ok, 0.0, -np.inf) for name, ok in model.scripts.items() if ok.any()}
+        self.free = np.zeros(len(model.langs))
+        self.done = np.zeros((0, len(model.langs)))
+        self.flat: list[int] = []
+        self.ends: list[int] = []
+        self.masks: list[np.ndarray] = []
 
     def __missing__(self, word: str) -> int:
-        table = self.model.table
-        found = [table[g] for g in grams(word[:64]) if g in table]
-        total = np.sum(found, axis=0) / len(GRAM_SIZES) if found else np.zeros(len(self.model.langs))
-        allowed = self.model.scripts.get(script_of(word))
-        if allowed is not None and allowed.any():
-            total = np.where(allowed, total, -np.inf)
-        self.rows.append(np.maximum(total - total.max(), WORST))
-        self[word] = len(self.rows) - 1
-        return self[word]
+        marked, find, none = f"^{word[:64].lower()}$", self.index.get, len(self.index)
+        for n in GRAM_SIZES:
+            self.flat += [find(marked[i : i + n], none) for i in range(len(marked) - n + 1)]
+        self.ends.append(len(self.flat))
+        self.masks.append(self.allowed.get("latin" if word[0] < "\u0250" else script_of(word), self.free))
+        self[word] = at = len(self)
+        return at
+
+    def scores(self) -> np.ndarray:
+        """Score of every word known so far by language: 0 for the best."""
+        if self.ends:
+            sums = np.add.reduceat(self.values[self.flat], [0, *self.ends[:-1]]) / len(GRAM_SIZES) + np.array(self.masks)
+            self.done = np.concatenate((self.done, np.maximum(sums - sums.max(1, keepdims=True), WORST)))
+            self.flat, self.ends, self.masks = [], [], []
+        return self.done if len(self.done) else np.zeros((1, len(self.free)))
 
 
 def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[np.ndarray]:
-    """Best labels of each text's words (rows of ``scores``); all texts advance word by word together."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    """Best labels of each text's words (rows of ``scores``, best 0); all texts advance word by word together.
+
+    A text whose best single language lacks no more than one change costs keeps that language: no path can be better.
+    """
+    alone = np.array([scores[t].sum(0) for t in texts]).reshape(len(texts), -1)
+    single = alone.max(1, initial=-np.inf) >= -penalty
+    result = [np.full(len(t), a.argmax() if s else 0, np.int8) for t, a, s in zip(texts, alone, single, strict=True)]
+    order = sorted(np.flatnonzero(~single).tolist(), key=lambda i: -len(texts[i]))
     sizes = np.array([len(texts[i]) for i in order])
     longest = int(sizes.max(initial=0))
     active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")  # texts with a word at each step
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate([texts[i] for i in order]) if longest else np.empty(0, np.int64)
-    value = np.zeros((len(texts), scores.shape[1]))
+    value = np.zeros((len(order), scores.shape[1]))
     back = []
     for t in range(longest):
         k = active[t]
@@ -134,7 +153,6 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
         k = active[t]
         out[starts[:k] + t] = label[:k]
         label[:k] = back[t][np.arange(k), label[:k]]
-    result: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
     for place, i in enumerate(order):
         result[i] = out[starts[place] : starts[place] + sizes[place]]
     return result
@@ -165,7 +183,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], penalty: flo
             else:
                 cut = [_WORD.findall(t) for t in texts]
                 rows_of = [np.fromiter(map(words.__getitem__, c), np.int64, len(c)) for c in cut]
-                labels = viterbi(rows_of, np.array(words.rows) if words.rows else np.zeros((1, len(learned.langs))), penalty)
+                labels = viterbi(rows_of, words.scores(), penalty)
                 found = []
                 for text, c, own in zip(texts, cut, labels, strict=True):
                     if not c:
