@@ -12,23 +12,40 @@ POINTS_TYPE = T.ArrayType(T.StructType([T.StructField("lng", T.DoubleType()), T.
 
 
 def _decode_batch(texts: pd.Series) -> list[list[dict[str, float]] | None]:
-    """Decode a whole Arrow batch in one pass over its concatenated bytes."""
-    raw = [t.encode("latin-1") if t is not None else b"" for t in texts]
+    """Decode a whole Arrow batch in one pass over its concatenated bytes.
+
+    A text that ends inside a number, has an odd count of numbers, or holds a byte that the code does not have is null; its
+    neighbours in the batch are not touched. A number has at most 12 digits of five bits.
+    """
+    raw = [t.encode("latin-1", "replace") if t is not None else b"" for t in texts]
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - 63
-    ends = np.flatnonzero(codes < 32)
+    borders = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(raw)), sizes)
+    final = codes < 32
+    broken = np.zeros(len(raw), dtype=bool)
+    full = sizes > 0
+    broken[full] = ~final[borders[full] - 1]
+    broken[row[(codes < 0) | (codes > 63)]] = True
+    stops = final.copy()
+    stops[borders[full] - 1] = True  # no number goes on into the next text
+    ends = np.flatnonzero(stops)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    run = np.arange(len(codes)) - np.repeat(starts, ends - starts + 1) if len(ends) else codes
-    values = np.add.reduceat((codes & 31) << (5 * run), starts) if len(ends) else codes
+    run = np.arange(len(codes)) - np.repeat(starts, ends - starts + 1)
+    broken[row[run > 11]] = True
+    values = np.add.reduceat((codes & 31) << np.minimum(5 * run, 60), starts) if len(ends) else codes
     deltas = np.where(values & 1, ~(values >> 1), values >> 1)
-    owner = np.searchsorted(np.cumsum(sizes), ends, side="right")
-    counts = np.bincount(owner, minlength=len(raw)) if len(ends) else np.zeros(len(raw), dtype=np.int64)
+    counts = np.bincount(row[ends], minlength=len(raw)) if len(ends) else np.zeros(len(raw), dtype=np.int64)
+    broken |= counts % 2 == 1
     out: list[list[dict[str, float]] | None] = []
     at = 0
-    for n, text in zip(counts, texts):
-        pair = deltas[at : at + n].reshape(-1, 2).cumsum(axis=0) / 1e5
+    for n, text, bad in zip(counts, texts, broken):
+        if text is None or bad:
+            out.append(None)
+        else:
+            pair = deltas[at : at + n].reshape(-1, 2).cumsum(axis=0) / 1e5
+            out.append([{"lng": x, "lat": y} for y, x in pair.tolist()])
         at += n
-        out.append(None if text is None else [{"lng": x, "lat": y} for y, x in pair.tolist()])
     return out
 
 
@@ -45,7 +62,7 @@ def _encode_delta(delta: Column) -> Column:
         more = F.when(F.shiftright(zigzag, 5 * (k + 1)) > 0, 32).otherwise(0)
         return F.when((rest > 0) | F.lit(k == 0), F.char(rest.bitwiseAND(31) + more + F.lit(63))).otherwise("")
 
-    return F.concat(*[digit(k) for k in range(6)])
+    return F.concat(*[digit(k) for k in range(12)])
 
 
 def encode_polyline(points: Column) -> Column:

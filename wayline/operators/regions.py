@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ from wayline.session import row_bound
 
 EDGE_SCHEMA = "region string, poly int, ring int, x1 double, y1 double, x2 double, y2 double"
 BAND_DEG = 0.02
-MAX_BROADCAST_EDGES = 200_000
+CELL_DEG = 0.5
+MAX_BROADCAST_ROWS = 1_000_000  # of a table after it was spread over bands or cells
 SALTS = 16
+_bound: ContextVar[int] = ContextVar("broadcast_bound", default=MAX_BROADCAST_ROWS)
 
 
 def edges_from_rings(spark: SparkSession, rings: Sequence[tuple[str, int, int, Sequence[tuple[float, float]]]]) -> DataFrame:
@@ -74,24 +78,32 @@ def region_bands(edges: DataFrame, band_deg: float = BAND_DEG) -> DataFrame:
     return per_poly.groupBy("band").agg(F.collect_list(F.struct("region", "outer", "holes")).alias("polys"))
 
 
-def assign_regions(
-    points: DataFrame,
-    edges: DataFrame,
-    lng: str = "lng",
-    lat: str = "lat",
-    band_deg: float = BAND_DEG,
-    max_broadcast_edges: int = MAX_BROADCAST_EDGES,
-    point_id: Sequence[str] | None = None,
-) -> DataFrame:
+@contextmanager
+def broadcast_bound(rows: int) -> Iterator[None]:
+    """Bound of broadcast tables while plans are built; 0 forces the shuffled form everywhere."""
+    token = _bound.set(rows)
+    try:
+        yield
+    finally:
+        _bound.reset(token)
+
+
+def within_bound(table: DataFrame) -> bool:
+    """Whether the table as it would be broadcast, that is after it was spread over bands or cells, keeps to the bound."""
+    return row_bound(table, _bound.get())
+
+
+def assign_regions(points: DataFrame, edges: DataFrame, lng: str = "lng", lat: str = "lat", band_deg: float = BAND_DEG) -> DataFrame:
     """Add ``regions``: sorted ids of the regions that contain the point (even-odd rule, holes subtract).
 
-    A region table within ``max_broadcast_edges`` edges is broadcast by band, so points are not
-    shuffled at all. A larger one is joined on (band, salt) and crossings are counted per
-    ``point_id``, which is then required.
+    Where the edges by band keep to the broadcast bound, points are not shuffled at all. Otherwise every position is looked
+    up once: positions meet the edges of rings that reach over their cell of longitude in their band, crossings are counted
+    per position, and the result is joined back on the position, so a place with very many rows costs one row here.
     """
     band = F.floor(F.col(lat) / F.lit(band_deg)).cast("bigint")
     x, y = F.col(lng), F.col(lat)
-    if row_bound(edges, max_broadcast_edges):
+    banded = _banded(edges, band_deg)
+    if within_bound(banded):
         joined = points.withColumn("band", band).join(F.broadcast(region_bands(edges, band_deg)), "band", "left")
         hits = F.filter(
             F.col("polys"),
@@ -100,27 +112,26 @@ def assign_regions(
         ids = F.array_sort(F.array_distinct(F.transform(hits, lambda p: p["region"])))
         return joined.withColumn("regions", F.coalesce(ids, F.array().cast("array<string>"))).drop("band", "polys")
 
-    if point_id is None:
-        raise ValueError("a region table beyond the broadcast bound needs point_id")
-    ids = list(point_id)
-    salted_edges = _banded(edges, band_deg).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted_points = points.select(*ids, x.alias("px"), y.alias("py"), band.alias("band")).withColumn(
-        "salt", F.pmod(F.hash(*ids), F.lit(SALTS))
-    )
+    ring = ["band", "region", "poly", "ring"]
+    reach = banded.groupBy(*ring).agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"))
+    cells = F.sequence(F.floor(F.col("west") / CELL_DEG), F.floor(F.col("east") / CELL_DEG))
+    spread = banded.join(reach.select(*ring, F.explode(cells).alias("cell")), ring)
+    places = points.select(x.alias("px"), y.alias("py")).where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
+    placed = places.withColumns({"band": F.floor(F.col("py") / F.lit(band_deg)).cast("bigint"), "cell": F.floor(F.col("px") / CELL_DEG)})
     e = F.struct("x1", "y1", "x2", "y2")
     crossings = (
-        salted_points.join(salted_edges, ["band", "salt"])
+        placed.join(spread, ["band", "cell"])
         .where(_crosses(e, F.col("px"), F.col("py")))
-        .groupBy(*ids, "region", "poly", "ring").count()
+        .groupBy("px", "py", "region", "poly", "ring").count()
         .where(F.col("count") % 2 == 1)
     )
     inside = (
-        crossings.groupBy(*ids, "region", "poly")
+        crossings.groupBy("px", "py", "region", "poly")
         .agg(F.max(F.col("ring") == 0).alias("in_outer"), F.max(F.col("ring") > 0).alias("in_hole"))
         .where(F.col("in_outer") & ~F.col("in_hole"))
-        .groupBy(*ids).agg(F.array_sort(F.collect_set("region")).alias("regions"))
+        .groupBy("px", "py").agg(F.array_sort(F.collect_set("region")).alias("regions"))
     )
-    return points.join(inside, ids, "left").withColumn(
+    return points.join(inside, (x == F.col("px")) & (y == F.col("py")), "left").drop("px", "py").withColumn(
         "regions", F.coalesce("regions", F.array().cast("array<string>"))
     )
 
@@ -173,23 +184,21 @@ def probe_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "region string, probe_ix int, lat0 double, lng0 double, radius_km double")
 
 
-def within_radius(points: DataFrame, circles: DataFrame, band_deg: float = 0.25, max_broadcast: int = 50_000) -> DataFrame:
-    """Pairs of a point and a circle that contains it; circles reach points through latitude bands."""
-    reach = F.col("radius_km") / F.lit(110.0)
-    banded = circles.withColumn(
-        "band",
-        F.explode(F.sequence(F.floor((F.col("lat0") - reach) / band_deg), F.floor((F.col("lat0") + reach) / band_deg))),
-    )
-    located = points.withColumn("band", F.floor(F.col("lat") / band_deg).cast("bigint"))
-    if row_bound(circles, max_broadcast):
-        pairs = located.join(F.broadcast(banded), "band")
+def within_radius(points: DataFrame, circles: DataFrame, cell_deg: float = 0.25) -> DataFrame:
+    """Pairs of a point and a circle that contains it; circles reach points through cells of latitude and longitude."""
+    up = F.col("radius_km") / F.lit(110.0)
+    # a degree of longitude is shortest at the latitude of the circle that is farthest from the equator
+    across = up / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("lat0")) + up))), F.lit(0.01))
+    spread = _cells(circles, F.col("lng0") - across, F.col("lng0") + across, F.col("lat0") - up, F.col("lat0") + up, cell_deg)
+    here = [F.floor(F.col(c) / F.lit(cell_deg)).alias(n) for c, n in (("lng", "cx"), ("lat", "cy"))]
+    located = points.select("*", *here)
+    if within_bound(spread):
+        pairs = located.join(F.broadcast(spread), ["cx", "cy"])
     else:
-        salted = banded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = located.withColumn("salt", F.pmod(F.xxhash64("lng", "lat"), F.lit(SALTS)).cast("int")).join(
-            salted, ["band", "salt"]
-        ).drop("salt")
+        salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = located.withColumn("salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")).join(salted, ["cx", "cy", "salt"]).drop("salt")
     distance = haversine_km(F.col("lng0"), F.col("lat0"), F.col("lng"), F.col("lat"))
-    return pairs.withColumn("distance_km", distance).where(F.col("distance_km") <= F.col("radius_km")).drop("band")
+    return pairs.withColumn("distance_km", distance).where(F.col("distance_km") <= F.col("radius_km")).drop("cx", "cy")
 
 
 def _cells(df: DataFrame, x_low: Column, x_high: Column, y_low: Column, y_high: Column, cell: float) -> DataFrame:
@@ -206,13 +215,12 @@ def edge_cells(edges: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     )
 
 
-def near_edges(points: DataFrame, edges: DataFrame, radius: float, name: str, ids: Sequence[str], cell: float = 0.05,
-               max_broadcast_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+def near_edges(points: DataFrame, edges: DataFrame, radius: float, name: str, ids: Sequence[str], cell: float = 0.05) -> DataFrame:
     """Add boolean ``name``: the point lies within ``radius`` degrees of an edge."""
     here = [F.floor(F.col(c) / F.lit(cell)).cast("bigint").alias(n) for c, n in (("lng", "cx"), ("lat", "cy"))]
     distance = lambda e: segment_distance(F.col("lng"), F.col("lat"), e["x1"], e["y1"], e["x2"], e["y2"])
     touched = edge_cells(edges, cell, radius)
-    if row_bound(edges, max_broadcast_edges):
+    if within_bound(touched):
         per_cell = touched.groupBy("cx", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
         joined = points.select("*", *here).join(F.broadcast(per_cell), ["cx", "cy"], "left")
         hit = F.coalesce(F.exists("_edges", lambda e: distance(e) <= radius), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
@@ -23,12 +23,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> D
 
 
 def consecutive_diffs(polls: DataFrame, source: str = "source", entity: str = "entity", poll: str = "poll") -> DataFrame:
-    """Snapshot difference of every poll against the one before it, all sources at once."""
+    """Snapshot difference of every poll against the source's poll before it, whatever numbers were skipped between."""
     index = polls.select(source, poll).distinct()
-    nxt = index.select(source, F.col(poll).alias("_after"), (F.col(poll) - 1).alias(poll))
-    # a row of poll p is the "before" side of p + 1 only where p + 1 was polled
-    moved_up = polls.join(nxt, [source, poll], "left_semi").withColumn(poll, F.col(poll) + 1)
-    return snapshot_diff(moved_up, polls, [source, poll, entity])
+    following = F.lead(poll).over(Window.partitionBy(source).orderBy(poll))  # a row per poll, not per entity
+    nxt = index.select(source, poll, following.alias("_after")).where(F.col("_after").isNotNull())
+    before = polls.join(nxt, [source, poll]).withColumn(poll, F.col("_after")).drop("_after")
+    return snapshot_diff(before, polls, [source, poll, entity])
 
 
 def hold_last_good(polls: DataFrame, hold_s: float = V.LAST_GOOD_HOLD_S, chunk: Column | None = None) -> DataFrame:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from wayline import fixed_values as V
 from wayline.functions.geo import planar_distance, segment_distance
 from wayline.operators.ordered import OrderedScan, block_chunk
-from wayline.operators.regions import MAX_BROADCAST_EDGES, SALTS, _cells, assign_regions, edge_cells, near_edges
-from wayline.session import row_bound
+from wayline.operators.regions import SALTS, _cells, assign_regions, edge_cells, near_edges, within_bound
 
 CELL_DEG = 0.05
 
@@ -62,7 +61,7 @@ def dry_pieces(points: DataFrame, edges: DataFrame, keys: list[str], buffer: flo
     legs = scan.settle().df.where(F.col("sx").isNotNull()).withColumnsRenamed({"lng": "ex", "lat": "ey"})
     touched = edge_cells(edges, cell, buffer)
     located = _cells(legs, F.least("sx", "ex"), F.greatest("sx", "ex"), F.least("sy", "ey"), F.greatest("sy", "ey"), cell)
-    if row_bound(edges, MAX_BROADCAST_EDGES):
+    if within_bound(touched):
         met = located.join(F.broadcast(touched), ["cx", "cy"])
     else:
         salted = touched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -89,7 +88,7 @@ def dry_pieces(points: DataFrame, edges: DataFrame, keys: list[str], buffer: flo
 
     def classify(df: DataFrame) -> DataFrame:
         slim = df.drop("_next_ix", "_next_t", "sx", "sy", "ex", "ey")
-        flagged = near_edges(assign_regions(slim, edges, point_id=ids), water, buffer, "near_water", ids, cell)
+        flagged = near_edges(assign_regions(slim, edges), water, buffer, "near_water", ids, cell)
         return flagged.withColumn("dry", _is_dry(F.col("regions"), F.col("near_water"))).drop("regions", "near_water", "lng", "lat", "u")
 
     return pieces.transform(classify).settle()
@@ -121,7 +120,7 @@ def failing_routes(runs: DataFrame, route: str) -> DataFrame:
 def inland_controls(controls: DataFrame, edges: DataFrame, ids: list[str], margin: float = V.CONTROL_INLAND_DEG) -> DataFrame:
     """Control points on land and farther than ``margin`` from any shore."""
     water, shore = edges.where(F.col("region") == "water"), edges.where(F.col("region") != "water")
-    rows = assign_regions(controls, edges, point_id=ids)
+    rows = assign_regions(controls, edges)
     rows = near_edges(rows, water, V.WATER_BUFFER_DEG, "near_water", ids)
     rows = near_edges(rows, shore, margin, "near_shore", ids)
     rows = near_edges(rows, water, margin + V.WATER_BUFFER_DEG, "near_bank", ids)

@@ -50,9 +50,9 @@ def relevance(spark, sf):
     return A.relevant_alerts(alerts(spark, sf), kinds(spark, sf)).select("id", "severity")
 
 
-@query("ST01 ST04", with_ctes(ALERT, "SELECT id, severity, source FROM alert ORDER BY severity DESC, source, id LIMIT 25"))
+@query("ST01 ST04", with_ctes(ALERT, "SELECT id, severity, source FROM alert"))
 def alert_top(spark, sf):
-    return A.ranked(alerts(spark, sf)).select("id", "severity", "source").limit(25)
+    return A.ranked(alerts(spark, sf)).select("id", "severity", "source")
 
 
 @query("AG08 SRC23", with_ctes(ALERT, """member AS (SELECT 'silver' AS grp, unnest(['741','742','743','746','749','751']) AS route UNION ALL SELECT CASE o_custkey % 400 % 2 WHEN 0 THEN 'bus' ELSE 'ferry' END, 'r' || (o_custkey % 400) FROM orders)""", """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
 from wayline.operators.ordered import OrderedScan, time_chunk
-from wayline.operators.regions import box_rings, edges_from_rings
+from wayline.operators.regions import box_rings, broadcast_bound, edges_from_rings
 from wayline.session import use_utc
 
 NOW_TEXT = "2024-01-15 12:00:00"
@@ -43,6 +43,18 @@ def query(operators: str, sql: str | None = None) -> Callable:
     return register
 
 
+def shuffled_form(name: str) -> None:
+    """Register a query once more with the broadcast bound at 0, under the same SQL."""
+    entry = REGISTRY[name]
+
+    @wraps(entry.run)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with broadcast_bound(0):
+            return entry.run(spark, sf_dir)
+
+    REGISTRY[f"{name}_shuffled"] = Entry(run, entry.sql, entry.operators)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,9 +12,9 @@ from wayline.plans.catalog_queries import FACIL, airport_rows, pick, pick_sql
 from wayline.operators import catalogs as K
 
 
-@query("QC06", """SELECT 'unique_id' AS check_id, CAST(l_orderkey AS VARCHAR) AS key, 'x' || count(*) AS detail FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING count(*) > 1""")
+@query("QC06", """SELECT 'unique_id' AS check_id, l_orderkey || ':' || l_linenumber AS key, 'x' || count(*) AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def duplicate_ids(spark, sf):
-    return Q.duplicate_ids(table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1), "l_orderkey")
+    return Q.duplicate_ids(table(spark, sf, "lineitem").withColumn("line", F.concat_ws(":", "l_orderkey", "l_linenumber")), "line")
 
 
 REQ = "('AFRICA'), ('ASIA'), ('ATLANTIS')"
@@ -151,12 +151,27 @@ def step_audit(spark, sf):
     return G.audit_steps(steps).select("p_partkey", "road", "violation")
 
 
-@query("QC02 FN24", with_ctes(SHAPE, SHAPEPT, f"""s AS (SELECT vec_id, lng, lat, ix, lag(lng) OVER w AS pl, lag(lat) OVER w AS pa FROM shapept WINDOW w AS (PARTITION BY vec_id ORDER BY ix)),
+#: Backtracking, largest drawdown and largest repeat separation of every shape.
+LOOP = f"""le AS (SELECT vec_id, ix, lng, lat, {km('pl', 'pa', 'lng', 'lat')} AS leg FROM s),
+sc AS (SELECT vec_id, x0, y0, x1, y1, 111.32 * cos(radians((y0 + y1) / 2)) AS kx FROM g),
+pg AS (SELECT l.*, ((lng - x0) * kx * (x1 - x0) * kx + (lat - y0) * 110.57 * (y1 - y0) * 110.57)
+  / coalesce(nullif(sqrt(pow((x1 - x0) * kx, 2) + pow((y1 - y0) * 110.57, 2)), 0), 1) AS p, printf('%.5f,%.5f', lng, lat) AS tk FROM le l JOIN sc USING (vec_id)),
+wp AS (SELECT *, lag(p) OVER (PARTITION BY vec_id ORDER BY ix) AS pp, max(p) OVER (PARTITION BY vec_id ORDER BY ix) AS peak,
+  coalesce(sum(leg) OVER (PARTITION BY vec_id ORDER BY ix), 0) AS cum FROM pg),
+wf AS (SELECT *, min(ix) OVER (PARTITION BY vec_id, tk) AS fix0, min(cum) OVER (PARTITION BY vec_id, tk) AS cum0 FROM wp),
+loops AS (SELECT vec_id, coalesce(sum(greatest(0, pp - p)) FILTER (WHERE pp IS NOT NULL), 0) AS bk, max(peak - p) AS dn,
+  coalesce(max(cum - cum0) FILTER (WHERE ix - fix0 > 2), 0) AS rep FROM wf GROUP BY vec_id)"""
+
+
+@query("QC02 GEO05 FN24", with_ctes(SHAPE, SHAPEPT, f"""s AS (SELECT vec_id, lng, lat, ix, lag(lng) OVER w AS pl, lag(lat) OVER w AS pa FROM shapept WINDOW w AS (PARTITION BY vec_id ORDER BY ix)),
 g AS (SELECT vec_id, sum({km('pl', 'pa', 'lng', 'lat')}) AS routed, max({km('pl', 'pa', 'lng', 'lat')}) AS chord, arg_min(lng, ix) AS x0, arg_min(lat, ix) AS y0, arg_max(lng, ix) AS x1, arg_max(lat, ix) AS y1 FROM s GROUP BY vec_id),
-d AS (SELECT *, {km('x0', 'y0', 'x1', 'y1')} AS direct FROM g)""", """
+d0 AS (SELECT *, {km('x0', 'y0', 'x1', 'y1')} AS direct FROM g),
+{LOOP},
+d AS (SELECT *, (rep > greatest(5.0, direct * 0.02)) OR (bk > greatest(5.0, direct * 0.08) AND dn > greatest(5.0, direct * 0.03))
+ OR (routed - direct > greatest(20.0, direct * 0.35) AND (bk > greatest(5.0, direct * 0.08) OR dn > greatest(5.0, direct * 0.03))) AS lp FROM d0 JOIN loops USING (vec_id))""", """
 SELECT vec_id, unnest(list_filter([CASE WHEN vec_id % 4 = 0 THEN 'stale signature' END, CASE WHEN vec_id % 6 = 0 THEN 'missing road audit' END, CASE WHEN vec_id % 6 = 1 THEN 'restricted road' END,
  CASE WHEN vec_id % 7 = 0 THEN 'restricted reference' END, CASE WHEN vec_id % 8 = 0 THEN 'from or to differs' END, CASE WHEN vec_id % 9 = 0 THEN 'stale distances' END, CASE WHEN chord > 20.05 THEN 'long chord' END,
- CASE WHEN routed > direct * 1.6 + 5 THEN 'detour' END], lambda e: e IS NOT NULL)) AS error FROM d"""))
+ CASE WHEN routed > direct * 1.6 + 5 THEN 'detour' END, CASE WHEN lp THEN 'loop or backtracking' END], lambda e: e IS NOT NULL)) AS error FROM d"""))
 def road_cache_audit(spark, sf):
     from wayline.functions.geo import array_path_km, haversine_km, token
     from wayline.session import cut_lineage
@@ -177,5 +192,4 @@ def road_cache_audit(spark, sf):
     )
     cache = cut_lineage(cache)
     found = G.audit_cache(cache.drop("vec_id"), "abc").join(cache.select("vec_id", "segment"), "segment")
-    # loops have their own query
-    return found.where(F.col("error") != "loop or backtracking").select("vec_id", "error")
+    return found.select("vec_id", "error")

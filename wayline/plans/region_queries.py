@@ -40,7 +40,8 @@ def region_hole(spark, sf):
 SELECT id, coalesce(string_agg(region, ',' ORDER BY region), '') AS regions FROM fix LEFT JOIN inside USING (id) GROUP BY id"""))
 def region_shuffle_join(spark, sf):
     """The path for region tables beyond the broadcast bound, forced here."""
-    rows = R.assign_regions(fixes(spark, sf), region_edges(spark), max_broadcast_edges=0, point_id=["id"])
+    with R.broadcast_bound(0):
+        rows = R.assign_regions(fixes(spark, sf), region_edges(spark))
     return rows.select("id", F.array_join("regions", ",").alias("regions"))
 
 

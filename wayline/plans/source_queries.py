@@ -230,7 +230,7 @@ def manifest_duplicates(spark, sf):
 def malformed_messages(spark, sf):
     k = F.col("doc_id")
     good = F.to_json(F.struct(F.struct(F.lit(1).alias("timestamp")).alias("header"), F.array().cast("array<struct<id:string>>").alias("entity")))
-    sent = table(spark, sf, "documents").select(k, F.when(k % 4 == 0, F.concat(F.lit("{"), F.left("text", F.lit(5)))).otherwise(good).alias("payload"))
+    sent = table(spark, sf, "documents").select(k, F.when(k % 4 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(good).alias("payload"))
     from wayline import schemas as S
 
     parsed = M.parse(sent, S.VEHICLE_MESSAGE)
