@@ -231,20 +231,21 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     schema = "doc_id bigint, text_number bigint, n_bytes bigint, sha256 string, position array<int>, anchor array<bigint>, around array<bigint>"
     known = staged(rows.mapInArrow(_signatures(length, gram), schema), "uncompressed")
     often = known.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    often = staged(often)  # so that the join below has its own shuffle, whose large partitions Spark can split
     zipped = known.select("text_number", "n_bytes", F.explode(F.arrays_zip("position", "anchor", "around")).alias("z")).select("text_number", "n_bytes", "z.*")
     again = staged(zipped.join(often, "anchor"))
-    around = again.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("text_number", "position")).alias("place"))
-    of_anchor = around.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    around = staged(again.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("text_number", "position")).alias("place")))
+    of_anchor = staged(around.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")))
     around = staged(around.join(of_anchor, "anchor"))
     # the same surroundings twice: all of them repeat
     sure = again.join(around.filter("n > 1").select("anchor", "around"), ["anchor", "around"])
     lo, hi = F.greatest(F.lit(0), F.col("position") - (length - gram)), F.least(F.col("n_bytes"), F.col("position") + length)
     whole = sure.select("text_number", lo.cast("bigint").alias("start"), hi.cast("bigint").alias("end")).filter(F.col("end") - F.col("start") >= length).distinct()
     places = around.filter("single > 0 AND kinds > 1").select("anchor", "kinds", "place.text_number", "place.position")
-    # texts with a repeated anchor, each once, staged for the two readings below
+    # texts with a repeated anchor, each once, staged for the two readings below; their list grows with the corpus and is never broadcast
     first = known.groupBy("text_number").agg(F.min("doc_id").alias("first"))
     chosen = staged(again.select("text_number").distinct().join(first, "text_number"))
-    texts = staged(rows.join(chosen, "text_number").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("text_number", "text"))
+    texts = staged(rows.join(chosen.hint("merge"), "text_number").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("text_number", "text"))
     wanted = places.groupBy("text_number").agg(F.collect_list(F.struct("anchor", "position")).alias("wanted"))  # of one text
     raws = texts.join(wanted, "text_number").select("text_number", "text", "wanted").mapInArrow(_cut(length, gram), "anchor bigint, text_number bigint, lo bigint, inside bigint, raw binary")
     raws = staged(raws.join(places.select("anchor", "kinds").distinct(), "anchor"))
