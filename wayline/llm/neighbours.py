@@ -31,6 +31,7 @@ COPIES, COPY_RATIO = 4, 1.06
 GRAPH_NEAR, GRAPH_FAR = 24, 8
 WANTED = 0.96
 PART_VECTORS, PART_QUERIES = 4_096, 2_048
+FIRST_LISTS = 4
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,12 +184,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _best(keep: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names, q_all, asked, found, scores = ["query", "vec_id", "score"], _matrix(right["q"]), [], [], []
-        v, ids, own = _matrix(left["v"]), left["ids"].to_pylist(), right["query"].to_pylist()
+        v, ids, own, bounds = _matrix(left["v"]), left["ids"].to_pylist(), right["query"].to_pylist(), right["bound"].to_pylist()
         if len(v) and len(q_all):
             for i, line in enumerate(q_all @ v.T):
-                near = np.arange(len(line)) if len(line) <= keep else np.flatnonzero(line >= np.partition(line, -keep)[-keep] - 1e-9)
+                least = -np.inf if len(line) <= keep else np.partition(line, -keep)[-keep]
+                near = np.flatnonzero(line >= max(least, bounds[i]) - 1e-9)
                 exact = (v[near] * q_all[i]).sum(1)
-                pairs = sorted(((-s, k) for s, n in zip(exact, near, strict=True) for k in ids[n]))[:keep]
+                pairs = sorted((-s, k) for s, n in zip(exact, near, strict=True) if s >= bounds[i] for k in ids[n])[:keep]
                 asked += [own[i]] * len(pairs)
                 scores += [-p[0] for p in pairs]
                 found += [p[1] for p in pairs]
@@ -230,17 +232,28 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, wanted: fl
 
     queries = usable.filter(F.col("vec_id") % queries_every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     lines = queries.groupBy("v").agg(F.min("query_id").alias("query")).select("query", F.col("v").alias("q"))
-    probes = staged(lines.mapInArrow(probe, "query bigint, q binary, lists array<int>").withColumn("list", F.explode("lists")).drop("lists"))
+    listed = lines.mapInArrow(probe, "query bigint, q binary, lists array<int>")
+    probes = staged(listed.select("query", "q", F.posexplode("lists").alias("place", "list")))
     posted = postings.select("v", "ids", F.explode("lists").alias("list"))
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART_VECTORS).cast("int").alias("parts"))
-    turns = probes.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("turns"))
-    meet = F.broadcast(staged(parts.join(turns, "list")))  # one row per centroid at most
-    left = posted.join(meet, "list").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    right = probes.join(meet, "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = staged(posted.groupBy("list").agg(F.ceil(F.count("*") / PART_VECTORS).cast("int").alias("parts")))
     key = ["list", "part", "turn"]
-    met = left.select(*key, "v", "ids").groupBy(key).cogroup(right.select(*key, "query", "q").groupBy(key)).applyInArrow(_best(k + 1), "query bigint, vec_id bigint, score double")
-    best = met.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-    top = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
+
+    def best_of(asking: DataFrame) -> DataFrame:
+        """The k + 1 best of each query in the lists it asks; long lists and query lines are cut into parts that meet one by one."""
+        turns = asking.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("turns"))
+        meet = F.broadcast(staged(parts.join(turns, "list")))  # one row per centroid at most
+        left = posted.join(meet, "list").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        right = asking.join(meet, "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = left.select(*key, "v", "ids").groupBy(key).cogroup(right.select(*key, "query", "q", "bound").groupBy(key)).applyInArrow(_best(k + 1), "query bigint, vec_id bigint, score double")
+        return met.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(ranking)).filter(F.col("r") <= k + 1).drop("r")
+
+    ranking = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    # the nearest lists give a bound; the others return only what reaches it
+    nearest_lists = staged(best_of(probes.filter(F.col("place") < FIRST_LISTS).withColumn("bound", F.lit(float("-inf")))))
+    bounds = nearest_lists.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    bounds = bounds.select("query", F.when(F.col("n") > k, F.col("low")).otherwise(F.lit(float("-inf"))).alias("bound"))
+    others = best_of(staged(probes.filter(F.col("place") >= FIRST_LISTS).join(bounds, "query")))
+    top = nearest_lists.unionByName(others).dropDuplicates(["query", "vec_id"]).withColumn("r", F.row_number().over(ranking)).filter(F.col("r") <= k + 1).drop("r")
     asked = queries.join(lines, queries.v == lines.q).select("query_id", "query")
     answers = asked.join(top, "query").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return answers.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
