@@ -9,6 +9,10 @@ import time
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+WITHOUT_SQL = {
+    "op2_lexical_packing", "op3_run_length_index_dedup", "op4_rans_tokens", "op5_disclosure_sanitising", "op7_toxicity", "op8_language_spans",
+    "op9_quotation_linking", "op10_posting_list_search", "pipeline",
+}
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -37,8 +41,8 @@ def rows_of(columns, rows):
 def check(spark, con, sf_dir, name, run, sql):
     df = run(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    if sql is None:
-        return len(got), []
+    if sql is None:  # only what SQL cannot express may go without, and has tests of its own
+        return len(got), [] if name in WITHOUT_SQL else ["no SQL"]
     problems = []
     result = con.execute(sql)
     columns = [d[0] for d in result.description]

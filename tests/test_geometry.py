@@ -12,7 +12,7 @@ from wayline.functions.geo import haversine_km
 from wayline.operators import paths as P
 from wayline.operators import repair as G
 from wayline.operators.polyline import decode_polyline, encode_polyline
-from wayline.operators.regions import assign_regions, edges_from_rings, near_edges, within_radius
+from wayline.operators.regions import assign_regions, broadcast_bound, edges_from_rings, near_edges, within_radius
 from wayline.operators.simplify import simplify
 from wayline.operators.water import dry_runs
 
@@ -108,7 +108,9 @@ def test_regions_match_winding_rule(spark, bound):
     edges = edges_from_rings(spark, [("a", 0, 0, star), ("a", 0, 1, hole), ("a", 1, 0, island), ("b", 0, 0, hole)])
     pts = [(i, rng.uniform(-72, -70), rng.uniform(41, 43)) for i in range(800)]
     df = spark.createDataFrame(pts, "id int, lng double, lat double")
-    for r in assign_regions(df, edges, max_broadcast_edges=bound, point_id=["id"]).collect():
+    with broadcast_bound(bound):
+        rows = assign_regions(df, edges)
+    for r in rows.collect():
         p = (r.lng, r.lat)
         want = {"b"} if winding(p, hole) else set()
         if (winding(p, star) and not winding(p, hole)) or winding(p, island):
@@ -124,9 +126,11 @@ def test_near_edges_and_radius_use_both_join_paths(spark):
     circles = spark.createDataFrame([(c, rng.uniform(41, 43), rng.uniform(-72, -70), rng.uniform(5, 60)) for c in range(20)], "c int, lat0 double, lng0 double, radius_km double")
     want_circles = circles.collect()
     for bound in (1000, 0):
-        for r in near_edges(df, edges, 0.1, "near", ["id"], max_broadcast_edges=bound).collect():
+        with broadcast_bound(bound):
+            near, within = near_edges(df, edges, 0.1, "near", ["id"]), within_radius(df, circles)
+        for r in near.collect():
             assert r.near == any(off((r.lng, r.lat), a, b) <= 0.1 for a, b in zip(ring, ring[1:] + ring[:1]))
-        pairs = {(r.id, r.c) for r in within_radius(df, circles, max_broadcast=bound).collect()}
+        pairs = {(r.id, r.c) for r in within.collect()}
         assert pairs == {(r.id, c.c) for r in df.collect() for c in want_circles if km((c.lng0, c.lat0), (r.lng, r.lat)) <= c.radius_km}
 
 

@@ -48,7 +48,6 @@ def test_archives_read_members_by_name(spark, zips):
     assert [(r.feed, r.row_ix, r.route_id) for r in routes] == [("feed1", 0, "r1"), ("feed1", 1, "r2"), ("feed1", 2, "r9"), ("feed1", 3, "rx")]
     assert routes[0].route_url is None
     assert L.gtfs_archives(spark, zips, "feed_info").count() == 0
-    assert L.oversized(spark, zips).count() == 0
 
 
 def test_route_assembly_end_to_end(spark, zips, feed, edges):

@@ -149,11 +149,12 @@ def ordered_points(points: DataFrame, keys: Sequence[str], seq: str = "ix", bloc
     return listed.select(*keys, "part", F.transform("_pts", lambda p: F.struct(p["lng"], p["lat"])).alias("points"))
 
 
-def distinct_paths(points: DataFrame, route: str, path: str, ix: str = "ix") -> DataFrame:
+def distinct_paths(points: DataFrame, route: str | Sequence[str], path: str, ix: str = "ix") -> DataFrame:
     """One path id per route and point sequence, the lowest; signatures fold before the shuffle."""
-    signed = points.groupBy(route, path).agg(
+    keys = [route] if isinstance(route, str) else list(route)
+    signed = points.groupBy(*keys, path).agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64(ix, "lng", "lat")).alias("sig_a"),
         F.bit_xor(F.xxhash64(F.lit("second"), "lat", ix, "lng")).alias("sig_b"),
     )
-    return signed.groupBy(route, "n", "sig_a", "sig_b").agg(F.min(path).alias(path)).select(route, path, "n")
+    return signed.groupBy(*keys, "n", "sig_a", "sig_b").agg(F.min(path).alias(path)).select(*keys, path, "n")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from wayline import fixed_values as V
 from wayline.functions.text import non_empty, route_label, source_url
 from wayline.operators.normalise import decode
-from wayline.operators.paths import ordered_points, path_scan, runs_in_box, segments
+from wayline.operators.ordered import last_wins
+from wayline.operators.paths import distinct_paths, ordered_points, path_scan, runs_in_box, segments
 from wayline.operators.regions import assign_regions, ordered_regions, path_regions
 from wayline.operators.repair import missing_gaps, repair_legs
 from wayline.operators.simplify import simplify
 from wayline.session import cut_lineage
-from wayline.operators.trips import fallback_points, fallback_trips, route_shapes, routes_by_stop, select_routes, shape_points
+from wayline.operators.trips import fallback_points, fallback_trips, route_shapes, routes_by_stop, select_routes, shape_points, stop_places
 
 
 def route_group(kind: Column, override: Column) -> Column:
@@ -96,10 +97,16 @@ def assemble_routes(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFra
     numbered = path_scan(pieces, keys, ["ix", "sub"]).extend(position="pos").df.select(*keys, F.col("pos").alias("ix"), "lng", "lat")
     bus_paths = simplify(cut_lineage(numbered), keys, chord_km=V.MAX_CHORD_KM, dense=True)
     other_paths = simplify(rounded.where(F.col("kind") != 3).select(*keys, "ix", "lng", "lat"), keys)
-    paths = cut_lineage(bus_paths.unionByName(other_paths))
+    drawn_paths = cut_lineage(bus_paths.unionByName(other_paths))
 
     route_keys = ["feed", "route_id"]
-    original = source_regions.join(kept.select(*keys).distinct(), keys, "left_semi")
+    # points are numbered from 0 within a path, so equal lines have equal rows whatever they were cut from
+    lines = path_scan(drawn_paths, keys, ["ix"]).extend(position="pos").df.select(*keys, F.col("pos").alias("ix"), "lng", "lat")
+    only = distinct_paths(lines, route_keys, "path").select(*keys)
+    paths = drawn_paths.join(only, keys, "left_semi")
+    # a path whose legs are all gaps without geometry is not drawn, and its regions are not the route's
+    shown = repaired.select(*keys).unionByName(rounded.where(F.col("kind") != 3).select(*keys)).distinct()
+    original = source_regions.join(shown, keys, "left_semi")
     regions = original.unionByName(path_regions(paths, edges, keys)).select(*route_keys, F.explode("found").alias("region")).distinct()
     found = regions.groupBy(*route_keys).agg(F.collect_set("region").alias("found"))
     drawn = paths.select(*route_keys).distinct()
@@ -123,16 +130,17 @@ def station_features(gtfs: dict[str, DataFrame], feeds: DataFrame, included: Dat
     opted = feeds.where(F.coalesce("include_stations", F.lit(False)))
     trips = gtfs["trips"].join(included, ["feed", "route_id"], "left_semi").join(opted.select("feed"), "feed", "left_semi")
     calls = routes_by_stop(gtfs["stop_times"], trips)
-    labels = gtfs["routes"].select(
+    listed = gtfs["routes"]
+    if "row_ix" in listed.columns:
+        listed = last_wins(listed, ["feed", "route_id"], ["row_ix"])
+    labels = listed.select(
         "feed", "route_id", route_label(F.col("route_short_name"), F.col("route_long_name"), F.col("route_id")).alias("label")
     )
     names = calls.join(labels, ["feed", "route_id"]).groupBy("feed", "stop_id").agg(
         F.array_sort(F.collect_set("label")).alias("route_names"),
         F.array_sort(F.collect_set(F.concat_ws(":", "feed", "route_id"))).alias("route_ids"),
     )
-    placed = gtfs["stops"].withColumns(
-        {"lng": F.col("stop_lon").try_cast("double"), "lat": F.col("stop_lat").try_cast("double")}
-    ).where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
+    placed = stop_places(gtfs["stops"])
     rows = assign_regions(names.join(placed, ["feed", "stop_id"]).join(opted.drop("url"), "feed"), edges)
     code = F.trim(F.coalesce(non_empty(F.col("stop_code")), F.col("stop_id")))
     group = F.col("group_override")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
 from wayline.functions.geo import interpolate, planar_bearing
 from wayline.functions.numbers import round_half_up
-from wayline.operators.ordered import OrderedScan, block_chunk, first_wins
+from wayline.operators.ordered import OrderedScan, block_chunk, first_wins, last_wins
 
 
 def stop_scan(stop_times: DataFrame, trip: str = "trip", seq: str = "seq") -> OrderedScan:
@@ -80,7 +80,9 @@ def select_routes(routes: DataFrame, feeds: DataFrame) -> DataFrame:
     """
     from wayline.functions.text import route_label
 
-    joined = routes.join(feeds, "feed")
+    # the last row of a route id counts
+    latest = last_wins(routes, ["feed", "route_id"], ["row_ix"]) if "row_ix" in routes.columns else routes
+    joined = latest.join(feeds, "feed")
     kind = F.coalesce(F.col("route_type_override"), F.trim("route_type").try_cast("int"))
     label = route_label(F.col("route_short_name"), F.col("route_long_name"), F.col("route_id"))
     field = F.col("route_name_field")
@@ -126,15 +128,25 @@ def shape_points(shapes: DataFrame, used: DataFrame) -> DataFrame:
     return rows.where(F.col("seq").isNotNull() & F.col("lng").isNotNull() & F.col("lat").isNotNull())
 
 
+def stop_places(stops: DataFrame) -> DataFrame:
+    """Stops with a usable position, one row per stop id: the last one of the file, as long as it has a position."""
+    placed = stops.withColumns({"lng": F.col("stop_lon").try_cast("double"), "lat": F.col("stop_lat").try_cast("double")}).where(
+        F.col("lng").isNotNull() & F.col("lat").isNotNull()
+    )
+    return last_wins(placed, ["feed", "stop_id"], ["row_ix"]) if "row_ix" in stops.columns else placed
+
+
 def fallback_points(stop_times: DataFrame, stops: DataFrame, trips: DataFrame) -> DataFrame:
-    """Stop positions of the fallback trips."""
-    placed = stops.select(
-        "feed", "stop_id", F.col("stop_lon").try_cast("double").alias("lng"), F.col("stop_lat").try_cast("double").alias("lat")
-    ).where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
+    """Stop positions of the fallback trips; a call without a usable sequence takes its place in the trip's list."""
+    calls = stop_times.join(trips, ["feed", "trip_id"])
+    place = F.lit(0).cast("bigint")
+    if "row_ix" in stop_times.columns:
+        place = F.row_number().over(Window.partitionBy("feed", "trip_id").orderBy("row_ix")).cast("bigint") - 1  # the calls of one trip
+        calls = stop_times.join(trips.drop("row_ix"), ["feed", "trip_id"])
     return (
-        stop_times.join(trips, ["feed", "trip_id"]).join(placed, ["feed", "stop_id"])
-        .select("feed", "route_id", F.concat(F.lit("trip:"), F.col("trip_id")).alias("path"),
-                F.coalesce(F.col("stop_sequence").try_cast("bigint"), F.lit(0)).alias("seq"), "lng", "lat")
+        calls.withColumn("seq", F.coalesce(F.col("stop_sequence").try_cast("bigint"), place))
+        .join(stop_places(stops).select("feed", "stop_id", "lng", "lat"), ["feed", "stop_id"])
+        .select("feed", "route_id", F.concat(F.lit("trip:"), F.col("trip_id")).alias("path"), "seq", "lng", "lat")
     )
 
 

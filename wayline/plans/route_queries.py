@@ -8,6 +8,7 @@ from wayline import fixed_values as V
 from wayline.operators import routes as R
 from wayline.operators.trips import select_routes
 from wayline.plans.base import TRACK, edge_values, inside_cte, km, query, r6, region_edges, table, track, with_ctes
+from wayline.plans.path_queries import _split_sql
 from wayline.plans.trip_queries import CALL, FALL, ROUTE, TRIP, feeds, gtfs
 
 FEEDCOL = """f AS (SELECT *, CASE feed WHEN 'f1' THEN 'amtrak' ELSE CASE kind WHEN 2 THEN 'commuter' WHEN 3 THEN 'bus' ELSE 'ferry' END END AS grp, CAST(route_id AS BIGINT) AS k FROM sel)"""
@@ -74,6 +75,10 @@ def _gtfs_with_shapes(spark, sf):
         F.col("lat").cast("string").alias("shape_pt_lat"), F.col("lng").cast("string").alias("shape_pt_lon"),
         (minute - 28401120).cast("string").alias("shape_pt_sequence"),
     )
+    # some trips run twice, the second time on a shape of another id with equal points
+    g["shapes"] = g["shapes"].unionByName(g["shapes"].withColumn("shape_id", F.concat(F.lit("x"), "shape_id")))
+    again = g["trips"].where((F.col("row_ix") % 9 == 1) & F.col("shape_id").isNotNull())
+    g["trips"] = g["trips"].unionByName(again.withColumns({"trip_id": F.concat(F.lit("x"), "trip_id"), "shape_id": F.concat(F.lit("x"), "shape_id")}))
     return g
 
 
@@ -84,9 +89,10 @@ def _assembled(spark, sf):
 
 
 ASSEMBLED = [
-    ROUTE, TRIP, CALL, FALL, TRACK,
+    ROUTE, TRIP.replace("trip AS (", "trip0 AS ("),
+    "trip AS (SELECT * FROM trip0 UNION ALL SELECT feed, row_ix, 'x' || trip_id, route_id, 'x' || shape_id, direction_id FROM trip0 WHERE row_ix % 9 = 1 AND shape_id != '')", CALL, FALL, TRACK,
     """shr AS (SELECT feed, shape_id, route_id FROM trip WHERE shape_id != '' AND (feed, route_id) IN (SELECT (feed, route_id) FROM sel) QUALIFY row_number() OVER (PARTITION BY feed, shape_id ORDER BY row_ix) = 1)""",
-    """apt AS (SELECT s.feed, s.route_id, 'shape:' || shape_id AS path, ts_us // 60000000 AS seq, lng, lat FROM shr s JOIN track k ON 'sh' || k.path = shape_id AND 'f' || (k.path % 5) = s.feed
+    """apt AS (SELECT s.feed, s.route_id, 'shape:' || shape_id AS path, ts_us // 60000000 AS seq, lng, lat FROM shr s JOIN track k ON 'sh' || k.path = ltrim(shape_id, 'x') AND 'f' || (k.path % 5) = s.feed
  UNION ALL SELECT f.feed, f.route_id, 'trip:' || f.trip_id, CAST(seq AS BIGINT), lng, lat FROM fb f JOIN call USING (feed, trip_id) JOIN stp USING (stop_id))""",
     "spot AS (SELECT row_number() OVER () AS id, lng, lat FROM (SELECT DISTINCT lng, lat FROM apt))", edge_values(), inside_cte("spot"),
     "hitp AS (SELECT DISTINCT feed, route_id, path, region FROM apt JOIN spot USING (lng, lat) JOIN inside USING (id))",
@@ -96,7 +102,7 @@ ASSEMBLED = [
  WINDOW w AS (PARTITION BY feed, route_id, path ORDER BY seq, lng, lat)))""",
     "drawn AS (SELECT DISTINCT feed, route_id FROM aleg WHERE pl IS NOT NULL AND (kind != 3 OR leg_km <= 20))",
     "o(region, rk) AS (VALUES ('ct',1),('ma',2),('me',3),('nh',4),('ri',5),('vt',6),('boston',7))",
-    """regs AS (SELECT feed, route_id, coalesce(string_agg(o.region, ',' ORDER BY rk), '') AS regions FROM (SELECT DISTINCT feed, route_id, region FROM hitp WHERE (feed, route_id, path) IN (SELECT (feed, route_id, path) FROM keptp))
+    """regs AS (SELECT feed, route_id, coalesce(string_agg(o.region, ',' ORDER BY rk), '') AS regions FROM (SELECT DISTINCT feed, route_id, region FROM hitp WHERE (feed, route_id, path) IN (SELECT (feed, route_id, path) FROM aleg WHERE pl IS NOT NULL AND (kind != 3 OR leg_km <= 20)))
  h LEFT JOIN o USING (region) GROUP BY ALL)""",
     FEEDCOL,
 ]
@@ -114,7 +120,20 @@ def assembled_routes(spark, sf):
     return f.select("route", "grp", "color", "agency", "name", "provider", F.array_join("regions", ",").alias("regions"), "geometry_accuracy", "source_url")
 
 
-@query("GEO07 GEO02 GEO03 WN07")
+def _kept_points(kinds: str, chord: float | None) -> str:
+    pt = f"pt AS MATERIALIZED (SELECT path, ix, lng, lat FROM bp WHERE {kinds})"
+    return with_ctes(pt, _split_sql(V.SIMPLIFY_TOLERANCE_DEG, chord), "SELECT path, ix, lng, lat FROM pt WHERE EXISTS (SELECT 1 FROM span s WHERE s.path = pt.path AND (s.lo = pt.ix OR s.hi = pt.ix))", recursive=True)
+
+
+@query("GEO07 GEO02 GEO03 WN07 AG12", with_ctes(*ASSEMBLED[:-1], f"""pc AS (SELECT feed, route_id, kind, lng, lat, seq, path || '/' || sum(CASE WHEN kind = 3 AND leg_km > 20 THEN 1 ELSE 0 END)
+ OVER (PARTITION BY feed, route_id, path ORDER BY seq, lng, lat ROWS UNBOUNDED PRECEDING) AS path FROM aleg)""",
+    """bp AS (SELECT feed || '|' || route_id || '|' || path AS path, feed, route_id, kind, lng, lat, row_number() OVER (PARTITION BY feed, route_id, path ORDER BY seq, lng, lat) - 1 AS ix FROM pc
+ QUALIFY count(*) OVER (PARTITION BY feed, route_id, path) > 1)""",
+    f"kp AS ({_kept_points('kind = 3', V.MAX_CHORD_KM)} UNION ALL SELECT * FROM ({_kept_points('kind != 3', None)}))",
+    "ln AS (SELECT path, list((lng, lat) ORDER BY ix) AS line FROM kp GROUP BY path)",
+    "own AS (SELECT DISTINCT path, feed, route_id FROM bp)",
+    "one AS (SELECT feed, route_id, min(path) AS path FROM ln JOIN own USING (path) GROUP BY feed, route_id, line)", """
+SELECT feed, route_id, count(*) AS points, count(DISTINCT path) AS paths, round(sum(lng), 6) AS lng_sum FROM kp JOIN one USING (path) GROUP BY feed, route_id"""))
 def assembled_paths(spark, sf):
     p = _assembled(spark, sf)["paths"]
     return p.groupBy("feed", "route_id").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("path").alias("paths"), r6(F.sum("lng")).alias("lng_sum"))

@@ -26,6 +26,10 @@ SELECT 'regional-' || source || '-' || vid AS id, 'Agency ' || source || CASE WH
  CASE WHEN id % 5 = 0 THEN 'Vehicle lab' || id WHEN id % 7 = 0 THEN '' ELSE 'Vehicle veh' || id END AS dest, CAST(floor(speed * 2.23694 + 0.5) AS BIGINT) || ' mph' AS status,
  CAST({NOW_S} AS BIGINT) - CASE WHEN id % 6 = 0 THEN 1705319980 ELSE ts_us // 1000000 END > 90 AS stale, lng FROM v"""))
 def vehicle_positions(spark, sf):
+    return _positions(vehicle_messages(spark, sf))
+
+
+def vehicle_messages(spark, sf):
     k, s = F.col("id"), F.col("source")
     inner = F.struct(
         F.when((k % 5 != 0) & (k % 7 != 0), F.concat(F.lit("veh"), k.cast("string"))).when(k % 7 == 0, "").alias("id"),
@@ -37,10 +41,24 @@ def vehicle_positions(spark, sf):
         F.struct(F.when(k % 4 != 0, F.concat(F.lit("r"), F.col("entity").cast("string"))).alias("routeId")).alias("trip"), inner.alias("vehicle"),
     )
     message = F.struct(F.struct(F.lit(1705319980).alias("timestamp")).alias("header"), F.array(F.struct(F.concat(F.lit("ent"), k.cast("string")).alias("id"), vehicle.alias("vehicle"))).alias("entity"))
-    sent = payload(fixes(spark, sf), message, s.alias("feed"), F.concat(F.lit("Agency "), s).alias("agency"))
+    return payload(fixes(spark, sf), message, s.alias("feed"), F.concat(F.lit("Agency "), s).alias("agency"))
+
+
+def _positions(sent):
     return N.regional_buses(N.vehicle_positions(M.vehicle_entities(sent), now()), now()).select("id", "title", "dest", "status", "stale", "lng")
 
 
+@query("SRC05 PRJ01 PRJ08 FLT01 FLT02", with_ctes(FIX, VEH, f"""
+SELECT 'regional-' || source || '-' || vid AS id, 'Agency ' || source || CASE WHEN id % 4 = 0 THEN '' ELSE ' · r' || entity END AS title,
+ CASE WHEN id % 5 = 0 THEN 'Vehicle lab' || id WHEN id % 7 = 0 THEN '' ELSE 'Vehicle veh' || id END AS dest, CAST(floor(speed * 2.23694 + 0.5) AS BIGINT) || ' mph' AS status,
+ CAST({NOW_S} AS BIGINT) - CASE WHEN id % 6 = 0 THEN 1705319980 ELSE ts_us // 1000000 END > 90 AS stale, lng FROM v"""))
+def vehicle_positions_beside_bad_ones(spark, sf):
+    """Every message also holds an entity whose latitude and clock are no numbers: it alone is lost."""
+    bad = '"entity":[{"id":"bad","vehicle":{"timestamp":"soon","position":{"latitude":"n/a","longitude":-71.0},"vehicle":{"id":"bad"}}},'
+    sent = vehicle_messages(spark, sf)
+    return _positions(sent.withColumn("payload", F.replace("payload", F.lit('"entity":['), F.lit(bad))))
+
+
 @query("SRC06 JN09 WN08", f"""WITH e AS (SELECT vec_id, i AS seq, CAST({NOW_S} AS BIGINT) + i * 60 - 1900 + CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 500) AS BIGINT) AS time FROM embeddings, unnest(range(0, len(embedding))) u(i) WHERE i % 10 != 7),
 s AS (SELECT vec_id, time, row_number() OVER (PARTITION BY vec_id ORDER BY seq) AS ix, 'st' || seq AS stop FROM e), n AS (SELECT vec_id, min(ix) AS nx FROM s WHERE time > {NOW_S} GROUP BY vec_id)
 SELECT CAST(n.vec_id AS VARCHAR) AS trip, b.stop AS next_stop, a.stop AS prev_stop, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({NOW_S} - a.time) / greatest(1.0::DOUBLE, CAST(b.time - a.time AS DOUBLE)))), 6) AS progress

@@ -27,8 +27,8 @@ STATIC_FEED = (
 REALTIME_FEED = "id string, agency string, url string, states array<string>, authorization string"
 
 VEHICLE_MESSAGE = (
-    "header struct<timestamp:bigint>, entity array<struct<id:string, vehicle:struct<timestamp:bigint, "
-    "position:struct<latitude:double,longitude:double,bearing:double,speed:double>, trip:struct<tripId:string,routeId:string>, "
+    "header struct<timestamp:string>, entity array<struct<id:string, vehicle:struct<timestamp:string, "
+    "position:struct<latitude:string,longitude:string,bearing:string,speed:string>, trip:struct<tripId:string,routeId:string>, "
     "vehicle:struct<id:string,label:string>>>>"
 )
 TRIP_MESSAGE = (

@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from wayline import schemas as S
 from wayline.operators.ordered import last_wins
 
-MAX_ARCHIVE_BYTES = 80 * 1024 * 1024
-
-
 def gtfs_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One GTFS table of every ``<feed>.zip`` under ``path``, with ``feed`` and the row number in its file.
 
-    The member is found by its name in any folder and case; a byte-order mark is dropped; a missing
-    member gives no rows. Archives above the size limit are left out here and listed by ``oversized``.
+    The member is found by its name in any folder and case and read as a stream; a byte-order mark is dropped; a missing
+    member gives no rows. No archive is left out: one that Spark cannot hold as a row fails the job.
     """
     columns = [c.split()[0] for c in S.GTFS[table].split(", ")]
     schema = f"feed string, row_ix bigint, {S.GTFS[table]}"
@@ -38,15 +35,14 @@ def gtfs_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
                         reader = pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000, engine="c", quoting=csv.QUOTE_MINIMAL)
                         at = 0
                         for part in reader:
-                            part = part.reindex(columns=columns).astype(object)
+                            part = part.rename(columns=str.strip).reindex(columns=columns).astype(object)
                             part = part.where(part.notna(), None)
                             part.insert(0, "row_ix", range(at, at + len(part)))
                             part.insert(0, "feed", feed)
                             at += len(part)
                             yield part
 
-    files = archive_files(spark, path).where(F.col("length") <= MAX_ARCHIVE_BYTES)
-    return files.select("feed", "content").repartition("feed").mapInPandas(rows, schema)
+    return archive_files(spark, path).select("feed", "content").repartition("feed").mapInPandas(rows, schema)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -54,23 +50,29 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("feed", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
 
 
-def oversized(spark: SparkSession, path: str) -> DataFrame:
-    return archive_files(spark, path).where(F.col("length") > MAX_ARCHIVE_BYTES).select("feed", "length")
-
-
 def gtfs_folder(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One GTFS table of unpacked feeds at ``path/feed=<id>/<table>.txt``; columns go by header name."""
+    """One GTFS table of unpacked feeds at ``path/feed=<id>/<table>.txt``; columns go by each file's own header.
+
+    Files are read as lines. The first line of a file is its header (a byte-order mark is dropped), found by one row per
+    file; every other line is split by the header of its file. ``row_ix`` is the line's place: files are split into ranges of
+    bytes, so it orders the lines of a file by range and then by line. Fields that span lines are not supported here.
+    """
     columns = [c.split()[0] for c in S.GTFS[table].split(", ")]
-    reader = spark.read.option("basePath", path).option("header", True).option("pathGlobFilter", f"{table}.txt")
-    raw = reader.option("enforceSchema", False).csv(path)
-    clean = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns]) if "feed" in raw.columns else None
-    if clean is None:
-        return spark.createDataFrame([], f"feed string, row_ix bigint, {S.GTFS[table]}")
-    present = set(clean.columns)
-    return clean.select(
-        F.col("feed").cast("string").alias("feed"), F.monotonically_increasing_id().alias("row_ix"),
-        *[(F.col(c) if c in present else F.lit(None)).cast("string").alias(c) for c in columns],
+    reader = spark.read.option("basePath", path).option("pathGlobFilter", f"{table}.txt").option("recursiveFileLookup", True)
+    lines = reader.text(path).select(
+        F.col("value"), F.regexp_extract("_metadata.file_path", "/feed=([^/]+)/", 1).alias("feed"), F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    first = lines.groupBy("feed").agg(F.min_by("value", F.struct("range", "place")).alias("header"), F.min(F.struct("range", "place")).alias("at"))
+    names = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ","), lambda c: F.trim(F.translate(c, '"\r', "")))
+    headed = lines.join(F.broadcast(first.select("feed", names.alias("names"), "at")), "feed")  # one row per feed of the registry
+    body = headed.where((F.struct("range", "place") != F.col("at")) & (F.trim("value") != ""))
+    # a comma inside quotes does not split
+    fields = F.split(F.regexp_replace("value", "\r$", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    plain = F.transform(fields, lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), '^"|"$', ""), '""', '"'))
+    row = F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), plain.alias("v")), lambda p: p["k"].isNotNull()))
+    order = F.col("range") * F.lit(1 << 20) + F.pmod("place", F.lit(1 << 33))
+    return body.withColumn("_row", row).select("feed", order.alias("row_ix"), *[F.nullif(F.try_element_at("_row", F.lit(c)), F.lit("")).alias(c) for c in columns])
 
 
 def static_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline import schemas as S
+from wayline.functions.numbers import safe_number
 
 CORRUPT = "_corrupt"
 
@@ -37,8 +38,12 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 
 def vehicle_entities(messages: DataFrame) -> DataFrame:
     """Vehicle entities of position messages; ``messages`` carries ``feed`` and ``agency``."""
-    rows = good(parse(messages, S.VEHICLE_MESSAGE)).select("feed", "agency", F.col("m.header.timestamp").alias("header_timestamp"), F.explode("m.entity").alias("e"))
-    return rows.select("feed", "agency", "header_timestamp", "e.id", "e.vehicle").where(F.col("vehicle").isNotNull())
+    rows = good(parse(messages, S.VEHICLE_MESSAGE)).select("feed", "agency", safe_number(F.col("m.header.timestamp")).cast("bigint").alias("header_timestamp"), F.explode("m.entity").alias("e"))
+    v = F.col("e.vehicle")
+    # leaf fields arrive as text: one bad value makes one field null and not the message
+    position = F.when(v["position"].isNotNull(), F.struct(*[safe_number(v["position"][c]).alias(c) for c in ("latitude", "longitude", "bearing", "speed")]))
+    typed = F.when(v.isNotNull(), F.struct(safe_number(v["timestamp"]).cast("bigint").alias("timestamp"), position.alias("position"), v["trip"].alias("trip"), v["vehicle"].alias("vehicle")))
+    return rows.select("feed", "agency", "header_timestamp", F.col("e.id").alias("id"), typed.alias("vehicle")).where(v.isNotNull())
 
 
 def trip_updates(messages: DataFrame) -> DataFrame:
