@@ -20,6 +20,8 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    # Spark removes the shuffle files of the job just done once the driver's garbage is collected; without this they pile up
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
