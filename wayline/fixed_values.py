@@ -174,3 +174,13 @@ REQUIRED_WATER_SERVICES = [
 FERRY_SERVICE_CLASSES = ["international", "island-access", "lifeline", "municipal", "regional", "venue-access"]
 CATALOG_FLOORS = {"airport": 750, "airport_public": 170, "ferry_supplement": 50}
 CATALOG_EXACT = {"border": 38, "air-service": 11}
+
+# fixed values: names in the border directory
+BORDER_PROVINCES = ("QC", "NB")
+PORTS_OF_THE_REGION = (" ME", ",ME", "MAINE", " VT", ",VT", "VERMONT", " NH", ",NH", "PITTSBURG")
+VERMONT_PORTS = ("VERMONT", " VT", ",VT")
+NEW_HAMPSHIRE_PORTS = ("NEW HAMPSHIRE", " NH", ",NH", "PITTSBURG")
+CLOSED_PORT = "NO PERMISSIBLE ENTRY"
+ROAD_SERVICES = ("HWY/B", "CLVS")
+RAIL_SERVICES = ("RAIL",)
+FERRY_SERVICES = ("FERRY",)

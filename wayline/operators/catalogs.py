@@ -56,9 +56,9 @@ def select_crossings(offices: DataFrame) -> DataFrame:
     """Offices ``(office_name, us_port, province, services, …)`` on the region's border."""
     port = F.upper("us_port")
     return offices.where(
-        F.col("province").isin("QC", "NB") & (F.coalesce("us_port", F.lit("")) != "")
-        & _has_any(port, " ME", ",ME", "MAINE", " VT", ",VT", "VERMONT", " NH", ",NH", "PITTSBURG")
-        & ~_has_any(port, "NO PERMISSIBLE ENTRY") & _has_any(F.col("services"), "HWY/B", "RAIL", "FERRY", "CLVS")
+        F.col("province").isin(*V.BORDER_PROVINCES) & (F.coalesce("us_port", F.lit("")) != "")
+        & _has_any(port, *V.PORTS_OF_THE_REGION)
+        & ~_has_any(port, V.CLOSED_PORT) & _has_any(F.col("services"), *V.ROAD_SERVICES[:1], *V.RAIL_SERVICES, *V.FERRY_SERVICES, *V.ROAD_SERVICES[1:])
     )
 
 
@@ -66,13 +66,13 @@ def crossings(offices: DataFrame, geocodes: DataFrame) -> DataFrame:
     """Crossing features; an office without a geocode keeps null coordinates and is listed by ``ungeocoded``."""
     services = F.col("services")
     kinds = F.concat_ws(
-        " + ", F.when(_has_any(services, "HWY/B", "CLVS"), "road"), F.when(_has_any(services, "RAIL"), "rail"),
-        F.when(_has_any(services, "FERRY"), "ferry"),
+        " + ", F.when(_has_any(services, *V.ROAD_SERVICES), "road"), F.when(_has_any(services, *V.RAIL_SERVICES), "rail"),
+        F.when(_has_any(services, *V.FERRY_SERVICES), "ferry"),
     )
     port = F.replace("us_port", F.lit(" Station"), F.lit(""))
     upper = F.upper(port)
     region = (
-        F.when(_has_any(upper, "VERMONT", " VT", ",VT"), "vt").when(_has_any(upper, "NEW HAMPSHIRE", " NH", ",NH", "PITTSBURG"), "nh").otherwise("me")
+        F.when(_has_any(upper, *V.VERMONT_PORTS), "vt").when(_has_any(upper, *V.NEW_HAMPSHIRE_PORTS), "nh").otherwise("me")
     )
     notes = truncate(squeeze(F.coalesce("notes", F.lit(""))), 280)
     rows = select_crossings(offices).withColumn("key", F.concat_ws("|", "office_name", "us_port")).join(geocodes, "key", "left")
