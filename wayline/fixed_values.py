@@ -184,3 +184,5 @@ CLOSED_PORT = "NO PERMISSIBLE ENTRY"
 ROAD_SERVICES = ("HWY/B", "CLVS")
 RAIL_SERVICES = ("RAIL",)
 FERRY_SERVICES = ("FERRY",)
+# west, south, east, north of usable geocodes
+GEOCODE_BOX = (-74.0, 44.8, -66.0, 47.6)

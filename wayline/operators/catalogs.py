@@ -122,3 +122,10 @@ def rail(rows: DataFrame) -> DataFrame:
         ).alias("status"),
         F.lit("Federal Railroad Administration · NTAD").alias("provider"),
     )
+
+
+def geocodes_out_of_range(geocodes: DataFrame) -> DataFrame:
+    """Geocodes ``(key, lng, lat)`` outside the region's box or without a position; a build with any of them has to stop."""
+    west, south, east, north = V.GEOCODE_BOX
+    inside = F.col("lng").between(west, east) & F.col("lat").between(south, north)
+    return geocodes.where(~F.coalesce(inside, F.lit(False)))

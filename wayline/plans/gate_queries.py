@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
 from wayline.functions.text import camera_direction
+from wayline.operators import catalogs as K
 from wayline.operators import quality as Q
 from wayline.operators import snapshots as N
 from wayline.plans.base import STATION, query, stops_view, table, with_ctes
@@ -82,3 +83,13 @@ def camera_directions(spark, sf):
     k = F.col("s_suppkey")
     html = F.when(k % 2 == 0, F.concat(F.lit("<div class='dirDescHeader' id=x><b>"), F.col("s_name"), F.lit("</b>  &amp; north</div><p>x</p>"))).otherwise(F.lit("<div class='other'>x</div>"))
     return table(spark, sf, "supplier").select(k.alias("id"), F.coalesce(camera_direction(html), F.lit("")).alias("direction"))
+
+
+@query("JN24", """SELECT k AS key, lng, lat FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 != 3 THEN -75.0 + s_suppkey % 10 END AS lng, 44.0 + s_suppkey % 5 AS lat FROM supplier)
+WHERE NOT coalesce(lng BETWEEN -74.0 AND -66.0 AND lat BETWEEN 44.8 AND 47.6, FALSE)""".replace("-75.0 + s_suppkey % 10", "CAST(-75 + s_suppkey % 10 AS DOUBLE)").replace("44.0 + s_suppkey % 5", "CAST(44 + s_suppkey % 5 AS DOUBLE)"))
+def geocode_range(spark, sf):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(
+        k.alias("key"), F.when(k % 4 != 3, (F.lit(-75) + k % 10).cast("double")).alias("lng"), (F.lit(44) + k % 5).cast("double").alias("lat"),
+    )
+    return K.geocodes_out_of_range(rows)
