@@ -246,10 +246,13 @@ def manifest_duplicates(spark, sf):
 
 @query("SS09", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'dead' ELSE 'good' END AS outcome FROM documents")
 def malformed_messages(spark, sf):
-    k = F.col("doc_id")
-    good = F.to_json(F.struct(F.struct(F.lit(1).alias("timestamp")).alias("header"), F.array().cast("array<struct<id:string>>").alias("entity")))
-    sent = table(spark, sf, "documents").select(k, F.when(k % 4 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(good).alias("payload"))
     from wayline import schemas as S
 
-    parsed = M.parse(sent, S.VEHICLE_MESSAGE)
+    parsed = M.parse(malformed_payloads(spark, sf), S.VEHICLE_MESSAGE)
     return M.good(parsed).select("doc_id", F.lit("good").alias("outcome")).unionByName(M.dead_letters(parsed).select("doc_id", F.lit("dead").alias("outcome")))
+
+
+def malformed_payloads(spark, sf):
+    k = F.col("doc_id")
+    good = F.to_json(F.struct(F.struct(F.lit(1).alias("timestamp")).alias("header"), F.array().cast("array<struct<id:string>>").alias("entity")))
+    return table(spark, sf, "documents").select(k, F.when(k % 4 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(good).alias("payload"))

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wayline.plans.base import FIX, query, with_ctes
-from wayline.plans.source_queries import VMSG, vessel_messages
+from wayline.operators.regions import assign_regions, in_region
+from wayline.plans.base import FIX, edge_values, inside_cte, query, region_edges, with_ctes
+from wayline.plans.source_queries import VMSG, malformed_payloads, vessel_messages
 from wayline.session import scratch_folder
 from wayline.sources.messages import vessel_rows
 from wayline.streaming import live, vessels
@@ -28,12 +29,35 @@ FOLDED = """SELECT pos.mmsi, pos.lng, CASE WHEN nam.at_us > pos.at_us THEN nam.n
 FROM pos JOIN fst USING (mmsi) LEFT JOIN sta USING (mmsi) LEFT JOIN nam USING (mmsi)"""
 
 
-@query("SS01 SS02 SS07", with_ctes(FIX, VMSG, FOLD, FOLDED))
+@query("SS01", with_ctes(FIX, VMSG, FOLD, FOLDED))
 def vessel_fold(spark, sf):
     rows = vessel_rows(vessel_messages(spark, sf), "at_us")
     return vessels.fold_vessels(rows, prune_s=PRUNE).select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
 
 
+CLOCK = "(SELECT max(at_us) FROM vm)"
+
+
+def _clocked(spark, sf):
+    rows = vessel_rows(vessel_messages(spark, sf), "at_us")
+    end = rows.agg(F.max("at_us")).first()[0]
+    return vessels.fold_vessels(rows, prune_s=PRUNE, now_us=F.lit(end))
+
+
+@query("SS01 SS02", with_ctes(FIX, VMSG, FOLD, f"SELECT * FROM ({FOLDED}) WHERE at_us >= {CLOCK} - {PRUNE}000000"))
+def vessels_at_the_end(spark, sf):
+    """The fold with a clock: vessels silent for the prune time at the end are gone."""
+    return _clocked(spark, sf).select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
+
+
+@query("SS07", with_ctes(FIX, VMSG, FOLD, f"seen AS (SELECT pos.mmsi, pos.lng, pos.lat, pos.at_us FROM pos WHERE pos.at_us >= {CLOCK} - {PRUNE}000000)", edge_values(), inside_cte("seen", key="mmsi"),
+                         "SELECT DISTINCT mmsi, lng, lat FROM seen JOIN inside USING (mmsi) WHERE region = 'me'"))
+def vessels_in_region(spark, sf):
+    """The region filters what is shown and not the state behind it."""
+    rows = assign_regions(_clocked(spark, sf), region_edges(spark))
+    return rows.where(in_region(F.col("regions"), "me")).select("mmsi", "lng", "lat")
+
+
 def _event_stream(spark, sf):
     e = live.table_stream(spark, sf, "events", EVENTS)
     return e.select(
@@ -54,3 +78,27 @@ def last_positions(spark, sf):
     folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     live.last_positions(_event_stream(spark, sf).select("entity", "id", "ts_us"), ["entity"], ["ts_us", "id"], f"{folder}/out", f"{folder}/cp").awaitTermination()
     return live.merged_positions(spark, f"{folder}/out", ["entity"], ["ts_us", "id"])
+
+
+@query("SS08", with_ctes(FIX, "newest AS (SELECT * FROM fix QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts_us DESC, id DESC) = 1)",
+                         "SELECT source, grp, count(*) AS n FROM newest WHERE ts_us >= (SELECT max(ts_us) FROM fix) - 86400000000 GROUP BY source, grp"))
+def present_entities(spark, sf):
+    """Entities now present, from the streamed last positions."""
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    live.last_positions(_event_stream(spark, sf), ["entity"], ["ts_us", "id"], f"{folder}/out", f"{folder}/cp").awaitTermination()
+    now = live.merged_positions(spark, f"{folder}/out", ["entity"], ["ts_us", "id"])
+    end = now.agg(F.max("ts_us")).first()[0]
+    return live.present_counts(now, F.lit(end), 86400)
+
+
+@query("SS09", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'dead' ELSE 'good' END AS outcome FROM documents")
+def malformed_stream(spark, sf):
+    """Messages arrive as files; those that do not parse go to the dead-letter side and the stream goes on."""
+    from wayline import schemas as S
+
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    malformed_payloads(spark, sf).write.parquet(f"{folder}/in.parquet")
+    sent = spark.readStream.schema("doc_id bigint, payload string").option("maxBytesPerTrigger", live.MOST_BYTES).parquet(f"{folder}/in.parquet")
+    live.split_malformed(sent, S.VEHICLE_MESSAGE, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    read = lambda side: spark.read.parquet(f"{folder}/out/{side}").select("doc_id", F.lit(side).alias("outcome"))
+    return read("good").unionByName(read("dead"))

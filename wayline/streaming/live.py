@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,10 +16,12 @@ from wayline.operators.ordered import last_wins
 from wayline.operators.snapshots import snapshot_diff
 from wayline.sources.messages import dead_letters, good, parse
 
+MOST_BYTES = 1 << 30  # of files per micro-batch
+
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
-    """A Parquet table as a file stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    """A Parquet table as a file stream; a backlog is read in micro-batches of bounded size."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxBytesPerTrigger", MOST_BYTES).parquet(folder)
 
 
 def _start(df: DataFrame, mode: str, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -43,6 +45,12 @@ def live_counts(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy("source", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
+def present_counts(positions: DataFrame, now_us: Column, within_s: float) -> DataFrame:
+    """Entities per source and group whose newest position is at most ``within_s`` old; one row per entity goes in."""
+    fresh = positions.where(F.col("ts_us") >= now_us - F.lit(int(within_s * 1_000_000)))
+    return fresh.groupBy("source", "grp").agg(F.count(F.lit(1)).alias("n"))
+
+
 def last_positions(fixes: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
     """Newest fix per entity of every micro-batch; readers merge with ``merged_positions``."""
     def step(batch: DataFrame, version: int) -> None:

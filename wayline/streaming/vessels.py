@@ -22,8 +22,11 @@ STATE = "lng double, lat double, name string, sog double, heading double, ship_t
 OUTPUT = f"mmsi bigint, {STATE}"
 
 
-def fold_vessels(messages: DataFrame, prune_s: float = V.VESSEL_PRUNE_S, chunk: Column | None = None) -> DataFrame:
-    """State of every vessel after all its messages; ``at_us`` must be unique per vessel."""
+def fold_vessels(messages: DataFrame, prune_s: float = V.VESSEL_PRUNE_S, chunk: Column | None = None, now_us: Column | None = None) -> DataFrame:
+    """State of every vessel after all its messages; ``at_us`` must be unique per vessel.
+
+    ``now_us`` is the clock at the end: vessels that are silent for longer than the prune time by then are forgotten too.
+    """
     prune_us = F.lit(int(prune_s * 1_000_000))
     scan = OrderedScan(messages, ["mmsi"], ["at_us"], time_chunk("at_us") if chunk is None else chunk)
     position = ~F.col("is_static")
@@ -43,6 +46,8 @@ def fold_vessels(messages: DataFrame, prune_s: float = V.VESSEL_PRUNE_S, chunk:
     )
     enriched = F.coalesce(F.col("s._session") == F.col("p._session"), F.lit(False))
     renamed = F.coalesce(F.col("static_name_at") > F.col("p.at_us"), F.lit(False))
+    if now_us is not None:
+        folded = folded.where(F.col("p.at_us") >= now_us - prune_us)
     return folded.select(
         "mmsi", "p.lng", "p.lat", F.when(renamed, F.col("static_name")).otherwise(F.col("p.name")).alias("name"), "p.sog", "p.heading",
         F.when(enriched, F.col("s.ship_type")).otherwise(F.col("first_type")).alias("ship_type"), "p.at_us",
