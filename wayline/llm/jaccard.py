@@ -1,8 +1,8 @@
 """N-gram Jaccard join: a size-aware heavy-light join over word-shingle sets, and its connected components.
 
-1. Equal sets are one set from here on. Shingles have a fixed order (their hash). A set with a partner shares at least
-   ``spare`` of its first ``absent + spare`` shingles with other sets, ``absent`` being how many it may lack; sets that do not
-   are alone and leave.
+1. Equal sets are one set from here on. Shingles have a fixed order (their hash). Of the first ``absent + spare`` shingles of two
+   linked sets (``absent``: how many a set may lack) at least the smaller one's ``spare`` are common; sets that share fewer
+   with any others are alone and leave.
 2. Of the others every shingle is counted, and sets that share too few of their shingles leave. Shingles are ordered rare
    first. A light set (at most ``boundary`` shingles) lists the 2-subsets of its prefix: a light partner must list one of them
    too. A heavy set, and each light set near the boundary, lists its prefix shingles singly in inverted lists. The boundary is
@@ -84,7 +84,9 @@ def _sharing(signatures: DataFrame, threshold: int) -> DataFrame:
     shared = lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
     counted = lists.join(shared, "token").distinct().groupBy("node").agg(F.count("*").alias("shared"))
     one = sets.groupBy("node").agg(F.min("text_number").alias("text_number"), F.first("n_shingles").alias("n"))
-    spare = F.greatest(F.lit(1), F.floor(F.col("n") * SPARE_SHARE))
+    # the smallest possible partner lists the fewest spare shingles, and no more than those need to be seen as shared
+    least = F.ceil(F.col("n") * F.lit(threshold) / F.lit(100))
+    spare = F.greatest(F.lit(1), F.floor(least * SPARE_SHARE))
     return one.join(counted, "node").filter(F.col("shared") >= spare).select("text_number")
 
 
