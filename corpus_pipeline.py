@@ -13,6 +13,8 @@ from wayline.llm.common import load, staged
 from wayline.llm.queries import fold
 from wayline.llm.tokens import WORD_BPE, tokenizer_path
 
+NEAR_WORDS, NEAR_PER_CENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated trees score under the cut."""
@@ -20,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of n-gram Jaccard links."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of Jaccard links at NEAR_WORDS words and NEAR_PER_CENT or more, which are not op1's values."""
+    return jaccard.one_of_each(docs, words=NEAR_WORDS, threshold=NEAR_PER_CENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

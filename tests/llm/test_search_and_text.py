@@ -169,6 +169,18 @@ def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     con.close()
 
 
+def test_near_copies_stage_is_five_words_and_four_fifths(spark):
+    from test_copies_and_tokens import brute_components, near_texts
+
+    long = [f"t{i}" for i in range(200)]
+    near = [f"r{i}" if i in (30, 70, 110, 150) else w for i, w in enumerate(long)]  # 176 of 216 five-word shingles
+    rows = [*((k, t) for k, t in near_texts(40, 7) if k is not None and k != 3), (9000, " ".join(long)), (9001, " ".join(near))]
+    rows = list(dict(rows).items())
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    got = sorted(r["doc_id"] for r in kept.collect())
+    assert got == sorted({c for _, _, c in brute_components(rows, 5, 80)}) and 9000 in got and 9001 not in got
+
+
 @pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op6_decontamination"])
 def test_queries_with_sql(spark, name):
     from compare import check, duck
