@@ -26,7 +26,7 @@ from wayline.llm.tokens import encoder
 
 WINDOW, END_ID = 4096, 2
 SHARD_IDS = 1 << 21
-QUERY_TERMS, NEIGHBOURS = 24, 32
+QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, seed_doc_id bigint"
 
@@ -104,14 +104,13 @@ class Packer:
             unused[seed] = False
             self.put(docs[seed], docs[seed][2])
             while self.filled:
-                near = index.neighbours(seed, unused)[:NEIGHBOURS]
-                for i in near:
-                    unused[i] = False
+                for i in index.neighbours(seed, unused):
+                    unused[i], before = False, self.count
                     self.put(docs[i], docs[i][2])
-                    seed = i
-                    if not self.filled:
+                    if self.count > before:
+                        seed = i  # cut at the border, it seeds the next window
                         break
-                if not len(near):
+                else:
                     break
 
     def take(self) -> pa.RecordBatch:
