@@ -249,6 +249,43 @@ def test_revealing_words_are_hidden_and_others_stay(spark):
     assert "Zebulon" not in texts[0] and "<email>" in texts[0] and "wrote" in texts[10] and texts[50] == rows[-40][1] and len(texts) == len(rows)
 
 
+def disclosure_rows():
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(rng.choice([f"{a}{b}lo" for a in "bcdfghklmnpr" for b in "aeiou"], n))
+    rows = [(i, f"Zebulon {say(30)} {'x@y' if i == 2 else ''} mail zeb@mail.org, {say(300)} Zebulon-{i} {say(3)} über") for i in range(5)]
+    rows += [(10 + i, f"{say(20)} call +1 555 123 45{i % 3}7 or u{i % 4}.ab@q.rs; {say(12)} Kvasir{'' if i % 5 else ' qq zebulon'}.") for i in range(20)]
+    return rows + [(40, "here Zebulon stands alone: ZEBULON"), *((50 + i, say(15)) for i in range(60)), (3, rows[3][1]), (None, "Zebulon"), (200, None), (201, "")]
+
+
+def brute_terms(rows, support=3, generalise=0.6, remove=0.9):
+    word = re.compile(r"(?<![^\W_])(?<![_@.-])[^\W\d_]{3,}(?![^\W_])(?![_@])")
+    found = [(key, t or "", [s.split(":") for s in brute_base(t).split(",") if s]) for key, t in rows]
+    held = [({f"{k}:{t[int(a):int(b)].lower()}" for k, a, b in base}, {m[0].lower() for m in word.finditer(t)}) for _, t, base in found]
+    best, n = {}, len(rows)
+    for e in {e for es, _ in held for e in es}:
+        n_e = sum(e in es for es, _ in held)
+        for t in {t for es, ts in held if e in es for t in ts}:
+            both = sum(e in es and t in ts for es, ts in held)
+            texts = {x[1] for x, (es, ts) in zip(found, held, strict=True) if e in es and t in ts}
+            d = np.log2(both * n / (n_e * sum(t in ts for _, ts in held))) / np.log2(n / n_e)
+            if len(texts) >= support and d >= generalise:
+                best[t] = max(d, best.get(t, 0))
+    out = []
+    for key, t, base in found:
+        spans = [(m.start(), m.end(), "remove" if best[m[0].lower()] >= remove else "generalise") for m in word.finditer(t) if m[0].lower() in best]
+        out.append((str(key), [s for s in spans if not any(int(a) < s[1] and s[0] < int(b) for _, a, b in base)]))
+    return sorted(out)
+
+
+def test_disclosing_words_are_measured_and_hidden_in_whole_documents(spark):
+    rows = disclosure_rows()
+    docs = spark.createDataFrame(rows, ROWS)
+    got = sorted((str(r["doc_id"]), [(s["start"], s["end"], s["value"]) for s in r["terms"]]) for r in pii.personal_data(docs).collect())
+    assert got == brute_terms(rows)
+    texts = [r["text"] for r in pii.sanitise(docs).collect()]
+    assert len(texts) == len(rows) and not any("zebulon" in (t or "").lower() for t in texts) and texts.count(None) == 1
+
+
 def test_sanitising_overlaps(spark):
     got = pii.sanitise(spark.createDataFrame([(1, "see 1.2.3.4@x.org now"), (2, None)], ROWS)).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["see <email> now", None]

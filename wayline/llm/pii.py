@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base spans (email, ip, card, phone) are the protected entities. Corpus co-occurrence then says how strongly a word near an
-entity reveals it: with P over documents, disclosure(t, e) = PMI(t, e) / IC(e), which is 1 where the word occurs only with the
+Base spans (email, ip, card, phone) are the protected entities. Corpus co-occurrence then says how strongly a word reveals an
+entity: with P over whole documents, disclosure(t, e) = PMI(t, e) / IC(e), which is 1 where the word occurs only with the
 entity and at most 0 where both are independent. A word with enough support is removed from ``remove`` on and generalised from
-``generalise`` on, where it stands near that entity; base spans are always generalised to their kind.
+``generalise`` on, at every place of every document, by its strongest entity: it reveals that entity also where the entity itself
+is not written. Base spans are always generalised to their kind.
 
 Spans are code points, end exclusive. They follow from the text alone, so equal texts share them and count once per text as
 support (a group of copies is no evidence). Null texts count as empty; null or repeated doc_ids are rows of their own. Kinds may
@@ -30,7 +31,9 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 WORD = r"(?<![\p{L}\p{N}_@.-])\p{L}{3,}+(?![\p{L}\p{N}_@])"
-CONTEXT_CHARS, CONTEXT_WORDS = 120, 5
+#: A stretch of text that ends where neither a word nor what decides whether it is one can go on.
+PIECE = r"(?s).{1,500}+[\p{L}\p{N}_@.-]*+"
+FILTER_BITS = 1 << 20
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.9
 
 
@@ -83,59 +86,92 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Words near a span with their places in the text."""
-    from_left = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS)
-    left, right = F.substring(text, from_left + 1, span["start"] - from_left), F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
+def terms_of(text: Column) -> Column:
+    """Distinct lower-case words of the whole text."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
 
-    def moved(words: Column, by: Column) -> Column:
-        return F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")))
 
+def protected(docs: DataFrame) -> DataFrame:
+    """(text_number, entities, terms): distinct entities and words of every row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    return rows.select(F.xxhash64("text").alias("text_number"), entities.alias("entities"), terms_of(F.col("text")).alias("terms"))
+
+
+def _maybe(words: DataFrame, strong: DataFrame) -> DataFrame:
+    """``words`` without most that are not in ``strong``, by one row of FILTER_BITS bits; the join that follows is exact."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
+    at, mask = F.floor(bit / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {FILTER_BITS}) % 64 AS int))")
+    set_bits = strong.select(at.alias("at"), mask.alias("mask"))
+    blank = strong.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("bigint").alias("mask"))
+    longs = set_bits.unionByName(blank).groupBy("at").agg(F.bit_or("mask").alias("mask"))
+    row = longs.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mask"))), lambda x: x["mask"]).alias("bits"))
+    near = words.crossJoin(F.broadcast(staged(row)))  # of fixed size
+    return near.filter(F.get("bits", at).bitwiseAND(mask) != 0).drop("bits")
+
+
+def disclosures(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(text_number, strong): the disclosing words of each text that has any, with the strongest disclosure of each, as a map.
+
+    An entity and a term are counted together only where the counts of both allow ``generalise``: with both <= n_entity,
+    disclosure >= g needs n_term <= n^(1-g) n_entity^g. Nothing that could be strong is left out.
+    """
+    known = staged(protected(docs))
+    n = float(known.count())
+    texts = known.filter(F.size("entities") > 0).groupBy("text_number").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    held = staged(texts)
+    entities = held.select("text_number", "copies", F.explode("entities").alias("entity"))
+    of_entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).filter((F.col("texts") >= min_support) & (F.col("n_entity") < n)).drop("texts")
+    placed = staged(entities.join(of_entity.hint("merge"), "entity").withColumn("most", F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)))
+    of_text = placed.groupBy("text_number").agg(F.max("most").alias("reach"))
+    words = staged(held.join(of_text.hint("merge"), "text_number").select("text_number", "reach", F.explode("terms").alias("term")))
+    of_term = known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_support)
+    rare = staged(words.join(of_term.hint("merge"), "term").filter(F.col("n_term") <= F.col("reach")).select("text_number", "term", "n_term"))
+    pairs = placed.join(rare.hint("merge"), "text_number").filter(F.col("n_term") <= F.col("most"))
+    together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("support"), F.sum("copies").alias("both")).filter(F.col("support") >= min_support)
+    pmi = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
+    strength = together.select("term", (pmi / F.log2(n / F.col("n_entity"))).alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    strong = staged(strength.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    hits = _maybe(known.select("text_number", F.explode("terms").alias("term")), strong).join(strong.hint("merge"), "term")
+    listed = F.collect_set(F.struct("term", "disclosure"))  # of one text
+    return staged(hits.groupBy("text_number").agg(F.map_from_entries(listed).alias("strong")))
+
+
+def term_spans(text: Column, strong: Column, base: Column, remove: float = REMOVE) -> Column:
+    """array<struct<kind, start, end, value>>: every place of the words of ``strong`` in the whole text, outside base spans.
+
+    The text is read in pieces that end where no word can go on, so that long texts take time linear in their length.
+    """
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    # a word that the window may have cut is not read
-    before = F.filter(F.coalesce(matches(left, WORD), none), lambda w: (w["start"] > 0) | (from_left == 0))
-    after = F.filter(F.coalesce(matches(right, WORD), none), lambda w: (w["end"] < CONTEXT_CHARS))
-    before = F.slice(before, F.greatest(F.lit(1), F.size(before) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
-    return F.concat(moved(before, from_left), moved(F.slice(after, 1, CONTEXT_WORDS), span["end"]))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>").alias("out"))
 
+    def step(acc: Column, piece: Column) -> Column:
+        known = F.filter(F.coalesce(matches(piece, WORD), none), lambda w: F.map_contains_key(strong, F.lower(w["value"])))
+        spans = F.transform(known, lambda w: F.struct(
+            F.lit(len(PATTERNS)).alias("kind"), (w["start"] + acc["at"]).alias("start"), (w["end"] + acc["at"]).alias("end"),
+            F.when(F.try_element_at(strong, F.lower(w["value"])) >= remove, "remove").otherwise("generalise").alias("value"),
+        ))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], spans).alias("out"))
 
-def protected(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_number, base, contexts): base spans of every row, and the words near each."""
+    found = F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), empty, step, lambda acc: acc["out"])
+    clear = F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return F.when(strong.isNotNull(), clear).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
+
+
+def _marked(docs: DataFrame, remove: float = REMOVE, **thresholds) -> DataFrame:
+    """``docs`` with _number, _base and _terms."""
+    hidden = disclosures(docs, **thresholds).withColumnsRenamed({"text_number": "_number", "strong": "_strong"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    contexts = F.transform("base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _near(F.col("text"), s).alias("words")))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_number"), "base", F.when(F.size("base") > 0, contexts).alias("contexts"))
-
-
-def disclosures(docs: DataFrame, known: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(text_number, spans): words to hide per text, array<struct<kind, start, end, value>> with value ``remove`` or ``generalise``."""
-    texts = known.filter("contexts IS NOT NULL").groupBy("text_number").agg(F.first("contexts").alias("contexts"), F.first("base").alias("base"), F.count("*").alias("copies"))
-    near = staged(texts.select("text_number", "copies", "base", F.explode("contexts").alias("c")).select("text_number", "copies", "base", F.col("c.entity").alias("entity"), F.explode("c.words").alias("w")))
-    pairs = near.select("text_number", "copies", "entity", F.col("w.term").alias("term")).distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("copies").alias("both")).filter(F.col("support") >= min_support)
-    entities = texts.select("text_number", "copies", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
-    of_entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(together.select("term").distinct(), "term")
-    rated = together.join(of_entity, "entity").join(of_term, "term").withColumn("n", F.lit(float(known.count())))
-    pmi = F.log2(F.col("both") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    strength = F.when(F.col("n_entity") < F.col("n"), pmi / F.log2(F.col("n") / F.col("n_entity"))).otherwise(F.lit(0.0))
-    strong = rated.withColumn("disclosure", strength).filter(F.col("disclosure") >= generalise)
-    hidden = near.withColumn("term", F.col("w.term")).join(strong.select("entity", "term", "disclosure"), ["entity", "term"])
-    clear = hidden.filter(~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"])))
-    one = clear.groupBy("text_number", F.col("w.start").alias("start"), F.col("w.end").alias("end")).agg(F.max("disclosure").alias("d"))
-    span = F.struct(F.lit(len(PATTERNS)).alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("value"))
-    return one.groupBy("text_number").agg(F.sort_array(F.collect_list(span)).alias("terms"))  # of one text
+    rows = docs.withColumn("_number", F.xxhash64(text)).join(hidden.hint("merge"), "_number", "left").withColumn("_base", base_spans(text))
+    return rows.withColumn("_terms", term_spans(text, F.col("_strong"), F.col("_base"), remove))
 
 
 def personal_data(docs: DataFrame, **thresholds) -> DataFrame:
     """(doc_id, text_number, base, terms) for every row of ``docs``."""
-    known = staged(protected(docs))
-    hidden = disclosures(docs, known, **thresholds)
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    few = known.filter(F.size("base") > 0).drop("contexts").join(hidden, "text_number", "left")
-    rest = known.filter(F.size("base") == 0).select("text_number", "doc_id", "base", F.lit(None).cast("array<struct<kind:int,start:int,end:int,value:string>>").alias("terms"))
-    return few.unionByName(rest).select("doc_id", "text_number", "base", F.coalesce("terms", none).alias("terms"))
+    rows = _marked(docs.select("doc_id", "text"), **thresholds)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_number").alias("text_number"), F.col("_base").alias("base"), F.col("_terms").alias("terms"))
 
 
 def written(spans: Column) -> Column:
@@ -159,16 +195,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
-    """``docs`` with hidden personal data; columns and rows stay, texts without any keep their value (null included).
-
-    Rows without personal data pass by; only the others meet their word spans.
-    """
-    known = staged(protected(docs))
-    hidden = disclosures(docs, known, **thresholds)
+    """``docs`` with hidden personal data; columns and rows stay, texts without any keep their value (null included)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_base", base_spans(text))
-    clean = marked.filter(F.size("_base") == 0).drop("_base")
-    few = marked.filter(F.size("_base") > 0).withColumn("_number", F.xxhash64(text)).join(hidden.withColumnsRenamed({"text_number": "_number", "terms": "_terms"}), "_number", "left")
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    changed = few.withColumn("text", sanitised(text, F.concat("_base", F.coalesce("_terms", none)))).select(*docs.columns)
-    return clean.unionByName(changed)
+    spans = F.concat("_base", "_terms")
+    changed = F.when(F.size(spans) > 0, sanitised(text, spans)).otherwise(F.col("text"))
+    return _marked(docs, **thresholds).withColumn("text", changed).select(*docs.columns)
