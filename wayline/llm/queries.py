@@ -8,11 +8,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, rans, repeats, toxicity
+from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, rans, repeats, shards, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
 
+SHARDS = 8
+
+
 def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
@@ -66,8 +69,13 @@ def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(load(spark, sf_dir, "embeddings"))
 
 
+def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.sharded(shards.measured(load(spark, sf_dir, "documents")), ["doc_id"], SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search, op12_jump_sharding)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
