@@ -15,11 +15,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """``df`` written once as Parquet under spark.checkpoint.dir and read back: survives lost executors and is not computed twice."""
+def staged(df: DataFrame, compression: str = "zstd", block_bytes: int = 128 << 20) -> DataFrame:
+    """``df`` written once as Parquet under spark.checkpoint.dir and read back: survives lost executors and is not computed twice.
+
+    Tables of few large rows take small row groups (``block_bytes``), so that a reader holds few rows at once.
+    """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", block_bytes).parquet(path)
     # Spark removes the shuffle files of the job just done once the driver's garbage is collected; without this they pile up
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, rans, repeats, shards, toxicity
+from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, ranked, rans, repeats, shards, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -74,8 +74,12 @@ def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build_index(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search, op12_jump_sharding)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search, op12_jump_sharding, op13_bit_sliced_search)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -99,4 +103,16 @@ k AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + n))
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_bit_sliced_search": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+n AS (SELECT d, doc_id, CAST(len(ws) AS BIGINT) AS n FROM t WHERE len(ws) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+m AS (SELECT d, doc_id, 75 + (25 * n * nn) // l AS m FROM n, g),
+tf AS (SELECT d, w, count(*) AS tf FROM (SELECT d, unnest(ws) AS w FROM t) GROUP BY 1, 2),
+q AS (SELECT item_id, w, count(*) AS times FROM (SELECT DISTINCT item_id, text FROM benchmark) b,
+ unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) u(w) GROUP BY 1, 2),
+wt AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS wt FROM (SELECT w, count(*) AS df FROM tf GROUP BY 1), g),
+s AS (SELECT item_id, d, CAST(sum(times * wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN wt USING (w) JOIN tf USING (w) JOIN m USING (d) GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s JOIN n USING (d) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
 }
