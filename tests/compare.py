@@ -11,7 +11,7 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 WITHOUT_SQL = {
     "op2_lexical_packing", "op3_run_length_index_dedup", "op4_rans_tokens", "op5_disclosure_sanitising", "op7_toxicity", "op8_language_spans",
-    "op9_quotation_linking", "op10_posting_list_search", "pipeline",
+    "op9_quotation_linking", "op10_posting_list_search", "op12_jump_sharding", "pipeline",
 }
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
