@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, jaccard, language, neighbours, packing, pii, quotes, ranked, rans, repeats, shards, toxicity
+from wayline.llm import decontaminate, jaccard, language, mining, neighbours, packing, pii, quotes, ranked, rans, repeats, shards, toxicity
 from wayline.llm.common import load
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -69,6 +69,11 @@ def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(load(spark, sf_dir, "embeddings"))
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mining.hard_negatives(mining.scaled(vectors))
+
+
 def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.sharded(shards.measured(load(spark, sf_dir, "documents")), ["doc_id"], SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -79,7 +84,7 @@ def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search, op12_jump_sharding, op13_bit_sliced_search)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_lexical_packing, op3_run_length_index_dedup, op4_rans_tokens, op5_disclosure_sanitising, op6_decontamination, op7_toxicity, op8_language_spans, op9_quotation_linking, op10_posting_list_search, op11_threshold_negatives, op12_jump_sharding, op13_bit_sliced_search)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -103,6 +108,14 @@ k AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + n))
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_threshold_negatives": """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id, own) WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)""",
     "op13_bit_sliced_search": r"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
 n AS (SELECT d, doc_id, CAST(len(ws) AS BIGINT) AS n FROM t WHERE len(ws) > 0),
