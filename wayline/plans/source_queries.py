@@ -118,7 +118,7 @@ def trains(spark, sf):
     return rows.select("id", "data_status", "dest", "status", "meta", "bearing", "has_bearing", "stale")
 
 
-def vessel_messages(spark, sf):
+def vessel_messages(spark, sf, mmsi=None):
     """Position and static messages of the users as vessels, in event order."""
     k = F.col("id")
     static = F.col("grp") == "signup"
@@ -128,7 +128,7 @@ def vessel_messages(spark, sf):
         F.when(~static, F.when(k % 4 == 0, F.lit(511.0)).otherwise((k % 360).cast("double"))).alias("TrueHeading"), F.when(~static, (k % 100).cast("double")).alias("Cog"),
         F.when(~static, F.col("speed")).alias("Sog"), F.when(static, (50 + k % 20).cast("double")).alias("Type"), F.when(static & (k % 2 == 0), F.lit("Static ship")).alias("Name"),
     )
-    meta = F.struct(F.col("entity").alias("MMSI"), F.when(static, F.when(k % 5 == 0, "Meta ship")).otherwise(name).alias("ShipName"), F.when(k % 6 == 0, F.lit(61.0)).alias("ShipType"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
+    meta = F.struct((F.col("entity") if mmsi is None else mmsi).alias("MMSI"), F.when(static, F.when(k % 5 == 0, "Meta ship")).otherwise(name).alias("ShipName"), F.when(k % 6 == 0, F.lit(61.0)).alias("ShipType"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
     message = F.struct(kind.alias("MessageType"), meta.alias("MetaData"), F.create_map(kind, body).alias("Message"))
     return payload(fixes(spark, sf), message, F.col("ts_us").alias("at_us"))
 

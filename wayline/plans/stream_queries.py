@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from wayline.operators.regions import assign_regions, in_region
-from wayline.plans.base import FIX, edge_values, inside_cte, query, region_edges, with_ctes
+from wayline.plans.base import FIX, REGISTRY, START_US, edge_values, fixes, inside_cte, query, region_edges, table, with_ctes
+from wayline.plans.poll_queries import polls as daily_polls
 from wayline.plans.source_queries import VMSG, malformed_payloads, vessel_messages
-from wayline.session import scratch_folder
+from wayline.session import cut_lineage, scratch_folder
 from wayline.sources.messages import vessel_rows
-from wayline.streaming import live, vessels
+from wayline.streaming import live, polls, vessels
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 PRUNE = 86400
@@ -73,24 +74,106 @@ def live_counts(spark, sf):
     return live.newest_version(spark, f"{folder}/out", ["source", "grp"]).select("source", "grp", "n")
 
 
+def _positions(spark, sf, columns):
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    fixes = _event_stream(spark, sf).select(*columns)
+    table = live.positions_table(spark, f"{folder}/table", ["entity"], ["ts_us", "id"], ", ".join(f"{n} {t}" for n, t in fixes.dtypes))
+    table.start(fixes, f"{folder}/cp").awaitTermination()
+    return table.read()
+
+
 @query("SS10 WN09", with_ctes(FIX, "SELECT entity, id, ts_us FROM fix QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts_us DESC, id DESC) = 1"))
 def last_positions(spark, sf):
-    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    live.last_positions(_event_stream(spark, sf).select("entity", "id", "ts_us"), ["entity"], ["ts_us", "id"], f"{folder}/out", f"{folder}/cp").awaitTermination()
-    return live.merged_positions(spark, f"{folder}/out", ["entity"], ["ts_us", "id"])
+    return _positions(spark, sf, ["entity", "id", "ts_us"])
 
 
 @query("SS08", with_ctes(FIX, "newest AS (SELECT * FROM fix QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts_us DESC, id DESC) = 1)",
                          "SELECT source, grp, count(*) AS n FROM newest WHERE ts_us >= (SELECT max(ts_us) FROM fix) - 86400000000 GROUP BY source, grp"))
 def present_entities(spark, sf):
     """Entities now present, from the streamed last positions."""
-    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    live.last_positions(_event_stream(spark, sf), ["entity"], ["ts_us", "id"], f"{folder}/out", f"{folder}/cp").awaitTermination()
-    now = live.merged_positions(spark, f"{folder}/out", ["entity"], ["ts_us", "id"])
+    now = _positions(spark, sf, ["entity", "id", "ts_us", "source", "grp"])
     end = now.agg(F.max("ts_us")).first()[0]
     return live.present_counts(now, F.lit(end), 86400)
 
 
+# a vessel per user and digit: most are silent for days
+PART_S = 10 * 86400
+MANY = VMSG.replace("entity AS mmsi", "entity * 10 + id % 10 AS mmsi")
+
+
+def _arrivals(rows, at_us, folder, part_s=PART_S):
+    """``rows`` by time of arrival: an iterator that writes one part after the other into ``folder``, each as large as it is."""
+    part = F.floor((at_us - F.lit(START_US)) / F.lit(part_s * 1_000_000)).cast("int")
+    last = rows.agg(F.max(part)).first()[0]
+    for i in range(0 if last is None else last + 1):
+        rows.where(part == i).write.parquet(f"{folder}/part={i}")
+        yield i
+
+
+@query("SS01 SS02", with_ctes(FIX, MANY, FOLD, f"""SELECT *, at_us >= {CLOCK} - {PRUNE}000000 AS present FROM ({FOLDED}) WHERE at_us >= {CLOCK} - {PRUNE + PART_S}000000"""))
+def vessels_streamed(spark, sf):
+    """Messages replayed part by part through the keyed state into the upsert table; ``present`` by the clock of the last message.
+
+    The stream ends and starts again from its checkpoint for every part. Within a part messages come in any order, which is the lateness;
+    vessels silent for longer than that and the prune time have been taken out of the table.
+    """
+    folder, rocks = f"{scratch_folder(spark)}/{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(rocks)
+    sent = vessel_messages(spark, sf, F.col("entity") * 10 + F.col("id") % 10)
+    table = vessels.vessel_table(spark, f"{folder}/table")
+    vessels.use_rocksdb(spark)
+    try:
+        for _ in _arrivals(sent, F.col("at_us"), f"{folder}/in"):
+            arriving = spark.readStream.schema("at_us bigint, payload string").option("maxBytesPerTrigger", live.MOST_BYTES).parquet(f"{folder}/in/part=*")
+            changed = vessels.vessel_stream(vessel_rows(arriving, "at_us"), late=f"{PART_S} seconds", prune_s=PRUNE)
+            table.start(changed, f"{folder}/cp", mode="update").awaitTermination()
+    finally:
+        spark.conf.set(rocks, before)
+    end = sent.agg(F.max("at_us")).first()[0]
+    now = table.read().select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
+    return now.withColumn("present", F.col("at_us") >= F.lit(end) - F.lit(PRUNE * 1_000_000))
+
+
+def _polled(spark, events, arrives, hold_s=300.0):
+    """The poll table after ``events`` arrived in parts (``arrives``), with the stream started again for each."""
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    table = polls.PollTable(spark, f"{folder}/table", hold_s=hold_s)
+    events = cut_lineage(events.withColumn("_part", arrives))
+    for i in range((events.agg(F.max("_part")).first()[0] or 0) + 1):
+        events.where(F.col("_part") == i).drop("_part").write.parquet(f"{folder}/in/part={i}")
+        arriving = spark.readStream.schema(polls.EVENTS).option("maxBytesPerTrigger", live.MOST_BYTES).parquet(f"{folder}/in/part=*")
+        table.start(arriving, f"{folder}/cp").awaitTermination()
+    return table
+
+
+@query("SS03 WN09", REGISTRY["snapshot_diff"].sql)
+def polls_streamed(spark, sf):
+    """Daily polls whose rows arrive half in time and half a part later: the same changes as over whole snapshots."""
+    events = polls.poll_events(daily_polls(spark, sf), F.col("poll") * 86_400_000_000)
+    late = F.when((F.col("mark") == "row") & (F.col("entity").cast("bigint") % 2 == 1), 1).otherwise(0)
+    table = _polled(spark, events, (F.floor(F.col("poll") / 11) + late).cast("int"))
+    return table.changes().withColumn("entity", F.col("entity").cast("bigint"))
+
+
+@query("SS04", REGISTRY["last_good"].sql)
+def polls_served(spark, sf):
+    """Good and failed polls as marks: what answers each of them."""
+    p = fixes(spark, sf).groupBy("source", "ts_us").agg((F.min("grp") != "error").alias("ok"))
+    none = F.lit(None)
+    events = p.select("source", F.col("ts_us").alias("poll"), F.when(F.col("ok"), "end").otherwise("fail").alias("mark"), none.cast("string").alias("entity"),
+                      none.cast("double").alias("lng"), none.cast("double").alias("lat"), F.col("ts_us").alias("at_us"), F.when(F.col("ok"), F.lit(0)).cast("bigint").alias("n"))
+    table = _polled(spark, events, F.floor((F.col("at_us") - F.lit(START_US)) / F.lit(PART_S * 1_000_000)).cast("int"), hold_s=7200)
+    return table.served().select("source", "ts_us", "served", "served_us")
+
+
+@query("SS06", REGISTRY["newest_generation"].sql)
+def generations_streamed(spark, sf):
+    """Seven requests of every source whose answers come newest first and last: the older ones are fenced."""
+    d = table(spark, sf, "documents").select("source", (F.col("doc_id") % 7).alias("poll"), F.col("doc_id").alias("entity"), F.lit(0.0).alias("lng"), F.lit(0.0).alias("lat"))
+    events = polls.poll_events(d, F.col("poll") * 1_000_000)
+    return _polled(spark, events, ((F.col("poll") + 1) % 2).cast("int")).current().select("source", F.col("poll").alias("seq"), F.col("entity").cast("bigint").alias("doc_id"))
+
+
 @query("SS09", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'dead' ELSE 'good' END AS outcome FROM documents")
 def malformed_stream(spark, sf):
     """Messages arrive as files; those that do not parse go to the dead-letter side and the stream goes on."""

@@ -1,7 +1,6 @@
-"""Live counts, last positions, snapshot changes and dead letters as streaming jobs.
+"""Live counts, last positions and dead letters as streaming jobs.
 
-Sinks append versioned rows per micro-batch, so a replayed batch overwrites its own folder and
-readers take the newest version per key; no job collects to the driver.
+A replayed micro-batch overwrites its own folder or is recognised by its number; no job collects to the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wayline.operators.ordered import last_wins
-from wayline.operators.snapshots import snapshot_diff
 from wayline.sources.messages import dead_letters, good, parse
+from wayline.streaming.upserts import UpsertTable
 
 MOST_BYTES = 1 << 30  # of files per micro-batch
 
@@ -51,32 +50,9 @@ def present_counts(positions: DataFrame, now_us: Column, within_s: float) -> Dat
     return fresh.groupBy("source", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def last_positions(fixes: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Newest fix per entity of every micro-batch; readers merge with ``merged_positions``."""
-    def step(batch: DataFrame, version: int) -> None:
-        last_wins(batch, keys, order).write.mode("overwrite").parquet(f"{path}/version={version}")
-
-    return _start(fixes, "append", step, checkpoint)
-
-
-def merged_positions(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return last_wins(spark.read.option("basePath", path).parquet(path).drop("version"), keys, order)
-
-
-def snapshot_changes(polls: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is a whole snapshot: write it, and its difference from the one before."""
-    spark = polls.sparkSession
-
-    def step(batch: DataFrame, version: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/snapshot/version={version}")
-        now = spark.read.parquet(f"{path}/snapshot/version={version}")
-        if version == 0:
-            before = now.where(F.lit(False))
-        else:
-            before = spark.read.parquet(f"{path}/snapshot/version={version - 1}")
-        snapshot_diff(before, now, keys).write.mode("overwrite").parquet(f"{path}/changes/version={version}")
-
-    return polls.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def positions_table(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], schema: str) -> UpsertTable:
+    """Last position per entity, whatever order the fixes come in; readers merge no more than the live keys and a few micro-batches."""
+    return UpsertTable(spark, path, keys, order, schema)
 
 
 def split_malformed(messages: DataFrame, schema: str, path: str, checkpoint: str) -> StreamingQuery:

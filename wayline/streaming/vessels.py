@@ -6,16 +6,18 @@ that has a position; a vessel silent for the prune time is forgotten.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayline import fixed_values as V
 from wayline.operators.ordered import OrderedScan, time_chunk
+from wayline.streaming.upserts import VERSION, UpsertTable
 
 # message row: mmsi, at_us, is_static, lng, lat, name, sog, heading, ship_type
 STATE = "lng double, lat double, name string, sog double, heading double, ship_type double, at_us bigint"
@@ -58,60 +60,143 @@ def _clean(value: Any) -> Any:
     return None if value is None or (isinstance(value, float) and pd.isna(value)) else value
 
 
+class Track:
+    """Sessions of one vessel whose messages may come in any order: positions at most the prune time apart are one session.
+
+    Holds one summary per session, not its messages, and the static messages that no position precedes yet. Sessions that nothing
+    on time can reach any more are dropped, so their number is bounded by the lateness over the prune time.
+    """
+
+    def __init__(self, prune_us: int, held: str | None = None):
+        self.prune_us = prune_us
+        self.sessions, self.waiting = json.loads(held) if held else ([], [])
+
+    def held(self) -> str:
+        return json.dumps((self.sessions, self.waiting))
+
+    def position(self, at: int, kind: float | None, fields: list) -> None:
+        one = {"start": at, "end": at, "first": kind, "fields": fields, "static": None, "named": None}
+        before = [s for s in self.sessions if s["end"] < at - self.prune_us]
+        after = [s for s in self.sessions if s["start"] > at + self.prune_us]
+        for s in self.sessions[len(before) : len(self.sessions) - len(after)]:
+            one = self._joined(*sorted((s, one), key=lambda x: x["start"])) if s["end"] < at or at < s["start"] else s
+        self.sessions = [*before, one, *after]
+        if self.waiting:
+            waiting, self.waiting = self.waiting, []
+            for static in waiting:
+                self.static(*static)
+
+    @staticmethod
+    def _joined(a: dict, b: dict) -> dict:
+        later = b if b["end"] >= a["end"] else a
+        latest = lambda name: max((x[name] for x in (a, b) if x[name]), key=lambda m: m[0], default=None)
+        return {"start": a["start"], "end": later["end"], "first": a["first"], "fields": later["fields"], "static": latest("static"), "named": latest("named")}
+
+    def static(self, at: int, kind: float | None, name: str | None) -> None:
+        for s in reversed(self.sessions):
+            if s["start"] <= at <= s["end"] + self.prune_us:
+                if s["static"] is None or at >= s["static"][0]:
+                    s["static"] = [at, kind]
+                if name is not None and (s["named"] is None or at >= s["named"][0]):
+                    s["named"] = [at, name]
+                return
+        self.waiting.append([at, kind, name])
+
+    def settle(self, watermark_us: int) -> None:
+        """Forgets what messages from the watermark on cannot reach."""
+        self.sessions = [s for i, s in enumerate(self.sessions) if i == len(self.sessions) - 1 or s["end"] + self.prune_us >= watermark_us]
+        self.waiting = [w for w in self.waiting if w[0] >= watermark_us]
+
+    def row(self) -> list | None:
+        """lng, lat, name, sog, heading, ship_type, at_us of the last session."""
+        if not self.sessions:
+            return None
+        s = self.sessions[-1]
+        lng, lat, name, sog, heading = s["fields"]
+        renamed = s["named"] is not None and s["named"][0] > s["end"]
+        return [lng, lat, s["named"][1] if renamed else name, sog, heading, s["static"][1] if s["static"] else s["first"], s["end"]]
+
+
 class VesselProcessor(StatefulProcessor):
-    """Folds messages in event-time order per batch; an event-time timer forgets silent vessels."""
+    """Keeps a ``Track`` per vessel; an event-time timer takes a silent vessel out of the state and tells the sink."""
 
     def __init__(self, prune_s: float = V.VESSEL_PRUNE_S):
         self.prune_us = int(prune_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("vessel", STATE)
+        self.state = handle.getValueState("vessel", "held string")
 
-    def _arm(self, at_us: int) -> None:
+    def _arm(self, track: Track) -> None:
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at_us // 1000 + self.prune_us // 1000 + 1)
+        if track.sessions:
+            self.handle.registerTimer((track.sessions[-1]["end"] + self.prune_us) // 1000 + 1)
+        elif track.waiting:
+            self.handle.registerTimer(max(w[0] for w in track.waiting) // 1000 + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("at_us", kind="stable")
         stored = self.state.get()
-        now = [_clean(v) for v in stored] if stored is not None else None
-        for m in batch.itertuples(index=False):
-            at = int(m.at_us)
-            if now is not None and at - now[6] > self.prune_us:
-                now = None
-            if m.is_static:
-                if now is not None:
-                    now[5] = _clean(m.ship_type)
-                    now[2] = _clean(m.name) if _clean(m.name) is not None else now[2]
-                continue
-            if now is not None and at < now[6]:
-                continue
-            kind = now[5] if now is not None else _clean(m.ship_type)
-            now = [m.lng, m.lat, _clean(m.name), _clean(m.sog), _clean(m.heading), kind, at]
-        if now is None:
-            self.state.clear()
-            return
-        self.state.update(tuple(now))
-        self._arm(now[6])
-        yield pd.DataFrame([[int(key[0]), *now]], columns=["mmsi", "lng", "lat", "name", "sog", "heading", "ship_type", "at_us"])
+        track = Track(self.prune_us, stored[0] if stored is not None else None)
+        for frame in rows:  # one Arrow batch after the other
+            for m in frame.sort_values("at_us", kind="stable").itertuples(index=False):
+                if m.is_static:
+                    track.static(int(m.at_us), _clean(m.ship_type), _clean(m.name))
+                else:
+                    track.position(int(m.at_us), _clean(m.ship_type), [_clean(v) for v in (m.lng, m.lat, m.name, m.sog, m.heading)])
+        track.settle(timerValues.getCurrentWatermarkInMs() * 1000)
+        self.state.update((track.held(),))
+        self._arm(track)
+        row = track.row()
+        if row is not None:
+            yield self._frame(key, [*row, False])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
+        stored = self.state.get()
+        if stored is None:
+            return
+        track = Track(self.prune_us, stored[0])
+        row = track.row()
+        track.sessions = []
+        track.settle(timerValues.getCurrentWatermarkInMs() * 1000)
+        if track.waiting:  # a late position may still come before them
+            self.state.update((track.held(),))
+            self._arm(track)
+        else:
+            self.state.clear()
+        if row is not None:
+            yield self._frame(key, [None, None, None, None, None, None, row[-1], True])
+
+    @staticmethod
+    def _frame(key: Any, row: list) -> pd.DataFrame:
+        columns = ["mmsi", "lng", "lat", "name", "sog", "heading", "ship_type", "at_us", "gone"]
+        return pd.DataFrame([[int(key[0]), *row]], columns=columns).astype({c: "float64" for c in ("lng", "lat", "sog", "heading", "ship_type")} | {"name": "object"})
 
     def close(self) -> None:
         pass
 
 
-def vessel_stream(messages: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Streaming vessel state in update mode; needs the RocksDB state store (``use_rocksdb``)."""
+def vessel_stream(messages: DataFrame, late: str = "1 minute", prune_s: float = V.VESSEL_PRUNE_S) -> DataFrame:
+    """Changes of the vessel state in update mode: the newest row of a vessel, or ``gone`` once it was silent for the prune time.
+
+    Messages may come in any order up to ``late``; later ones are dropped. A vessel is taken out when the watermark, which is
+    ``late`` behind the newest message, has passed its last position by the prune time. Needs the RocksDB state store (``use_rocksdb``).
+    """
     timed = messages.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
     return timed.groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=VesselProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
+        statefulProcessor=VesselProcessor(prune_s), outputStructType=f"{OUTPUT}, gone boolean", outputMode="Update", timeMode="EventTime"
     )
 
 
+def vessel_table(spark: SparkSession, path: str) -> UpsertTable:
+    """Sink of ``vessel_stream``: one row per vessel that has not been taken out."""
+    return UpsertTable(spark, path, ["mmsi"], [VERSION, "at_us", "gone"], f"{OUTPUT}, gone boolean", deleted="gone")
+
+
+def present(vessels: DataFrame, now_us: Column, prune_s: float = V.VESSEL_PRUNE_S) -> DataFrame:
+    """Vessels of the table that the clock has not left behind; the table itself lags by the lateness."""
+    return vessels.where(F.col("at_us") >= now_us - F.lit(int(prune_s * 1_000_000)))
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
