@@ -26,11 +26,15 @@ STATIC_FEED = (
 )
 REALTIME_FEED = "id string, agency string, url string, states array<string>, authorization string"
 
-VEHICLE_MESSAGE = (
-    "header struct<timestamp:string>, entity array<struct<id:string, vehicle:struct<timestamp:string, "
-    "position:struct<latitude:string,longitude:string,bearing:string,speed:string>, trip:struct<tripId:string,routeId:string>, "
-    "vehicle:struct<id:string,label:string>>>>"
-)
+def _vehicle_message(number: str, time: str) -> str:
+    return (
+        f"header struct<timestamp:{time}>, entity array<struct<id:string, vehicle:struct<timestamp:{time}, "
+        f"position:struct<latitude:{number},longitude:{number},bearing:{number},speed:{number}>, trip:struct<tripId:string,routeId:string>, "
+        "vehicle:struct<id:string,label:string>>>>"
+    )
+
+
+VEHICLE_MESSAGE, VEHICLE_NUMBERS = _vehicle_message("string", "string"), _vehicle_message("double", "bigint")
 TRIP_MESSAGE = (
     "header struct<timestamp:bigint>, entity array<struct<id:string, tripUpdate:struct<trip:struct<tripId:string,routeId:string>, "
     "stopTimeUpdate:array<struct<stopId:string, arrival:struct<time:bigint>, departure:struct<time:bigint>>>>>>"

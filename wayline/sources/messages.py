@@ -21,10 +21,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_name").alias("file"))
 
 
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often later steps refer to them.
+
+    The optimizer merges projections and so copies an expression into every place that uses it; it does not copy through a Generate.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def parse(messages: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
     """Typed column ``m``; text that does not parse has ``m`` null and stays in ``_corrupt``."""
     typed = F.from_json(payload, f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = messages.withColumn("m", typed).withColumn(CORRUPT, F.coalesce(F.col(f"m.{CORRUPT}"), F.when(F.col("m").isNull(), F.col(payload))))
+    rows = once(messages, typed.alias("m")).withColumn(CORRUPT, F.coalesce(F.col(f"m.{CORRUPT}"), F.when(F.col("m").isNull(), F.col(payload))))
     return rows.withColumn("m", F.when(F.col(CORRUPT).isNull(), F.col("m")))
 
 
@@ -37,13 +45,28 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 
 
 def vehicle_entities(messages: DataFrame) -> DataFrame:
-    """Vehicle entities of position messages; ``messages`` carries ``feed`` and ``agency``."""
-    rows = good(parse(messages, S.VEHICLE_MESSAGE)).select("feed", "agency", safe_number(F.col("m.header.timestamp")).cast("bigint").alias("header_timestamp"), F.explode("m.entity").alias("e"))
-    v = F.col("e.vehicle")
-    # leaf fields arrive as text: one bad value makes one field null and not the message
-    position = F.when(v["position"].isNotNull(), F.struct(*[safe_number(v["position"][c]).alias(c) for c in ("latitude", "longitude", "bearing", "speed")]))
-    typed = F.when(v.isNotNull(), F.struct(safe_number(v["timestamp"]).cast("bigint").alias("timestamp"), position.alias("position"), v["trip"].alias("trip"), v["vehicle"].alias("vehicle")))
-    return rows.select("feed", "agency", "header_timestamp", F.col("e.id").alias("id"), typed.alias("vehicle")).where(v.isNotNull())
+    """Vehicle entities of position messages; ``messages`` carries ``feed`` and ``agency``.
+
+    A message is read with numbers as numbers; only where that fails is it read again with its leaves as text, so that one bad value makes
+    one field null and not the message.
+    """
+    def read(schema: str) -> Column:
+        return F.from_json("payload", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+    def typed(e: Column) -> Column:
+        v = e["vehicle"]
+        position = F.when(v["position"].isNotNull(), F.struct(*[safe_number(v["position"][c]).alias(c) for c in ("latitude", "longitude", "bearing", "speed")]))
+        vehicle = F.struct(safe_number(v["timestamp"]).cast("bigint").alias("timestamp"), position.alias("position"), v["trip"].alias("trip"), v["vehicle"].alias("vehicle"))
+        return F.struct(e["id"].alias("id"), F.when(v.isNotNull(), vehicle).alias("vehicle"))
+
+    rows = once(messages.select("feed", "agency", "payload"), read(S.VEHICLE_NUMBERS).alias("n"))
+    clean = F.col("n").isNotNull() & F.col(f"n.{CORRUPT}").isNull()
+    rows = once(rows, F.when(~clean, read(S.VEHICLE_MESSAGE)).alias("t"))
+    whole = F.when(F.col(f"t.{CORRUPT}").isNull(), F.col("t.entity"))
+    entities = F.when(clean, F.col("n.entity")).otherwise(F.transform(whole, typed))
+    stamp = F.when(clean, F.col("n.header.timestamp")).otherwise(safe_number(F.col("t.header.timestamp")).cast("bigint"))
+    rows = rows.select("feed", "agency", stamp.alias("header_timestamp"), F.explode(entities).alias("e"))
+    return rows.where(F.col("e.vehicle").isNotNull()).select("feed", "agency", "header_timestamp", "e.id", "e.vehicle")
 
 
 def trip_updates(messages: DataFrame) -> DataFrame:
@@ -80,15 +103,15 @@ def vessel_rows(messages: DataFrame, *keep: str) -> DataFrame:
     from wayline.operators.normalise import true_heading
 
     rows = good(parse(messages, S.VESSEL_MESSAGE))
-    body = F.try_element_at("m.Message", F.col("m.MessageType"))
-    static = F.col("m.MessageType") == "ShipStaticData"
+    rows = once(rows.select(*keep, "m"), F.try_element_at("m.Message", F.col("m.MessageType")).alias("b"), (F.col("m.MessageType") == "ShipStaticData").alias("is_static"))
     meta = F.col("m.MetaData")
-    return rows.withColumns({"b": body, "is_static": static}).where(F.col("b").isNotNull()).select(
-        *keep, meta["MMSI"].alias("mmsi"), "is_static", meta["longitude"].alias("lng"), meta["latitude"].alias("lat"),
+    rows = once(
+        rows.where(F.col("b").isNotNull()), meta["MMSI"].alias("mmsi"), meta["longitude"].alias("lng"), meta["latitude"].alias("lat"),
         F.trim(F.when(F.col("is_static"), F.coalesce("b.Name", meta["ShipName"])).otherwise(F.coalesce(meta["ShipName"], F.lit("")))).alias("name"),
         F.col("b.Sog").alias("sog"), true_heading(F.col("b.TrueHeading"), F.col("b.Cog")).alias("heading"),
         F.when(F.col("is_static"), F.coalesce("b.Type", "b.TypeAndCargo", "b.ShipType")).otherwise(meta["ShipType"]).alias("ship_type"),
-    ).where(F.col("is_static") | (F.col("lng").isNotNull() & F.col("lat").isNotNull()))
+    )
+    return rows.select(*keep, "mmsi", "is_static", "lng", "lat", "name", "sog", "heading", "ship_type").where(F.col("is_static") | (F.col("lng").isNotNull() & F.col("lat").isNotNull()))
 
 
 def trains_by_number(messages: DataFrame) -> DataFrame:
