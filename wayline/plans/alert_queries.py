@@ -9,7 +9,8 @@ from wayline.functions.text import alert_severity, pretty_effect, translated
 from wayline.operators import alerts as A
 from wayline.operators import counts as C
 from wayline.operators.paths import bounding_boxes
-from wayline.plans.base import FIX, NOW_S, STATION, edge_values, fixes, inside_cte, query, region_edges, stops_view, table, with_ctes
+from wayline.plans.base import FIX, NOW_S, REGISTRY, STATION, edge_values, fixes, inside_cte, query, region_edges, stops_view, table, with_ctes
+from wayline.sources import realtime
 from wayline.sources.messages import service_alerts
 
 SEVERE = "suspend|no service|cancel|tion"
@@ -112,6 +113,17 @@ def translations(spark, sf):
 SELECT CAST(doc_id AS VARCHAR) AS id, text AS header, CASE WHEN regexp_matches(text, '{V.ALERT_SEVERE}') THEN 8 WHEN regexp_matches(text, '{V.ALERT_DELAY}') THEN 6 ELSE 4 END AS severity,
  CAST(doc_id % 9 AS VARCHAR) AS routes, 's' || (doc_id % 150) AS stops FROM documents WHERE doc_id % 9 IN (3, 4, 5, 6) AND doc_id % 3 != 2 AND text != ''""")
 def alert_messages(spark, sf):
+    sent = table(spark, sf, "documents").select(F.to_json(_alert_message()).alias("payload"))
+    return _alert_rows(service_alerts(sent))
+
+
+@query("SRC07", REGISTRY["alert_messages"].sql)
+def binary_alerts(spark, sf):
+    sent = realtime.encoded(table(spark, sf, "documents").select(_alert_message().alias("m")), "alert")
+    return _alert_rows(service_alerts(realtime.decoded(sent, "alert"), parsed=True))
+
+
+def _alert_message():
     d = F.col("doc_id")
     text = lambda value, language: F.struct(F.array(F.struct(value.alias("text"), F.lit(language).alias("language"))).alias("translation"))
     alert = F.struct(
@@ -119,8 +131,10 @@ def alert_messages(spark, sf):
         F.array(F.struct((d % 9).cast("string").alias("routeId"), F.concat(F.lit("s"), (d % 150).cast("string")).alias("stopId"))).alias("informedEntity"),
         text(F.col("text"), "en").alias("headerText"), text(F.col("lang"), "fr").alias("descriptionText"),
     )
-    message = F.struct(F.struct(F.lit(NOW_S).alias("timestamp")).alias("header"), F.array(F.struct(d.cast("string").alias("id"), alert.alias("alert"))).alias("entity"))
-    parsed = service_alerts(table(spark, sf, "documents").select(F.to_json(message).alias("payload")))
+    return F.struct(F.struct(F.lit(NOW_S).alias("timestamp")).alias("header"), F.array(F.struct(d.cast("string").alias("id"), alert.alias("alert"))).alias("entity"))
+
+
+def _alert_rows(parsed):
     out = A.normalise_alerts(parsed, F.col("header_timestamp"))
     return out.select("id", "header", "severity", F.array_join("routes", ",").alias("routes"), F.array_join("stops", ",").alias("stops"))
 

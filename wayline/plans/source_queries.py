@@ -8,10 +8,11 @@ from wayline.operators import normalise as N
 from wayline.operators import trips as T
 from wayline.operators.ordered import last_wins
 from wayline.operators.regions import assign_regions, edges_from_features
-from wayline.plans.base import FIX, NOW_S, NOW_TEXT, SHAPE, STATION, edge_values, fixes, inside_cte, now, query, r6, stops_view, table, with_ctes
+from wayline.plans.base import FIX, NOW_S, NOW_TEXT, REGISTRY, SHAPE, STATION, edge_values, fixes, inside_cte, now, query, r6, stops_view, table, with_ctes
 from wayline.plans.fix_queries import GROUPING, ROUTE_ID, ROUTE_KIND
 from wayline.sources import files as L
 from wayline.sources import messages as M
+from wayline.sources import realtime as R
 
 
 def payload(df, message, *keep):
@@ -30,6 +31,10 @@ def vehicle_positions(spark, sf):
 
 
 def vehicle_messages(spark, sf):
+    return payload(_vehicle_structs(spark, sf), F.col("m"), "feed", "agency")
+
+
+def _vehicle_structs(spark, sf):
     k, s = F.col("id"), F.col("source")
     inner = F.struct(
         F.when((k % 5 != 0) & (k % 7 != 0), F.concat(F.lit("veh"), k.cast("string"))).when(k % 7 == 0, "").alias("id"),
@@ -41,7 +46,7 @@ def vehicle_messages(spark, sf):
         F.struct(F.when(k % 4 != 0, F.concat(F.lit("r"), F.col("entity").cast("string"))).alias("routeId")).alias("trip"), inner.alias("vehicle"),
     )
     message = F.struct(F.struct(F.lit(1705319980).alias("timestamp")).alias("header"), F.array(F.struct(F.concat(F.lit("ent"), k.cast("string")).alias("id"), vehicle.alias("vehicle"))).alias("entity"))
-    return payload(fixes(spark, sf), message, s.alias("feed"), F.concat(F.lit("Agency "), s).alias("agency"))
+    return fixes(spark, sf).select(s.alias("feed"), F.concat(F.lit("Agency "), s).alias("agency"), "id", message.alias("m"))
 
 
 def _positions(sent):
@@ -59,11 +64,39 @@ def vehicle_positions_beside_bad_ones(spark, sf):
     return _positions(sent.withColumn("payload", F.replace("payload", F.lit('"entity":['), F.lit(bad))))
 
 
+CUT = 50
+SINGLE = "fx AS (SELECT * REPLACE (CAST(CAST(lng AS FLOAT) AS DOUBLE) AS lng, CAST(CAST(lat AS FLOAT) AS DOUBLE) AS lat, CAST(CAST(speed AS FLOAT) AS DOUBLE) AS speed) FROM fix)"
+
+
+def _binary_vehicles(spark, sf):
+    """Messages in their binary form, each after its length; every fiftieth is cut off."""
+    sent = R.encoded(_vehicle_structs(spark, sf), "vehicle", delimited=True)
+    whole = F.col("content")
+    cut = F.substring(whole, F.lit(1), F.length(whole) - 3)
+    return R.decoded(sent.withColumn("content", F.when(F.col("id") % CUT == 0, cut).otherwise(whole)), "vehicle", delimited=True)
+
+
+@query("SRC05 PRJ01 PRJ08 FLT01 FLT02", with_ctes(FIX, SINGLE, VEH.replace("FROM fix WHERE", f"FROM fx WHERE id % {CUT} != 0 AND"), REGISTRY["vehicle_positions"].sql.split(VEH)[1].lstrip(",\n")))
+def binary_vehicle_positions(spark, sf):
+    """Binary feeds, whose coordinates have single precision, give the rows of their JSON form."""
+    entities = M.binary_vehicle_entities(_binary_vehicles(spark, sf))
+    return N.regional_buses(N.vehicle_positions(entities, now()), now()).select("id", "title", "dest", "status", "stale", "lng")
+
+
+@query("SRC05 SS09", f"SELECT event_id AS id, 's' || (user_id % 4) AS feed, 'a message is cut off' AS reason FROM events WHERE event_id % {CUT} = 0")
+def binary_dead_letters(spark, sf):
+    return R.damaged(_binary_vehicles(spark, sf)).select("id", "feed", "reason")
+
+
 @query("SRC06 JN09 WN08", f"""WITH e AS (SELECT vec_id, i AS seq, CAST({NOW_S} AS BIGINT) + i * 60 - 1900 + CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 500) AS BIGINT) AS time FROM embeddings, unnest(range(0, len(embedding))) u(i) WHERE i % 10 != 7),
 s AS (SELECT vec_id, time, row_number() OVER (PARTITION BY vec_id ORDER BY seq) AS ix, 'st' || seq AS stop FROM e), n AS (SELECT vec_id, min(ix) AS nx FROM s WHERE time > {NOW_S} GROUP BY vec_id)
 SELECT CAST(n.vec_id AS VARCHAR) AS trip, b.stop AS next_stop, a.stop AS prev_stop, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({NOW_S} - a.time) / greatest(1.0::DOUBLE, CAST(b.time - a.time AS DOUBLE)))), 6) AS progress
 FROM n JOIN s a ON a.vec_id = n.vec_id AND a.ix = nx - 1 JOIN s b ON b.vec_id = n.vec_id AND b.ix = nx""")
 def trip_update_messages(spark, sf):
+    return _trip_updates(spark, sf, binary=False)
+
+
+def _trip_updates(spark, sf, binary):
     at = lambda x, i: (F.lit(NOW_S).cast("bigint") + i * 60 - 1900 + F.floor(x.cast("double") * 500).cast("bigint"))
     update = lambda x, i: F.struct(
         F.concat(F.lit("st"), i.cast("string")).alias("stopId"), F.struct(F.when((i % 10 != 7) & (i % 2 == 0), at(x, i)).otherwise(F.when(i % 10 != 7, F.lit(5).cast("bigint"))).alias("time")).alias("arrival"),
@@ -71,11 +104,16 @@ def trip_update_messages(spark, sf):
     )
     trip = F.struct(F.struct(F.lit("3").alias("routeId")).alias("trip"), F.transform("embedding", update).alias("stopTimeUpdate"))
     message = F.struct(F.struct(F.lit(NOW_S).alias("timestamp")).alias("header"), F.array(F.struct(F.col("vec_id").cast("string").alias("id"), trip.alias("tripUpdate"))).alias("entity"))
-    updates = M.trip_updates(payload(table(spark, sf, "embeddings"), message))
+    updates = M.trip_updates(payload(table(spark, sf, "embeddings"), message)) if not binary else M.trip_updates(R.decoded(R.encoded(table(spark, sf, "embeddings").select(message.alias("m")), "trip"), "trip"), parsed=True)
     p = T.trip_progress(T.stop_scan(T.timed_stops(updates)), F.lit(NOW_S).cast("bigint"))
     return p.select("trip", "prev_stop", "next_stop", r6(F.col("progress")).alias("progress"))
 
 
+@query("SRC06 WN08", REGISTRY["trip_update_messages"].sql)
+def binary_trip_updates(spark, sf):
+    return _trip_updates(spark, sf, binary=True)
+
+
 @query("SRC08 PRJ02 AG01", with_ctes(FIX, f"""a AS (SELECT * FROM fix WHERE id % 13 != 0 AND id % 17 != 0), d AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY entity ORDER BY id % 3 DESC, id DESC) = 1)""", f"""
 SELECT 'plane-h' || entity AS id, CASE WHEN entity % 4 = 0 THEN 'H' || entity ELSE 'FL' || entity END AS title, id % 5 = 0 AS stale,
  CASE WHEN id % 5 = 0 THEN 'On the ground' ELSE concat_ws(' · ', CASE WHEN id % 3 != 0 THEN CASE WHEN id >= 1000 THEN (id // 1000) || ',' || printf('%03d', id % 1000) ELSE CAST(id AS VARCHAR) END || ' ft' END, CAST(floor(speed * 1.15078 + 0.5) AS BIGINT) || ' mph') END AS status,

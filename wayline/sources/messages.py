@@ -65,13 +65,21 @@ def vehicle_entities(messages: DataFrame) -> DataFrame:
     whole = F.when(F.col(f"t.{CORRUPT}").isNull(), F.col("t.entity"))
     entities = F.when(clean, F.col("n.entity")).otherwise(F.transform(whole, typed))
     stamp = F.when(clean, F.col("n.header.timestamp")).otherwise(safe_number(F.col("t.header.timestamp")).cast("bigint"))
-    rows = rows.select("feed", "agency", stamp.alias("header_timestamp"), F.explode(entities).alias("e"))
+    return _vehicles(rows.select("feed", "agency", stamp.alias("header_timestamp"), F.explode(entities).alias("e")))
+
+
+def _vehicles(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("e.vehicle").isNotNull()).select("feed", "agency", "header_timestamp", "e.id", "e.vehicle")
 
 
-def trip_updates(messages: DataFrame) -> DataFrame:
-    """Trip updates with their stop lists; ``header_timestamp`` is the feed clock."""
-    rows = good(parse(messages, S.TRIP_MESSAGE)).select(F.col("m.header.timestamp").alias("header_timestamp"), F.explode("m.entity").alias("e"))
+def binary_vehicle_entities(decoded: DataFrame) -> DataFrame:
+    """The rows of ``vehicle_entities`` from ``realtime.decoded`` messages of vehicles."""
+    return _vehicles(good(decoded).select("feed", "agency", F.col("m.header.timestamp").alias("header_timestamp"), F.explode("m.entity").alias("e")))
+
+
+def trip_updates(messages: DataFrame, parsed: bool = False) -> DataFrame:
+    """Trip updates with their stop lists; ``header_timestamp`` is the feed clock. ``parsed`` messages have ``m`` already."""
+    rows = good(messages if parsed else parse(messages, S.TRIP_MESSAGE)).select(F.col("m.header.timestamp").alias("header_timestamp"), F.explode("m.entity").alias("e"))
     updates = F.transform(
         F.coalesce("e.tripUpdate.stopTimeUpdate", F.array().cast("array<struct<stopId:string,arrival:struct<time:bigint>,departure:struct<time:bigint>>>")),
         lambda u: F.struct(u["stopId"].alias("stop"), u["arrival"]["time"].alias("arrival"), u["departure"]["time"].alias("departure")),
@@ -81,8 +89,8 @@ def trip_updates(messages: DataFrame) -> DataFrame:
     )
 
 
-def service_alerts(messages: DataFrame) -> DataFrame:
-    rows = good(parse(messages, S.ALERT_MESSAGE)).select(F.col("m.header.timestamp").alias("header_timestamp"), F.explode("m.entity").alias("e"))
+def service_alerts(messages: DataFrame, parsed: bool = False) -> DataFrame:
+    rows = good(messages if parsed else parse(messages, S.ALERT_MESSAGE)).select(F.col("m.header.timestamp").alias("header_timestamp"), F.explode("m.entity").alias("e"))
     a = F.col("e.alert")
     return rows.where(a.isNotNull()).select(
         "header_timestamp", F.col("e.id").alias("id"), a["activePeriod"].alias("periods"),
