@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayline import schemas as S
 from wayline.operators.ordered import last_wins
+from wayline.sources.records import headed_rows, numbered_lines, records
 
 def gtfs_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One GTFS table of every ``<feed>.zip`` under ``path``, with ``feed`` and the row number in its file.
@@ -50,29 +51,16 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("feed", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
 
 
-def gtfs_folder(spark: SparkSession, path: str, table: str) -> DataFrame:
+def gtfs_folder(spark: SparkSession, path: str, table: str, pattern: str | None = None) -> DataFrame:
     """One GTFS table of unpacked feeds at ``path/feed=<id>/<table>.txt``; columns go by each file's own header.
 
-    Files are read as lines. The first line of a file is its header (a byte-order mark is dropped), found by one row per
-    file; every other line is split by the header of its file. ``row_ix`` is the line's place: files are split into ranges of
-    bytes, so it orders the lines of a file by range and then by line. Fields that span lines are not supported here.
+    Large files are read in ranges, quoted fields that span lines included (``records``); ``row_ix`` is the row's number in its
+    file. ``pattern`` names the files where they are called otherwise.
     """
     columns = [c.split()[0] for c in S.GTFS[table].split(", ")]
-    reader = spark.read.option("basePath", path).option("pathGlobFilter", f"{table}.txt").option("recursiveFileLookup", True)
-    lines = reader.text(path).select(
-        F.col("value"), F.regexp_extract("_metadata.file_path", "/feed=([^/]+)/", 1).alias("feed"), F.col("_metadata.file_block_start").alias("range"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    first = lines.groupBy("feed").agg(F.min_by("value", F.struct("range", "place")).alias("header"), F.min(F.struct("range", "place")).alias("at"))
-    names = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ","), lambda c: F.trim(F.translate(c, '"\r', "")))
-    headed = lines.join(F.broadcast(first.select("feed", names.alias("names"), "at")), "feed")  # one row per feed of the registry
-    body = headed.where((F.struct("range", "place") != F.col("at")) & (F.trim("value") != ""))
-    # a comma inside quotes does not split
-    fields = F.split(F.regexp_replace("value", "\r$", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    plain = F.transform(fields, lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), '^"|"$', ""), '""', '"'))
-    row = F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), plain.alias("v")), lambda p: p["k"].isNotNull()))
-    order = F.col("range") * F.lit(1 << 20) + F.pmod("place", F.lit(1 << 33))
-    return body.withColumn("_row", row).select("feed", order.alias("row_ix"), *[F.nullif(F.try_element_at("_row", F.lit(c)), F.lit("")).alias(c) for c in columns])
+    found = records(numbered_lines(spark, path, pattern or f"{table}.txt"))
+    rows = headed_rows(found, columns)
+    return rows.select(F.regexp_extract("file", "/feed=([^/]+)/", 1).alias("feed"), "row_ix", *columns)
 
 
 def static_registry(spark: SparkSession, path: str) -> DataFrame:
