@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayline.plans.base import REGISTRY, shuffled_form
 from wayline.plans import (  # noqa: F401  (registration)
-    alert_queries, asof_queries, catalog_queries, file_queries, fix_queries, gate_queries, path_queries, poll_queries, quality_queries, region_queries, route_queries,
+    alert_queries, asof_queries, catalog_queries, file_queries, fix_queries, gate_queries, path_queries, poll_queries, publish_queries, quality_queries, region_queries, route_queries,
     source_queries, stream_queries, text_queries, trip_queries,
 )
 

@@ -11,9 +11,11 @@ from wayline.functions.numbers import finite
 from wayline.functions.times import older_than
 from wayline.operators import counts as C
 from wayline.operators import regions as R
+from wayline.operators import sketches as K
 from wayline.plans.base import (
     FIX, FIXPATH, NOW_S, STATION, TRACK, edge_values, fixes, inside_cte, now, query, r6, region_edges, stops_view, table, track, with_ctes,
 )
+from wayline.session import cut_lineage
 
 INSIDE = inside_cte("fix")
 STALE = f"(CAST({NOW_S} AS BIGINT) * 1000000 - ts_us) / 1e6 > 90"
@@ -126,3 +128,17 @@ def group_extents(spark, sf):
     k = F.col("stop").cast("bigint") % 3
     second = stops_view(spark, sf).withColumn("grp", F.when(k == 0, "view").when(k == 1, "error").otherwise("depot"))
     return C.group_extent([first, second])
+
+
+@query("AG03 AG04", with_ctes(FIX, edge_values(), INSIDE, """, st AS (SELECT id, region, grp FROM fix JOIN inside USING (id) WHERE region IN ('ct','me','ma','nh','ri','vt'))
+SELECT region, grp, count(DISTINCT id) AS exact, TRUE AS within FROM st GROUP BY region, grp
+UNION ALL SELECT 'new-england' AS region, grp, count(DISTINCT id) AS exact, TRUE AS within FROM st GROUP BY grp""").replace("\n, st", ", st"))
+def distinct_rollup(spark, sf):
+    """Distinct fixes per region and group from sketches by region, group and hour, with the exact counts beside and whether the stated error holds."""
+    rows = R.assign_regions(fixes(spark, sf), region_edges(spark))
+    rows = rows.select("id", "grp", F.floor(F.col("ts_us") / 3_600_000_000).alias("hour"), F.explode("regions").alias("region")).where(F.col("region").isin(V.STATE_IDS))
+    by_hour = cut_lineage(K.sketch_table(rows, ["region", "grp", "hour"], F.col("id")))
+    estimates = K.estimated(K.with_parents(K.united(by_hour, ["region", "grp"]), "region", {"new-england": V.STATE_IDS}))
+    above = rows.unionByName(rows.withColumn("region", F.lit("new-england")))
+    exact = above.groupBy("region", "grp").agg(F.countDistinct("id").alias("exact"))
+    return exact.join(estimates, ["region", "grp"]).select("region", "grp", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within"))

@@ -96,6 +96,22 @@ def present_entities(spark, sf):
     return live.present_counts(now, F.lit(end), 86400)
 
 
+@query("AG01 SS10", REGISTRY["ordered_dedupe"].sql)
+def fixes_sent_twice(spark, sf):
+    """Every third fix arrives again a part later; within the lateness it is one, and the newest per entity stays."""
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    rows = fixes(spark, sf).select("entity", (F.col("id") % 3).alias("probe"), F.col("id").alias("pos"), "lng", "ts_us")
+    part = F.floor((F.col("ts_us") - F.lit(START_US)) / F.lit(PART_S * 1_000_000)).cast("int")
+    sent = cut_lineage(rows.withColumn("part", part).unionByName(rows.where("probe = 0").withColumn("part", part + 1)))
+    kept = live.positions_table(spark, f"{folder}/table", ["entity"], ["probe", "pos"], "entity bigint, probe bigint, pos bigint, lng double")
+    for i in range((sent.agg(F.max("part")).first()[0] or 0) + 1):
+        sent.where(F.col("part") == i).drop("part").write.parquet(f"{folder}/in/part={i}")
+        arriving = spark.readStream.schema("entity bigint, probe bigint, pos bigint, lng double, ts_us bigint").option("maxBytesPerTrigger", live.MOST_BYTES).parquet(f"{folder}/in/part=*")
+        once = live.deduped(arriving.withColumn("at", F.timestamp_micros("ts_us")), ["entity", "pos"], "at", f"{2 * PART_S} seconds")
+        kept.start(once.select("entity", "probe", "pos", "lng"), f"{folder}/cp").awaitTermination()
+    return kept.read()
+
+
 # a vessel per user and digit: most are silent for days
 PART_S = 10 * 86400
 MANY = VMSG.replace("entity AS mmsi", "entity * 10 + id % 10 AS mmsi")

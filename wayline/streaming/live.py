@@ -55,6 +55,24 @@ def positions_table(spark: SparkSession, path: str, keys: Sequence[str], order:
     return UpsertTable(spark, path, keys, order, schema)
 
 
+def deduped(fixes: DataFrame, keys: Sequence[str], at: str, within: str) -> DataFrame:
+    """Fixes that arrive again within ``within`` of event time are one; the state holds the keys of that time and no more.
+
+    Fixes later than that are dropped, and counted (``dropped_late``).
+    """
+    return fixes.withWatermark(at, within).dropDuplicatesWithinWatermark(list(keys))
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that the query's last run dropped because they came after the watermark."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows that the query's state held at the end of its last run."""
+    return sum(int(o["numRowsTotal"]) for p in query.recentProgress[-1:] for o in p["stateOperators"])
+
+
 def split_malformed(messages: DataFrame, schema: str, path: str, checkpoint: str) -> StreamingQuery:
     """Parsed rows to ``path/good``, text that does not parse to ``path/dead``; the stream goes on."""
     def step(batch: DataFrame, version: int) -> None:
