@@ -41,16 +41,19 @@ def brute_components(rows, words=4, threshold=85):
             x = root[x]
         return x
 
+    links = [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             k = len(a & sets[j])
             if a and sets[j] and 100 * k >= threshold * (len(a) + len(sets[j]) - k):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     smallest = {}
     for i, (key, _) in enumerate(rows):
         if key is not None:
             smallest[find(i)] = min(key, smallest.get(find(i), key))
-    return sorted(((k, len(s), smallest.get(find(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    return sorted(((k, len(s), smallest.get(find(i)) if s else k, links[i]) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
 def test_components_match_all_pairs(spark):
@@ -65,8 +68,10 @@ def test_every_boundary_and_block_size_links_alike(spark, light, block):
 
     rows = [r for r in near_texts(30, 4) if r[1] and r[1].strip()]
     sets = {jaccard.set_number(s): s for s in shingle_sets([t for _, t in rows])}
-    frame = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in sets.items()], "node long, tokens array<long>")
-    got = {r["node"]: r["root"] for r in components.component_roots(jaccard.links(frame, 85, block, light)).collect()}
+    frame = spark.createDataFrame([(k, i % 3 + 1, s.view(np.int64).tolist()) for i, (k, s) in enumerate(sets.items())], "node long, copies long, tokens array<long>")
+    found = jaccard.links(frame, 85, block, light)
+    got = {r["node"]: r["root"] for r in components.component_roots(found.filter("b IS NOT NULL").select("a", "b")).collect()}
+    counts = {r["a"]: r["n"] for r in found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("n")).collect()}
     keys, parts = list(sets), {k: k for k in sets}
 
     def find(x):
@@ -74,11 +79,14 @@ def test_every_boundary_and_block_size_links_alike(spark, light, block):
             x = parts[x]
         return x
 
+    want = {}
     for i, a in enumerate(keys):
-        for b in keys[:i]:
+        for j, b in enumerate(keys[:i]):
             k = len(np.intersect1d(sets[a], sets[b]))
             if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
                 parts[find(a)] = find(b)
+                want[a], want[b] = want.get(a, 0) + j % 3 + 1, want.get(b, 0) + i % 3 + 1
+    assert counts == want
     assert len({(find(a), got.get(a, a)) for a in keys}) == len({find(a) for a in keys}) == len({got.get(a, a) for a in keys})
 
 
@@ -86,7 +94,7 @@ def test_one_of_each(spark):
     rows = [(i, *r, "n") for i, r in enumerate(near_texts(20, 2))]
     docs = spark.createDataFrame([(r[1], r[2], r[3]) for r in rows], "doc_id long, text string, row string")
     kept = [tuple(r) for r in jaccard.one_of_each(docs).select("doc_id", "text").collect()]
-    want = {(c, k) for k, n, c in brute_components([(r[1], r[2]) for r in rows]) if n}
+    want = {(c, k) for k, n, c, _ in brute_components([(r[1], r[2]) for r in rows]) if n}
     assert sorted(k for k, t in kept if t and t.strip()) == sorted({c for c, _ in want})
     assert sum(1 for _, t in kept if not t or not t.strip()) == 3
     assert jaccard.one_of_each(docs.limit(0)).count() == 0 == jaccard.components(docs.limit(0)).count()

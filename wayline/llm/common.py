@@ -25,7 +25,17 @@ def staged(df: DataFrame, compression: str = "zstd", block_bytes: int = 128 << 2
     df.write.option("compression", compression).option("parquet.block.size", block_bytes).parquet(path)
     # Spark removes the shuffle files of the job just done once the driver's garbage is collected; without this they pile up
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: whatever was made from them has been staged itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

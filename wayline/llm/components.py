@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import staged
+from wayline.llm.common import discard, staged
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def component_roots(edges: DataFrame) -> DataFrame:
     edges = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
     before = _mark(edges)
     while True:
-        edges = staged(_small_star(_large_star(edges)))
-        after = _mark(edges)
+        following = staged(_small_star(_large_star(edges)))
+        discard(edges)
+        edges, after = following, _mark(following)
         if after == before:
             break
         before = after

@@ -7,10 +7,11 @@
    first. A light set (at most ``boundary`` shingles) lists the 2-subsets of its prefix: a light partner must list one of them
    too. A heavy set, and each light set near the boundary, lists its prefix shingles singly in inverted lists. The boundary is
    the size that makes the two costs smallest together.
-3. Sets that meet in a list form groups. A group beyond ``block_shingles`` is cut into blocks, each two of which meet in a
-   task of their own. A meeting scans inverted lists of all its shared shingles, so every pair of a group is counted exactly,
-   yet pairs are never written: a meeting returns its links as a forest of at most one link per set.
-4. Links of all meetings give the components.
+3. Sets that meet in a list form groups. A group beyond ``block_shingles`` is cut into bands of sizes, of which only neighbours can
+   link, and these into blocks; two blocks of a band or of neighbouring bands meet in a task of their own. A meeting scans inverted
+   lists of all its shared shingles, so every pair of a group is counted exactly, yet pairs are never written: a meeting
+   returns the number of links of each set, and of the links a forest of at most one per set.
+4. Links of all meetings give the components; their numbers add up, weighted by the rows of equal sets.
 
 Sets are compared by 64-bit shingle hashes. Null and empty texts have no shingles and stay alone. Repeated rows share their
 set. Null doc_ids take part and carry no number into a component. An empty table gives no rows.
@@ -18,6 +19,7 @@ set. Null doc_ids take part and carry no number into a component. An empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import slices, staged
+from wayline.llm.common import discard, slices, staged
 from wayline.llm.components import component_roots
 from wayline.llm.shingles import WORDS, mixed, shingle_sets
 
 THRESHOLD = 85  # per cent
 SPARE_SHARE = 0.1  # of a set's shingles, beyond what it may lack, in step 1
 BLOCK_SHINGLES = 1_000_000  # of a block in step 3
+ROW_COST = 50.0  # of a row that is listed, shuffled and joined, in list entries that a scan passes
 
 
 def absent(n, threshold: int):
@@ -104,14 +107,14 @@ def _prefix(spare: int, threshold: int) -> Column:
 
 
 def boundary(ordered: DataFrame, threshold: int) -> int:
-    """Largest light size: where subsets of lighter sets and list entries of heavier ones cost least together.
+    """Largest light size: where subsets of lighter sets, and lists of heavier ones with the scans they cause, cost least together.
 
-    The costs are summed by size class, a table of at most some hundred rows whatever the input.
+    A subset is a row to shuffle and to join, as is a place in a list; an entry passed in a scan costs far less. The costs are summed by size class, a table of at most some hundred rows whatever the input.
     """
     pairs = F.size(_prefix(2, threshold)).cast("double")
-    scan = F.aggregate(_prefix(1, threshold), F.lit(0.0), lambda a, t: a + t["df"].cast("double"))
+    scan = F.aggregate(_prefix(1, threshold), F.lit(0.0), lambda a, t: a + t["df"].cast("double") + F.lit(ROW_COST))
     size_class = F.floor(F.log2("n") * 8).cast("int").alias("k")
-    costs = ordered.groupBy(size_class).agg(F.max("n").alias("n"), F.sum(pairs * (pairs - 1) / 2).alias("subsets"), F.sum(scan).alias("lists")).orderBy("k").collect()
+    costs = ordered.groupBy(size_class).agg(F.max("n").alias("n"), F.sum(pairs * (pairs - 1) / 2 * F.lit(ROW_COST)).alias("subsets"), F.sum(scan).alias("lists")).orderBy("k").collect()
     best, at, light = sum(r["lists"] for r in costs), 0, 0.0
     for i, r in enumerate(costs):
         light += r["subsets"]
@@ -131,11 +134,11 @@ def meeting_keys(ordered: DataFrame, light: int, threshold: int) -> DataFrame:
     return small.union(near.select("node", "key").join(heavy, "key").select("node", "key"))
 
 
-def forest(sizes: np.ndarray, ends: np.ndarray, tokens: np.ndarray, n_left: int, both: bool, threshold: int) -> list[tuple[int, int]]:
-    """Links that join what no earlier one joined, by one scan of inverted lists per set.
+def forest(sizes: np.ndarray, ends: np.ndarray, tokens: np.ndarray, copies: np.ndarray, n_left: int, both: bool, threshold: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join what no earlier one joined, and the rows that each set links with, by one scan of inverted lists per set.
 
-    ``tokens`` holds the sets' shared shingles in a row up to ``ends``; ``sizes`` counts all shingles. The first ``n_left`` sets
-    are compared with each other, or with ``both`` against the remaining ones.
+    ``tokens`` holds the sets' shared shingles in a row up to ``ends``; ``sizes`` counts all shingles, ``copies`` the rows of a set. The
+    first ``n_left`` sets are compared with each other, or with ``both`` against the remaining ones.
     """
     n, starts = len(sizes), np.concatenate(([0], ends[:-1])).astype(np.int64)
     _, ranks = np.unique(tokens, return_inverse=True)
@@ -144,68 +147,100 @@ def forest(sizes: np.ndarray, ends: np.ndarray, tokens: np.ndarray, n_left: int,
     order = np.argsort(ranks[listed], kind="stable")
     lists = owner[listed][order]
     bounds = np.concatenate(([0], np.cumsum(np.bincount(ranks[listed], minlength=int(ranks.max(initial=0)) + 1))))
-    root, links = np.arange(n), []
+    root, links, counts = np.arange(n), [], np.zeros(n, np.int64)
     for i in range(n_left):
         own = ranks[starts[i] : ends[i]]
         spans = [lists[a:b] for a, b in zip(bounds[own], bounds[own + 1], strict=True)]
-        common = np.bincount(np.concatenate(spans) if spans else np.empty(0, np.int64), minlength=n)
-        near = np.flatnonzero(100 * common >= threshold * (sizes + sizes[i] - common))
-        for j in near if both else near[near > i]:
-            if root[i] != root[j]:
-                root[root == root[j]] = root[i]
-                links.append((i, int(j)))
-    return links
+        others, common = np.unique(np.concatenate(spans) if spans else np.empty(0, np.int64), return_counts=True)
+        near = others[100 * common >= threshold * (sizes[others] + sizes[i] - common)]
+        if not both:
+            near = near[near > i]
+        counts[i] += copies[near].sum()
+        counts[near] += copies[i]
+        new, first = np.unique(root[near], return_index=True)
+        apart = new != root[i]
+        if apart.any():
+            links += [(i, int(j)) for j in near[first[apart]]]
+            root[np.isin(root, new[apart])] = root[i]
+    return links, counts
 
 
 def _meet(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("node", "ascending")]).combine_chunks()
-        nodes, sizes, sides = (table[c].to_numpy() for c in ("node", "n", "side"))
+        nodes, sizes, sides, copies = (table[c].to_numpy() for c in ("node", "n", "side", "copies"))
         column = table["tokens"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = column.offsets.to_numpy()
         tokens, ends = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
         both = table["x"][0] != table["y"][0]
-        found = forest(sizes.astype(np.int64), ends.astype(np.int64), tokens, int((sides == 0).sum()), both, threshold)
-        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
+        found, counts = forest(sizes.astype(np.int64), ends.astype(np.int64), tokens, copies, int((sides == 0).sum()), both, threshold)
+        linked = np.flatnonzero(counts)
+        none, some = pa.nulls(len(found), pa.int64()), pa.nulls(len(linked), pa.int64())
+        a = pa.concat_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array(nodes[linked], pa.int64())])
+        return pa.table({"a": a, "b": pa.concat_arrays([pa.array([nodes[j] for _, j in found], pa.int64()), some]), "links": pa.concat_arrays([none, pa.array(counts[linked], pa.int64())])})
 
     return run
 
 
+def _meetings(members: DataFrame, threshold: int, block_shingles: int) -> DataFrame:
+    """Members with the blocks (x, y) that meet; ``side`` tells theirs. Groups of one block meet once, as they are."""
+    size = F.sum(F.size("tokens"))
+    whole = members.groupBy("root").agg((size > block_shingles).alias("large"))
+    # sets that link are at most one band apart; the width leaves room for rounding
+    band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / threshold) * (1 + 1e-9)))).otherwise(F.lit(0)).cast("int")
+    banded = members.join(whole, "root").withColumn("band", band)
+    bands = banded.groupBy("root", "band").agg(F.greatest(F.lit(1), F.ceil(size / block_shingles)).cast("int").alias("blocks"))
+    near = bands.select("root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("their_band"), F.col("blocks").alias("their_blocks"))
+    partners = near.groupBy("root", "band").agg(F.collect_list(F.struct("their_band", "their_blocks")).alias("partners"))  # three at most
+    placed = banded.join(bands, ["root", "band"]).join(partners, ["root", "band"]).withColumn("own", F.struct("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    theirs = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["their_blocks"] - 1), lambda i: F.struct(p["their_band"].alias("band"), i.alias("block")))))
+    placed = placed.withColumn("other", F.explode(theirs))
+    return placed.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "copies", "tokens")
+
+
 def links(sets: DataFrame, threshold: int = THRESHOLD, block_shingles: int = BLOCK_SHINGLES, light: int | None = None) -> DataFrame:
-    """(a, b) links between sets (node, tokens) that join all sets of a component; steps 2 and 3."""
+    """Over sets (node, copies, tokens): links (a, b) that join all sets of a component, and rows (a, null, links) whose numbers of links add up; steps 2 and 3."""
     ordered = staged(_ordered(sets, threshold))
     keys = staged(meeting_keys(ordered, boundary(ordered, threshold) if light is None else light, threshold).distinct())
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub")
     groups = component_roots(keys.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    members = staged(groups.join(ordered, "node").select("root", "node", "n", F.transform("tokens", lambda t: t["token"]).alias("tokens")))
-    blocks = members.groupBy("root").agg(F.ceil(F.sum(F.size("tokens")) / block_shingles).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int")
-    placed = members.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
-    met = placed.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "tokens")
-    return met.groupBy("root", "x", "y").applyInArrow(_meet(threshold), "a bigint, b bigint")
+    copies = sets.select("node", "copies")
+    members = staged(groups.join(ordered, "node").join(copies, "node").select("root", "node", "n", "copies", F.transform("tokens", lambda t: t["token"]).alias("tokens")))
+    discard(keys, ordered)
+    met = _meetings(members, threshold, block_shingles).groupBy("root", "x", "y")
+    found = staged(met.applyInArrow(_meet(threshold), "a bigint, b bigint, links bigint"))
+    discard(members)
+    return found
 
 
 def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, text_number, n_shingles, place) for every row: rows with one place are linked; null without shingles."""
+    """(doc_id, text_number, n_shingles, place, n_links) for every row: rows with one place are linked; null without shingles."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_number"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, text_number bigint, n_shingles bigint, node bigint, head array<bigint>"
     signatures = staged(rows.mapInArrow(_signatures(words, threshold), schema), "uncompressed")
     # the texts of the sets that may have partners; their list grows with the corpus, so it is never broadcast
     chosen = staged(_sharing(signatures, threshold).distinct())
     texts = rows.join(chosen.hint("merge"), "text_number").select("text")
+    rows_of_sets = signatures.filter("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"))
     sets = texts.mapInArrow(_full_sets(words), "node bigint, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    roots = component_roots(links(staged(sets, "uncompressed"), threshold))
-    known = signatures.select("doc_id", "text_number", "n_shingles", "node").join(roots, "node", "left")
-    return known.select("doc_id", "text_number", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("place"))
+    sets = staged(sets.join(rows_of_sets, "node"), "uncompressed")
+    found = links(sets, threshold)
+    discard(chosen, sets)
+    roots = component_roots(found.filter("b IS NOT NULL").select("a", "b"))
+    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    of_sets = rows_of_sets.join(roots, "node", "left").join(counts, "node", "left")
+    known = signatures.select("doc_id", "text_number", "n_shingles", "node").join(of_sets, "node", "left")
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    return known.select("doc_id", "text_number", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("place"), n_links.alias("n_links"))
 
 
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, n_links) for every row of (doc_id, text); ``n_links`` counts the other rows that it links with."""
     placed = grouped(docs, words, threshold)
     # staged, so that the join below has its own shuffle, whose large partitions Spark can split
     smallest = staged(placed.filter("place IS NOT NULL").groupBy("place").agg(F.min("doc_id").alias("first")))
-    return placed.join(smallest, "place", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    return placed.join(smallest, "place", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
