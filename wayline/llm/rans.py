@@ -25,7 +25,7 @@ from wayline.llm.tokens import encoder
 
 BITS = 20  # frequencies of a table sum to 2 ** BITS
 LOW = np.uint64(1 << 31)
-LANES, CHECK_STEPS = 1024, 128
+LANES, CHECK_STEPS = 4096, 32
 BLOCK_IDS, SEGMENT_IDS = 1 << 18, 1 << 22
 FILE_SCHEMA = (
     "part int, segment int, first_in_part bigint, n_ids bigint, symbols binary, freqs binary, blocks array<struct<doc_ids array<bigint>, lengths binary, n_ids int, "
@@ -93,7 +93,8 @@ def decode_steps(words: np.ndarray, mark: dict, n_ids: int, lanes: int, to_step:
 
 
 def _segment(docs: list[tuple[int | None, bytes]], part: int, number: int, first: int) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(d[1] for d in docs), "<u4")
+    whole = memoryview(b"".join(d[1] for d in docs))
+    ids, done = np.frombuffer(whole, "<u4"), 0
     symbols, table = frequency_table(ids)
     freqs = table.astype(np.uint64)
     starts = np.cumsum(freqs) - freqs
@@ -105,7 +106,7 @@ def _segment(docs: list[tuple[int | None, bytes]], part: int, number: int, first
         while to < len(docs) and n < BLOCK_IDS:
             n += len(docs[to][1]) // 4
             to += 1
-        raw = b"".join(d[1] for d in docs[at:to])
+        raw, done = whole[4 * done : 4 * (done + n)], done + n
         lanes = LANES if n >= 64 * LANES else max(1, n // 64)
         words, marks = encode_block(rank_of[np.frombuffer(raw, "<u4")], freqs, starts, lanes)
         payload = words.tobytes()

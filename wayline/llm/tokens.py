@@ -16,7 +16,8 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 WORDS_KEPT = 800_000  # words remembered per Python worker
 LONGEST_KEPT = 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-^{-~]*)")  # letters, then punctuation but for apostrophes, _ and `
+_LINES = re.compile(f"({_PLAIN.pattern})\n({_PLAIN.pattern})")
 _encoders: dict[tuple[str, int | None], WordEncoder] = {}
 
 
@@ -49,17 +50,35 @@ class WordEncoder(dict):
         self.spaced = bool(self.library.encode(" ", add_special_tokens=False).ids)
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
         self.letters = byte_letters()
-        self.stops = {"": b"", ".": self.whole("."), ",": self.whole(",")}
+        self.stops, self.begins, self.line_end = {"": b""}, {}, self.whole("\n") if self.spaced else b""
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, letters: str, space: str) -> bytes:
+        written = (space + (letters if self.spaced else letters.lower())).encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _stop(self, stop: str) -> bytes:
+        if stop not in self.stops:
+            self.stops[stop] = self.whole(stop)
+        return self.stops[stop]
+
+    def _begin(self, letters: str) -> bytes:
+        """A word at the beginning of a line."""
+        if letters not in self.begins:
+            self.begins[letters] = self._letters(letters, "")
+        return self.begins[letters]
+
     def __missing__(self, word: str) -> bytes | None:
         plain = _PLAIN.fullmatch(word)
+        lines = None if plain else _LINES.fullmatch(word)
         if plain:
             letters, stop = plain.groups()
-            written = ((" " if self.spaced else "") + (letters if self.spaced else letters.lower())).encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes() + self.stops[stop]
+            ids = self[letters] + self._stop(stop) if stop else self._letters(letters, " " if self.spaced else "")
+        elif lines:
+            first, _, _, second, letters, stop = lines.groups()
+            ids = self[first] + (self.line_end + self._begin(letters) + self._stop(stop) if self.spaced else self[second])
         elif self.spaced and (not word or word[0].isspace() or word[-1].isspace()):
             ids = None  # no place to cut
         else:
@@ -86,8 +105,10 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = [self.ids(t) for t in texts]
-        if len(self) > WORDS_KEPT:
+        if len(self) + len(self.begins) + len(self.stops) > WORDS_KEPT:
             self.clear()
+            self.begins.clear()
+            self.stops = {"": b""}
         return out
 
 
