@@ -13,6 +13,7 @@ overlap each other; in the sanitised text overlapping spans become one placehold
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -37,21 +38,44 @@ FILTER_BITS = 1 << 20
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.9
 
 
+BLOCK = 64  # items that one inner loop walks through; lists grow by blocks, so that long texts take time linear in their length
+CHUNK = 4_096  # code points of a text between two places that are found without counting
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def walk(items: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Array of structs ``kind`` from one pass over a list that is not empty: ``step`` maps (struct<at int, out array>, item) to the next such struct."""
+    none = F.array().cast(f"array<struct<{kind}>>")
+
+    def block_step(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<{kind}>>>").alias("outs"))
+    return let(items, lambda x: F.aggregate(_blocks(x), start, block_step, lambda acc: F.flatten(acc["outs"])))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Matches of ``text`` with their places: array<struct<start, end, value>>. The stretches between matches give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         one = F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(acc["out"].isNull(), one).otherwise(F.concat(acc["out"], one)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("value"))
-    listed = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), listed)
+    pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
+    return F.when(text.rlike(pattern), walk(pairs, "start:int,end:int,value:string", step))
 
 
 def _digits(value: Column) -> Column:
@@ -144,34 +168,43 @@ def term_spans(text: Column, strong: Column, base: Column, remove: float = REMOV
 
     The text is read in pieces that end where no word can go on, so that long texts take time linear in their length.
     """
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>").alias("out"))
+    span = "array<struct<kind:int,start:int,end:int,value:string>>"
+    none, blank = F.array().cast("array<struct<start:int,end:int,value:string>>"), F.array().cast(span)
 
-    def step(acc: Column, piece: Column) -> Column:
+    def step(near: Column, acc: Column, piece: Column) -> Column:
         known = F.filter(F.coalesce(matches(piece, WORD), none), lambda w: F.map_contains_key(strong, F.lower(w["value"])))
         spans = F.transform(known, lambda w: F.struct(
             F.lit(len(PATTERNS)).alias("kind"), (w["start"] + acc["at"]).alias("start"), (w["end"] + acc["at"]).alias("end"),
             F.when(F.try_element_at(strong, F.lower(w["value"])) >= remove, "remove").otherwise("generalise").alias("value"),
         ))
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], spans).alias("out"))
+        clear = F.filter(spans, lambda w: ~F.exists(near, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], clear).alias("out"))
+
+    def block_step(acc: Column, block: Column) -> Column:
+        """A block of pieces against the base spans that reach into it."""
+        to = F.aggregate(block, acc["at"], lambda n, p: n + F.length(p))
+        inner = lambda near: F.aggregate(block, F.struct(acc["at"].alias("at"), blank.alias("out")), partial(step, near))
+        return let(to, lambda end: let(F.filter(base, lambda b: (b["end"] > acc["at"]) & (b["start"] < end)), lambda near: let(
+            inner(near), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))))
 
-    found = F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), empty, step, lambda acc: acc["out"])
-    clear = F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return F.when(strong.isNotNull(), clear).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("outs"))
+    found = let(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.aggregate(_blocks(x), start, block_step, lambda acc: F.flatten(acc["outs"])))
+    return F.when(strong.isNotNull() & (F.length(text) > 0), found).otherwise(blank)
 
 
 def _marked(docs: DataFrame, remove: float = REMOVE, **thresholds) -> DataFrame:
-    """``docs`` with _number, _base and _terms."""
-    hidden = disclosures(docs, **thresholds).withColumnsRenamed({"text_number": "_number", "strong": "_strong"})
+    """(row, text, number, base, terms): every row of ``docs`` as one struct, whatever its columns are called."""
+    hidden = disclosures(docs, **thresholds).withColumnsRenamed({"text_number": "number"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_number", F.xxhash64(text)).join(hidden.hint("merge"), "_number", "left").withColumn("_base", base_spans(text))
-    return rows.withColumn("_terms", term_spans(text, F.col("_strong"), F.col("_base"), remove))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.xxhash64(text).alias("number"))
+    rows = rows.join(hidden.hint("merge"), "number", "left").withColumn("base", base_spans(F.col("text")))
+    return rows.select("row", "text", "number", "base", term_spans(F.col("text"), F.col("strong"), F.col("base"), remove).alias("terms"))
 
 
 def personal_data(docs: DataFrame, **thresholds) -> DataFrame:
     """(doc_id, text_number, base, terms) for every row of ``docs``."""
     rows = _marked(docs.select("doc_id", "text"), **thresholds)
-    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_number").alias("text_number"), F.col("_base").alias("base"), F.col("_terms").alias("terms"))
+    return rows.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("number").alias("text_number"), "base", "terms")
 
 
 def written(spans: Column) -> Column:
@@ -180,23 +213,35 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _stretch(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text that is cut into chunks."""
+    a, b = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    inner = F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+    apart = F.concat(F.substring(chunk(a), start % CHUNK + 1, F.lit(CHUNK)), inner, F.substring(chunk(b), F.lit(1), end % CHUNK))
+    return F.when(a == b, F.substring(chunk(a), start % CHUNK + 1, end - start)).otherwise(apart)
+
+
 def sanitised(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in angle brackets, or left out where its value is ``remove``."""
+    """``text`` with each of its ``spans`` (one at least) replaced by its kind in angle brackets, or left out where its value is ``remove``."""
     names = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("before"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
+        """The stretch before a span and what stands for it; a span that begins inside another one goes with it."""
         mark = F.when((s["kind"] == len(PATTERNS)) & (s["value"] == "remove"), F.lit("")).otherwise(F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">")))
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        one = F.array(F.struct(acc["at"].alias("gap"), s["start"].alias("start"), mark.alias("mark")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    marks = walk(ordered, "gap:int,start:int,mark:string", step)
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(chunks, lambda c: F.concat(F.array_join(F.transform(marks, lambda m: F.concat(_stretch(c, m["gap"], m["start"]), m["mark"])), ""), _stretch(c, last, F.length(text))))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with hidden personal data; columns and rows stay, texts without any keep their value (null included)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = F.concat("_base", "_terms")
-    changed = F.when(F.size(spans) > 0, sanitised(text, spans)).otherwise(F.col("text"))
-    return _marked(docs, **thresholds).withColumn("text", changed).select(*docs.columns)
+    rows = _marked(docs, **thresholds)
+    spans = F.concat("base", "terms")
+    changed = F.when(F.size(spans) > 0, sanitised(F.col("text"), spans)).otherwise(F.col("row.text"))
+    return rows.select(*[changed.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
