@@ -32,6 +32,18 @@ def test_language_spans(spark):
     assert held == docs.filter("doc_id % 3 = 1").count()
 
 
+def test_long_runs_are_read_to_their_end(spark):
+    model = language.learn(spark.createDataFrame(mixed_rows(), DOCS), F.lit(True))
+    run = lambda s, n: (s.replace(" ", "") * n)[:n]
+    texts = [run(EN, 64) + run(DE, 2500), run(DE, 64) + run(EN, 2500), run(EN, 64) + "漢字" * 40 + run(EN, 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.predict(docs, model, ["doc_id"]).collect()}
+    assert [got[i]["lang_pred"] for i in range(3)] == ["de", "en", "en"] and got[0]["score"] > 0.9
+    assert got[0]["spans"][0]["start"] == 0 and got[0]["spans"][-1]["end"] == len(texts[0])
+    assert "".join(language.words_of(texts[2])) == texts[2] and max(map(len, language.words_of(texts[2]))) == language.PIECE
+    assert language.words_of("abcдеж漢x 1é") == ["abc", "деж", "漢", "x", "é"]
+
+
 def test_language_without_anything_learned(spark):
     docs = spark.createDataFrame([(1, "a word", None, "s", 1)], DOCS)
     model = language.learn(docs, F.lit(True))

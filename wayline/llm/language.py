@@ -34,7 +34,11 @@ SCRIPTS = {
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)], "devanagari": [(0x900, 0x97F)], "thai": [(0xE00, 0xE7F)], "georgian": [(0x10A0, 0x10FF)],
     "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)], "hangul": [(0xAC00, 0xD7AF)],
 }
+PIECE = 64  # letters that are scored together; longer runs are consecutive pieces
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = {name: "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) for name, ranges in SCRIPTS.items()}
+_PIECES = re.compile("|".join([f"[{r}]{{1,{PIECE}}}" for r in _LETTERS.values()] + [f"[^{''.join(_LETTERS.values())}]{{1,{PIECE}}}"]))
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 SCHEMA = "lang_pred string, score double, spans array<struct<start int, end int, lang string>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -44,6 +48,14 @@ def script_of(word: str) -> str:
     return next((name for name, ranges in SCRIPTS.items() if any(lo <= point <= hi for lo, hi in ranges)), "other")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in order, cut where the script changes and at PIECE letters."""
+    found = _WORD.findall(text)
+    if len(max(found, key=len, default="")) <= PIECE and not _BEYOND_LATIN.search(text):
+        return found
+    return [p for w in found for p in _PIECES.findall(w)]
+
+
 def grams(word: str) -> list[str]:
     marked = f"^{word.lower()}$"
     return [marked[i : i + n] for n in GRAM_SIZES for i in range(len(marked) - n + 1)]
@@ -53,11 +65,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         words: Counter = Counter()
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.update((lang, w) for w in _WORD.findall(text or ""))
+            words.update((lang, w) for w in words_of(text or ""))
         counts: Counter = Counter()
         for (lang, word), n in words.items():
             counts[lang, "s", script_of(word)] += n
-            for g in grams(word[:64]):
+            for g in grams(word):
                 counts[lang, "g", g] += n
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], pa.string()) for i in range(3)), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
@@ -107,7 +119,7 @@ class Words(dict):
         self.masks: list[np.ndarray] = []
 
     def __missing__(self, word: str) -> int:
-        marked, find, none = f"^{word[:64].lower()}$", self.index.get, len(self.index)
+        marked, find, none = f"^{word.lower()}$", self.index.get, len(self.index)
         for n in GRAM_SIZES:
             self.flat += [find(marked[i : i + n], none) for i in range(len(marked) - n + 1)]
         self.ends.append(len(self.flat))
@@ -131,7 +143,7 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
     """
     alone = np.array([scores[t].sum(0) for t in texts]).reshape(len(texts), -1)
     single = alone.max(1, initial=-np.inf) >= -penalty
-    result = [np.full(len(t), a.argmax() if s else 0, np.int8) for t, a, s in zip(texts, alone, single, strict=True)]
+    result = [np.full(len(t), a.argmax() if s else 0, np.int16) for t, a, s in zip(texts, alone, single, strict=True)]
     order = sorted(np.flatnonzero(~single).tolist(), key=lambda i: -len(texts[i]))
     sizes = np.array([len(texts[i]) for i in order])
     longest = int(sizes.max(initial=0))
@@ -146,9 +158,9 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
         best = v.argmax(1)
         moved = v[np.arange(k), best][:, None] - penalty
         stay = v >= moved
-        back.append(np.where(stay, np.arange(scores.shape[1], dtype=np.int8), best.astype(np.int8)[:, None]))
+        back.append(np.where(stay, np.arange(scores.shape[1], dtype=np.int16), best.astype(np.int16)[:, None]))
         value[:k] = np.where(stay, v, moved) + scores[flat[starts[:k] + t]]
-    label, out = value.argmax(1), np.empty(len(flat), np.int8)
+    label, out = value.argmax(1), np.empty(len(flat), np.int16)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         out[starts[:k] + t] = label[:k]
@@ -158,11 +170,14 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
     return result
 
 
-def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
+def _spans(text: str, words: list[str], labels: np.ndarray, langs: list[str]) -> list[dict]:
     turns = np.flatnonzero(np.diff(labels)) + 1
     if not len(turns):
         return [{"start": 0, "end": len(text), "lang": langs[labels[0]]}]
-    begins = [m.start() for m in _WORD.finditer(text)]
+    begins, at = [], 0
+    for word in words:
+        begins.append(text.index(word, at))  # only other characters lie between
+        at = begins[-1] + len(word)
     cuts = [0, *(begins[t] for t in turns), len(text)]
     return [{"start": a, "end": b, "lang": langs[labels[t]]} for a, b, t in zip(cuts, cuts[1:], [0, *turns], strict=False)]
 
@@ -181,7 +196,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], penalty: flo
             if not learned.langs:
                 found = [(UNKNOWN, 0.0, [])] * len(texts)
             else:
-                cut = [_WORD.findall(t) for t in texts]
+                cut = [words_of(t) for t in texts]
                 rows_of = [np.fromiter(map(words.__getitem__, c), np.int64, len(c)) for c in cut]
                 labels = viterbi(rows_of, words.scores(), penalty)
                 found = []
@@ -191,7 +206,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], penalty: flo
                         continue
                     letters = np.bincount(own, np.fromiter(map(len, c), np.int64, len(c)), len(learned.langs))
                     top = int(letters.argmax())
-                    found.append((learned.langs[top], float(letters[top] / letters.sum()), _spans(text, own, learned.langs)))
+                    found.append((learned.langs[top], float(letters[top] / letters.sum()), _spans(text, c, own, learned.langs)))
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], _SPANS),
             ], names=[*keep, "lang_pred", "score", "spans"])
