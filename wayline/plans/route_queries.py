@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
 from wayline.operators import routes as R
+from wayline.operators.ordered import first_wins
 from wayline.operators.trips import select_routes
 from wayline.plans.base import TRACK, edge_values, inside_cte, km, query, r6, region_edges, table, track, with_ctes
 from wayline.plans.path_queries import _split_sql
 from wayline.plans.trip_queries import CALL, FALL, ROUTE, TRIP, feeds, gtfs
+from wayline.session import cut_lineage
 
 FEEDCOL = """f AS (SELECT *, CASE feed WHEN 'f1' THEN 'amtrak' ELSE CASE kind WHEN 2 THEN 'commuter' WHEN 3 THEN 'bus' ELSE 'ferry' END END AS grp, CAST(route_id AS BIGINT) AS k FROM sel)"""
 
@@ -82,8 +84,10 @@ def _gtfs_with_shapes(spark, sf):
     return g
 
 
-def _assembled(spark, sf):
+def _assembled(spark, sf, roads=None):
     g = _gtfs_with_shapes(spark, sf)
+    if roads is not None:
+        return R.assemble_routes(g, feeds(spark), region_edges(spark), roads)
     none = spark.createDataFrame([], "segment string, points array<struct<lng:double,lat:double>>")
     return R.assemble_routes(g, feeds(spark), region_edges(spark), none)
 
@@ -120,6 +124,31 @@ def assembled_routes(spark, sf):
     return f.select("route", "grp", "color", "agency", "name", "provider", F.array_join("regions", ",").alias("regions"), "geometry_accuracy", "source_url")
 
 
+# road geometry is cached for the gaps whose western end has an even hundredth of longitude
+COVERED = "floor(abs(least(lng, pl)) * 100 + 0.5)::BIGINT % 2 = 0"
+REPAIRED = [p.replace("(kind != 3 OR leg_km <= 20)", f"(kind != 3 OR leg_km <= 20 OR {COVERED})") for p in ASSEMBLED]
+
+
+def _cached_roads(missing):
+    """A road for every covered gap: both ends, and a point beside the first."""
+    end = lambda token: F.struct(*[F.split(token, ",")[i].cast("double").alias(n) for i, n in enumerate(("lng", "lat"))])
+    rows = missing.select("segment", end(F.col("from_token")).alias("a"), end(F.col("to_token")).alias("b"))
+    even = F.floor(F.abs(F.least("a.lng", "b.lng")) * 100 + 0.5) % 2 == 0
+    beside = F.struct((F.col("a.lng") + 0.00001).alias("lng"), F.col("a.lat").alias("lat"))
+    return first_wins(rows.where(even).select("segment", F.array("a", beside, "b").alias("points")), ["segment"], ["points"])
+
+
+@query("GEO07 GEO04 JN18 PRJ17", with_ctes(*REPAIRED, f"""mended AS (SELECT DISTINCT feed, route_id FROM aleg WHERE kind = 3 AND leg_km > 20 AND {COVERED})""", f"""
+SELECT feed || ':' || route_id AS route, coalesce(regions, CASE WHEN feed IN ('f1', 'f3') THEN 'ct,ma' ELSE 'vt' END) AS regions, CASE WHEN m.feed IS NOT NULL THEN 'approximate' END AS geometry_accuracy,
+ CASE WHEN m.feed IS NOT NULL THEN '{V.ROAD_GEOMETRY_PROVIDER}' END AS geometry_provider, CASE WHEN m.feed IS NOT NULL THEN '{V.ROAD_NOTE}' END AS geometry_note
+FROM f JOIN drawn USING (feed, route_id) LEFT JOIN regs USING (feed, route_id) LEFT JOIN mended m USING (feed, route_id)""".replace("m.feed IS NOT NULL", "(feed, route_id) IN (SELECT (feed, route_id) FROM mended)").replace(" LEFT JOIN mended m USING (feed, route_id)", "")))
+def assembled_repaired_routes(spark, sf):
+    """Route features whose gaps meet a road cache: mended routes say that their geometry is approximate."""
+    roads = cut_lineage(_cached_roads(_assembled(spark, sf)["missing"]))
+    f = _assembled(spark, sf, roads)["features"]
+    return f.select("route", F.array_join("regions", ",").alias("regions"), "geometry_accuracy", "geometry_provider", "geometry_note")
+
+
 def _kept_points(kinds: str, chord: float | None) -> str:
     pt = f"pt AS MATERIALIZED (SELECT path, ix, lng, lat FROM bp WHERE {kinds})"
     return with_ctes(pt, _split_sql(V.SIMPLIFY_TOLERANCE_DEG, chord), "SELECT path, ix, lng, lat FROM pt WHERE EXISTS (SELECT 1 FROM span s WHERE s.path = pt.path AND (s.lo = pt.ix OR s.hi = pt.ix))", recursive=True)
