@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,44 @@ def staged(df: DataFrame, compression: str = "zstd", block_bytes: int = 128 << 2
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _collected:
+        _collected[-1].append(out)
     return out
 
 
+_collected: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[DataFrame]]:
+    """The tables that are staged inside, for whoever knows when they are not read any more."""
+    _collected.append([])
+    try:
+        yield _collected[-1]
+    finally:
+        _collected.pop()
+
+
+def _folders_read(df: DataFrame) -> list[str] | None:
+    """The folders that ``df`` is read from; null where its plan does not tell."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            out += leaf.relation().location().rootPaths().mkString("\n").split("\n")
+        elif kind not in ("LocalRelation", "Range", "OneRowRelation"):
+            return None
+    return out
+
+
+def discard_unread(tables: list[DataFrame], reader: DataFrame) -> None:
+    """Deletes those of the staged tables of this session that ``reader`` is not made from."""
+    read = _folders_read(reader) if tables else []
+    if read is not None:
+        discard(*[t for t in tables if t.sparkSession is reader.sparkSession and not any(f.endswith(t.staged_path.rsplit("/", 1)[-1]) for f in read)])
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more: whatever was made from them has been staged itself."""
     for df in tables:

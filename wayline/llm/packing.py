@@ -127,7 +127,8 @@ def _pack(path: str):
             keys = batch.column(0).to_pylist()
             for key, raw in zip(keys, encoder(path, END_ID).encode(batch.column(1).to_pylist()), strict=True):
                 wide = np.frombuffer(raw, "<u4")
-                doc = (key, wide.astype(np.uint16), len(wide) // WINDOW * WINDOW)
+                narrow = np.uint16 if wide.max(initial=0) < 1 << 16 else np.uint32
+                doc = (key, wide.astype(narrow), len(wide) // WINDOW * WINDOW)
                 if doc[2] and not packer.filled:
                     for start in range(0, doc[2], WINDOW):
                         packer.piece(doc, start, WINDOW)
