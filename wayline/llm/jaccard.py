@@ -83,7 +83,8 @@ def _full_sets(words: int):
 def _sharing(signatures: DataFrame, threshold: int) -> DataFrame:
     """(text_number) of one text of each set that passes step 1."""
     sets = signatures.filter("n_shingles > 0")
-    lists = sets.select("node", F.explode("head").alias("token"))
+    # dealt once: counting and joining read the same shuffle
+    lists = sets.select("node", F.explode("head").alias("token")).repartition("token")
     shared = lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
     counted = lists.join(shared, "token").distinct().groupBy("node").agg(F.count("*").alias("shared"))
     one = sets.groupBy("node").agg(F.min("text_number").alias("text_number"), F.first("n_shingles").alias("n"))
@@ -95,7 +96,7 @@ def _sharing(signatures: DataFrame, threshold: int) -> DataFrame:
 
 def _ordered(sets: DataFrame, threshold: int) -> DataFrame:
     """(node, n, rare, tokens): shingles that other sets have too, rare first, of sets that share enough; ``rare``: how many are their own."""
-    lists = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    lists = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")
     df = lists.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     kept = lists.join(df, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     return kept.withColumn("rare", F.col("n") - F.size("tokens")).filter(F.col("rare") <= absent_column(F.col("n"), threshold))
@@ -109,10 +110,14 @@ def _prefix(spare: int, threshold: int) -> Column:
 def boundary(ordered: DataFrame, threshold: int) -> int:
     """Largest light size: where subsets of lighter sets, and lists of heavier ones with the scans they cause, cost least together.
 
-    A subset is a row to shuffle and to join, as is a place in a list; an entry passed in a scan costs far less. The costs are summed by size class, a table of at most some hundred rows whatever the input.
+    A subset is a row to shuffle and to join, as is a place in a list; an entry passed in a scan costs far less. What subsets save is
+    scanning partners that have one shingle of the prefix in common and no second: those that its most frequent shingle brings beyond
+    the next one; sets of a group of near copies, or with a passage in common, meet and are scanned either way. The costs are summed by size class, a table of at most some hundred rows whatever the input.
     """
     pairs = F.size(_prefix(2, threshold)).cast("double")
-    scan = F.aggregate(_prefix(1, threshold), F.lit(0.0), lambda a, t: a + t["df"].cast("double") + F.lit(ROW_COST))
+    one = _prefix(1, threshold)
+    brought = lambda place: F.coalesce(F.try_element_at(one, F.lit(place))["df"], F.lit(0))
+    scan = F.size(one) * F.lit(ROW_COST) + (brought(-1) - brought(-2)).cast("double")
     size_class = F.floor(F.log2("n") * 8).cast("int").alias("k")
     costs = ordered.groupBy(size_class).agg(F.max("n").alias("n"), F.sum(pairs * (pairs - 1) / 2 * F.lit(ROW_COST)).alias("subsets"), F.sum(scan).alias("lists")).orderBy("k").collect()
     best, at, light = sum(r["lists"] for r in costs), 0, 0.0
@@ -151,7 +156,13 @@ def forest(sizes: np.ndarray, ends: np.ndarray, tokens: np.ndarray, copies: np.n
     for i in range(n_left):
         own = ranks[starts[i] : ends[i]]
         spans = [lists[a:b] for a, b in zip(bounds[own], bounds[own + 1], strict=True)]
-        others, common = np.unique(np.concatenate(spans) if spans else np.empty(0, np.int64), return_counts=True)
+        met = np.concatenate(spans) if spans else np.empty(0, np.int64)
+        if 8 * len(met) < n:  # few of many sets
+            others, common = np.unique(met, return_counts=True)
+        else:
+            common = np.bincount(met, minlength=n)
+            others = np.flatnonzero(common)
+            common = common[others]
         near = others[100 * common >= threshold * (sizes[others] + sizes[i] - common)]
         if not both:
             near = near[near > i]
