@@ -186,3 +186,27 @@ def test_malformed_stream_goes_on(spark, tmp_path):
     live.split_malformed(source, S.AIRCRAFT_MESSAGE, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/good")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out/dead")).first().payload == "{broken"
+
+
+def test_sessions_match_arrival_order(spark, tmp_path):
+    """The table of sessions gives the states of the keyed stream without a Python call per vessel, from messages out of order."""
+    rows = messages(240)
+    rng = random.Random(2)
+    rows = [(m + 100, *r[:1], True, None, None, r[4], None, None, r[7]) if m == 3 else (m, *r) for m, *r in rows]
+    arrival = sorted(rows, key=lambda r: r[1] + rng.randint(0, 3_500_000_000))
+    table = vessels.vessel_table(spark, str(tmp_path / "table"))
+    sessions = vessels.VesselSessions(table, str(tmp_path / "sessions"), late_s=3600)
+    for i in range(4):
+        sessions.step(spark.createDataFrame(arrival[i * 60 : (i + 1) * 60], MESSAGE), "q", i)
+    sessions.step(spark.createDataFrame(arrival[180:], MESSAGE), "q", 3)  # runs again
+    end, state = max(r[1] for r in rows), plain_state(rows, 600_000_000)
+    got = {tuple(r) for r in table.read().select("mmsi", "lng", "name", "ship_type", "at_us").collect()}
+    assert got == {s for s in state if s[4] >= end - 3_600_000_000 - 600_000_000}
+    assert len(sessions.folder.names("q")) == 1
+
+
+def test_replayed_vessels_need_no_python_per_vessel(spark, monkeypatch):
+    from wayline.plans.base import REGISTRY
+
+    monkeypatch.setattr(vessels, "vessel_stream", None)
+    assert REGISTRY["vessels_streamed"].run(spark, "/root/testdata/sf0.001").count() > 0

@@ -128,23 +128,18 @@ def _arrivals(rows, at_us, folder, part_s=PART_S):
 
 @query("SS01 SS02", with_ctes(FIX, MANY, FOLD, f"""SELECT *, at_us >= {CLOCK} - {PRUNE}000000 AS present FROM ({FOLDED}) WHERE at_us >= {CLOCK} - {PRUNE + PART_S}000000"""))
 def vessels_streamed(spark, sf):
-    """Messages replayed part by part through the keyed state into the upsert table; ``present`` by the clock of the last message.
+    """Messages replayed part by part through the table of sessions into the upsert table; ``present`` by the clock of the last message.
 
     The stream ends and starts again from its checkpoint for every part. Within a part messages come in any order, which is the lateness;
     vessels silent for longer than that and the prune time have been taken out of the table.
     """
-    folder, rocks = f"{scratch_folder(spark)}/{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(rocks)
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     sent = vessel_messages(spark, sf, F.col("entity") * 10 + F.col("id") % 10)
     table = vessels.vessel_table(spark, f"{folder}/table")
-    vessels.use_rocksdb(spark)
-    try:
-        for _ in _arrivals(sent, F.col("at_us"), f"{folder}/in"):
-            arriving = spark.readStream.schema("at_us bigint, payload string").option("maxBytesPerTrigger", live.MOST_BYTES).parquet(f"{folder}/in/part=*")
-            changed = vessels.vessel_stream(vessel_rows(arriving, "at_us"), late=f"{PART_S} seconds", prune_s=PRUNE)
-            table.start(changed, f"{folder}/cp", mode="update").awaitTermination()
-    finally:
-        spark.conf.set(rocks, before)
+    sessions = vessels.VesselSessions(table, f"{folder}/sessions", late_s=PART_S, prune_s=PRUNE)
+    for _ in _arrivals(sent, F.col("at_us"), f"{folder}/in"):
+        arriving = spark.readStream.schema("at_us bigint, payload string").option("maxBytesPerTrigger", live.MOST_BYTES).parquet(f"{folder}/in/part=*")
+        sessions.start(vessel_rows(arriving, "at_us"), f"{folder}/cp").awaitTermination()
     end = sent.agg(F.max("at_us")).first()[0]
     now = table.read().select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
     return now.withColumn("present", F.col("at_us") >= F.lit(end) - F.lit(PRUNE * 1_000_000))

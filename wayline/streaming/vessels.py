@@ -11,13 +11,14 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayline import fixed_values as V
-from wayline.operators.ordered import OrderedScan, time_chunk
-from wayline.streaming.upserts import VERSION, UpsertTable
+from wayline.operators.ordered import OrderedScan, last_wins, time_chunk
+from wayline.streaming.upserts import VERSION, Folder, UpsertTable, query_of
 
 # message row: mmsi, at_us, is_static, lng, lat, name, sog, heading, ship_type
 STATE = "lng double, lat double, name string, sog double, heading double, ship_type double, at_us bigint"
@@ -193,6 +194,93 @@ def vessel_table(spark: SparkSession, path: str) -> UpsertTable:
     return UpsertTable(spark, path, ["mmsi"], [VERSION, "at_us", "gone"], f"{OUTPUT}, gone boolean", deleted="gone")
 
 
+HELD = """mmsi bigint, start bigint, end bigint, first double, fields struct<lng:double,lat:double,name:string,sog:double,heading:double>,
+static struct<at:bigint,kind:double>, named struct<at:bigint,name:string>, touched boolean"""
+
+
+class VesselSessions:
+    """The rules of ``vessel_stream`` for many vessels: every micro-batch folds its messages into a table of sessions, without Python per vessel.
+
+    A row is a session, a static message that no position precedes yet (``start`` is null) or the newest time seen so far (``mmsi`` is null).
+    Micro-batch ``n`` reads the table of the one before and writes its own before the sink publishes, so a micro-batch that runs again gives
+    the same tables. Sessions that nothing on time can reach leave the table, which holds the vessels of the lateness and the prune time.
+    """
+
+    def __init__(self, sink: UpsertTable, path: str, late_s: float, prune_s: float = V.VESSEL_PRUNE_S):
+        self.sink, self.spark, self.path = sink, sink.spark, path.rstrip("/")
+        self.late_us, self.prune_us = int(late_s * 1_000_000), int(prune_s * 1_000_000)
+        self.folder = Folder(self.spark, path)
+
+    def _held(self, query: str, batch: int) -> tuple[DataFrame, int | None]:
+        """Table of the micro-batch before ``batch`` and the newest time that it has seen."""
+        before = [int(n) for n in self.folder.names(query) if int(n) < batch]
+        if not before:
+            return self.spark.createDataFrame([], HELD), None
+        held = self.spark.read.schema(HELD).parquet(f"{self.path}/{query}/{max(before):020d}")
+        return held, held.agg(F.max(F.greatest("end", "static.at"))).first()[0]
+
+    def _reachable(self, seen: int | None) -> Column:
+        """Rows that messages from the watermark on can still change; all of a vessel that was taken out are not."""
+        if seen is None:
+            return F.lit(True)
+        watermark = F.lit(seen - self.late_us)
+        return F.when(F.col("start").isNull(), F.col("static.at") >= watermark).otherwise(F.col("end") + self.prune_us >= watermark)
+
+    def _folded(self, held: DataFrame, messages: DataFrame) -> DataFrame:
+        """Sessions and waiting static messages of ``held`` and ``messages``."""
+        static, at = F.col("is_static"), F.col("at_us")
+        types = {f.name: f.dataType for f in self.spark.createDataFrame([], HELD).schema.fields}
+        new = messages.select(
+            "mmsi", F.when(~static, at).alias("start"), F.when(~static, at).alias("end"), F.when(~static, F.col("ship_type")).alias("first"),
+            F.when(~static, F.struct("lng", "lat", "name", "sog", "heading")).alias("fields"),
+            F.when(static, F.struct(at.alias("at"), F.col("ship_type").alias("kind"))).alias("static"),
+            F.when(static & F.col("name").isNotNull(), F.struct(at.alias("at"), F.col("name").alias("name"))).alias("named"), F.lit(True).alias("touched"),
+        ).select(*[F.col(n).cast(t).alias(n) for n, t in types.items()])
+        rows = held.where(F.col("mmsi").isNotNull()).withColumn("touched", F.lit(False)).unionByName(new)
+        track = Window.partitionBy("mmsi").orderBy(F.coalesce("start", "static.at"), F.col("start").isNull())
+        position = F.col("start").isNotNull()
+        rows = rows.withColumn("_before", F.max("end").over(track.rowsBetween(Window.unboundedPreceding, -1)))
+        fresh = F.coalesce(F.coalesce("start", "static.at") - F.col("_before") <= self.prune_us, F.lit(False))
+        begun = F.max(F.when(position & ~fresh, F.col("start"))).over(track.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        # static messages that wait stay rows of their own
+        rows = rows.withColumns({"_session": F.when(position | fresh, begun), "_waits": F.when(~position & ~fresh, F.col("static.at"))})
+        return rows.groupBy("mmsi", "_session", "_waits").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first", "start").alias("first"), F.max_by("fields", "end").alias("fields"),
+            F.max_by("static", "static.at").alias("static"), F.max_by("named", "named.at").alias("named"), F.max("touched").alias("touched"),
+        ).drop("_session", "_waits")
+
+    def step(self, messages: DataFrame, query: str, batch: int) -> None:
+        """Folds one micro-batch and publishes its changes; nothing happens where it is published already."""
+        if self.sink.published(query, batch):
+            return
+        held, seen = self._held(query, batch)
+        late = F.lit(True) if seen is None else F.col("at_us") >= F.lit(seen - self.late_us)
+        rows = self._folded(held.where(self._reachable(seen)), messages.where(late & F.col("mmsi").isNotNull()))
+        clock = self.spark.range(1).select(*[(F.lit(seen) if f.name == "end" else F.lit(None)).cast(f.dataType).alias(f.name) for f in held.schema.fields])
+        rows.unionByName(clock).write.mode("overwrite").parquet(f"{self.path}/{query}/{batch:020d}")
+        held, seen = self._held(query, batch + 1)
+        self.sink.write(self._changes(held, seen), query, batch)
+        for old in self.folder.names(query):
+            if int(old) < batch:
+                self.folder.delete(f"{query}/{old}")
+
+    def _changes(self, held: DataFrame, seen: int | None) -> DataFrame:
+        """Newest row of the vessels that sent something, or ``gone`` for those that the watermark has left behind."""
+        last = last_wins(held.where(F.col("start").isNotNull()).withColumn("gone", ~self._reachable(seen)), ["mmsi"], ["start"])
+        renamed = F.coalesce(F.col("named.at") > F.col("end"), F.lit(False))
+        return last.where(F.col("touched") | F.col("gone")).select(
+            "mmsi", "fields.lng", "fields.lat", F.when(renamed, F.col("named.name")).otherwise(F.col("fields.name")).alias("name"), "fields.sog", "fields.heading",
+            F.when(F.col("static").isNotNull(), F.col("static.kind")).otherwise(F.col("first")).alias("ship_type"), F.col("end").alias("at_us"), "gone",
+        )
+
+    def start(self, messages: DataFrame, checkpoint: str) -> StreamingQuery:
+        """The stream that keeps the sink; what has arrived is processed and the query ends."""
+        def step(batch: DataFrame, number: int) -> None:
+            self.step(batch, query_of(batch), number)
+
+        return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def present(vessels: DataFrame, now_us: Column, prune_s: float = V.VESSEL_PRUNE_S) -> DataFrame:
     """Vessels of the table that the clock has not left behind; the table itself lags by the lateness."""
     return vessels.where(F.col("at_us") >= now_us - F.lit(int(prune_s * 1_000_000)))
