@@ -200,3 +200,21 @@ def test_box_runs_number_only_kept_runs(spark):
     pts = long_form(spark, {"p": [inn, out, inn, inn, out, inn, inn, inn]})
     rows = P.runs_in_box(P.path_scan(pts, chunk=F.floor(F.col("ix") / 3)), box).orderBy("ix").collect()
     assert [(r.ix, r.run) for r in rows] == [(2, 1), (3, 1), (5, 2), (6, 2), (7, 2)]
+
+
+def test_polylines_are_decoded_in_slices():
+    """No pass over a batch holds the digits of all its texts; a text beyond the code is null beside its neighbours."""
+    import pyarrow as pa
+
+    from wayline.operators import polyline
+
+    seen, whole = [], polyline._decode_texts
+    texts = ["_p~iF~ps|U_ulLnnqC_mqNvxq`@", None, "", "_p~iF一~ps|U", "_p~iF"] * 20_000
+    polyline._decode_texts = lambda part: seen.append(sum(len(t or "") for t in part)) or whole(part)
+    try:
+        got = polyline._decode_batch(pa.array(texts))
+    finally:
+        polyline._decode_texts = whole
+    line = [{"lng": -120.2, "lat": 38.5}, {"lng": -120.95, "lat": 40.7}, {"lng": -126.453, "lat": 43.252}]
+    assert got.slice(0, 5).to_pylist() == [line, None, [], None, None] and got.slice(99_995).to_pylist() == got.slice(0, 5).to_pylist()
+    assert len(got) == len(texts) and max(seen) <= polyline.SLICE_BYTES

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 POINTS_TYPE = T.ArrayType(T.StructType([T.StructField("lng", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 
 
-def _decode_batch(texts: pd.Series) -> list[list[dict[str, float]] | None]:
-    """Decode a whole Arrow batch in one pass over its concatenated bytes.
+SLICE_BYTES = 1 << 18  # of the texts whose digits are held as numbers at a time
+
+
+def _decode_texts(texts: list[str | None]) -> pa.Array:
+    """Decode texts in one pass over their concatenated bytes.
 
     A text that ends inside a number, has an odd count of numbers, or holds a byte that the code does not have is null; its
-    neighbours in the batch are not touched. A number has at most 12 digits of five bits.
+    neighbours are not touched. A number has at most 12 digits of five bits.
     """
-    raw = [t.encode("latin-1", "replace") if t is not None else b"" for t in texts]
+    raw = [t.encode() if t is not None else b"" for t in texts]
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - 63
     borders = np.cumsum(sizes)
@@ -36,22 +39,26 @@ def _decode_batch(texts: pd.Series) -> list[list[dict[str, float]] | None]:
     values = np.add.reduceat((codes & 31) << np.minimum(5 * run, 60), starts) if len(ends) else codes
     deltas = np.where(values & 1, ~(values >> 1), values >> 1)
     counts = np.bincount(row[ends], minlength=len(raw)) if len(ends) else np.zeros(len(raw), dtype=np.int64)
-    broken |= counts % 2 == 1
-    out: list[list[dict[str, float]] | None] = []
-    at = 0
-    for n, text, bad in zip(counts, texts, broken):
-        if text is None or bad:
-            out.append(None)
-        else:
-            pair = deltas[at : at + n].reshape(-1, 2).cumsum(axis=0) / 1e5
-            out.append([{"lng": x, "lat": y} for y, x in pair.tolist()])
-        at += n
-    return out
-
-
-@F.pandas_udf(POINTS_TYPE)
-def decode_polyline(encoded: pd.Series) -> pd.Series:
-    return pd.Series(_decode_batch(encoded), index=encoded.index)
+    broken |= (counts % 2 == 1) | np.array([t is None for t in texts], dtype=bool)
+    numbers = deltas[np.repeat(~broken, counts)].reshape(-1, 2)
+    points = np.where(broken, 0, counts // 2)
+    offsets = np.concatenate([[0], np.cumsum(points)])
+    run_up = np.concatenate([np.zeros((1, 2), dtype=np.int64), numbers.cumsum(axis=0)])
+    pair = (run_up[1:] - np.repeat(run_up[offsets[:-1]], points, axis=0)) / 1e5
+    lat_lng = pa.StructArray.from_arrays([pa.array(pair[:, 1]), pa.array(pair[:, 0])], names=["lng", "lat"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lat_lng, mask=pa.array(broken))
+
+
+def _decode_batch(texts: pa.Array) -> pa.Array:
+    """Slice by slice, since a digit takes many times its byte while it is decoded; points never become Python objects."""
+    rows = max(1, SLICE_BYTES * len(texts) // max(1, texts.nbytes))
+    pieces = [_decode_texts(texts.slice(at, rows).to_pylist()) for at in range(0, max(1, len(texts)), rows)]
+    return pa.concat_arrays(pieces)
+
+
+@F.arrow_udf(POINTS_TYPE)
+def decode_polyline(encoded: pa.Array) -> pa.Array:
+    return _decode_batch(encoded)
 
 
 def _encode_delta(delta: Column) -> Column:
