@@ -95,3 +95,14 @@ def test_round_trip(kind):
     message = R.decode(HEADER + VEHICLE + TRIP + ALERT, fields)
     assert R.decode(R.encode(message, fields), fields) == message
     assert R.decode(b"", fields) == {"header": None, "entity": []}
+
+
+def test_batches_are_read_in_slices():
+    """However many rows a batch has, few of them and few bytes are Python objects at a time; a long message comes alone."""
+    import pyarrow as pa
+
+    from wayline.sources import realtime
+
+    sizes = lambda contents: [s.num_rows for s in realtime._slices(pa.RecordBatch.from_pydict({"content": contents}), "content")]
+    assert max(sizes([b"x"] * 10_000)) <= realtime.SLICE_ROWS and sum(sizes([b"x"] * 10_000)) == 10_000
+    assert sizes([b"x" * realtime.SLICE_BYTES] * 5) == [1] * 5 and sizes([]) == []
