@@ -156,3 +156,15 @@ def test_malformed_payload_is_kept_apart(spark):
     parsed = M.parse(df, S.AIRCRAFT_MESSAGE)
     assert M.good(parsed).where("m is not null").count() == 1
     assert [r.payload for r in M.dead_letters(parsed).collect()] == ["{broken"]
+
+
+def test_missing_roads_draw_nothing_and_legs_are_cut_once(spark, monkeypatch):
+    from wayline.operators import routes
+    from wayline.plans.base import REGISTRY
+
+    made, legs = [], routes.route_legs
+    monkeypatch.setattr(routes, "route_legs", lambda *a: made.append(1) or legs(*a), raising=False)
+    REGISTRY["assembled_repaired_routes"].run(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    monkeypatch.setattr(routes, "simplify", None)
+    assert REGISTRY["assembled_missing"].run(spark, "/root/testdata/sf0.001").count() > 0

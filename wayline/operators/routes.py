@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline import fixed_values as V
 from wayline.functions.text import non_empty, route_label, source_url
 from wayline.operators.normalise import decode
-from wayline.operators.ordered import last_wins
+from wayline.operators.ordered import OrderedScan, last_wins
 from wayline.operators.paths import distinct_paths, ordered_points, path_scan, runs_in_box, segments
 from wayline.operators.regions import assign_regions, ordered_regions, path_regions
 from wayline.operators.repair import missing_gaps, repair_legs
@@ -65,17 +67,25 @@ def supplement_properties(features: DataFrame) -> DataFrame:
     )
 
 
-def assemble_routes(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFrame, roads: DataFrame) -> dict[str, DataFrame]:
-    """Route features of all feeds.
+@dataclass(frozen=True)
+class RouteLegs:
+    """Points and legs of all routes before roads are known; kept as tables, so that missing roads and drawings share them."""
 
-    ``gtfs``: tables with a ``feed`` column (and ``row_ix`` on trips); ``feeds``: the registry with ``id``
-    renamed ``feed``; ``roads``: valid cached road geometry. Returns ``features`` (one row per route),
-    ``paths`` (long form, one numbered point per row) and ``missing`` (long gaps without geometry).
-    """
+    routes: DataFrame
+    source_regions: DataFrame
+    rounded: DataFrame
+    legs: OrderedScan
+
+
+KEYS = ["feed", "route_id", "path"]
+
+
+def route_legs(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFrame) -> RouteLegs:
+    """``gtfs``: tables with a ``feed`` column (and ``row_ix`` on trips); ``feeds``: the registry with ``id`` renamed ``feed``."""
+    keys = KEYS
     routes = select_routes(gtfs["routes"], feeds)
     shaped = shape_points(gtfs["shapes"], route_shapes(gtfs["trips"], routes))
     bare = fallback_points(gtfs["stop_times"], gtfs["stops"], fallback_trips(gtfs["trips"], routes))
-    keys = ["feed", "route_id", "path"]
     raw = shaped.unionByName(bare)
     scan = path_scan(raw, keys, ["seq", "lng", "lat"]).extend(position="ix").settle()
     runs = runs_in_box(scan).withColumns(
@@ -87,10 +97,28 @@ def assemble_routes(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFra
     rules = routes.select("feed", "route_id", "kind", F.coalesce("require_region_match", F.lit(False)).alias("required"))
     kept = runs.join(rules, ["feed", "route_id"]).join(source_regions, keys, "left")
     kept = kept.where(~F.col("required") | F.col("found").isNotNull()).drop("found", "required")
-    rounded = kept.withColumns({"lng": F.round("lng", 5), "lat": F.round("lat", 5)})
-
+    rounded = cut_lineage(kept.withColumns({"lng": F.round("lng", 5), "lat": F.round("lat", 5)}))
     legs = segments(path_scan(rounded.where(F.col("kind") == 3).select(*keys, "ix", "lng", "lat"), keys)).settle()
-    gaps = legs.df.where(F.col("leg_km") > V.MAX_CHORD_KM)
+    return RouteLegs(routes, source_regions, rounded, legs)
+
+
+def missing_roads(prepared: RouteLegs, roads: DataFrame) -> DataFrame:
+    """Long gaps without geometry; draws nothing."""
+    gaps = prepared.legs.df.where(F.col("leg_km") > V.MAX_CHORD_KM)
+    return missing_gaps(gaps, roads).select(*KEYS, "from_token", "to_token", "segment")
+
+
+def assemble_routes(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFrame, roads: DataFrame) -> dict[str, DataFrame]:
+    """Route features of all feeds, from the tables of ``route_legs`` and ``roads``, valid cached road geometry.
+
+    Returns ``features`` (one row per route), ``paths`` (long form, one numbered point per row) and ``missing`` (long gaps without geometry).
+    """
+    return draw_routes(route_legs(gtfs, feeds, edges), edges, roads)
+
+
+def draw_routes(prepared: RouteLegs, edges: DataFrame, roads: DataFrame) -> dict[str, DataFrame]:
+    """``assemble_routes`` from prepared legs."""
+    keys, routes, source_regions, rounded, legs = KEYS, prepared.routes, prepared.source_regions, prepared.rounded, prepared.legs
     repaired = cut_lineage(repair_legs(legs, roads))
     approximate = repaired.where("repaired").select("feed", "route_id").distinct().withColumn("approximate", F.lit(True))
     pieces = repaired.withColumn("path", F.concat_ws("/", "path", F.col("piece").cast("string")))
@@ -116,7 +144,7 @@ def assemble_routes(gtfs: dict[str, DataFrame], feeds: DataFrame, edges: DataFra
     )
     return {
         "features": route_properties(described), "paths": paths,
-        "missing": missing_gaps(gaps, roads).select(*keys, "from_token", "to_token", "segment"),
+        "missing": missing_roads(prepared, roads),
     }
 
 

@@ -84,12 +84,16 @@ def _gtfs_with_shapes(spark, sf):
     return g
 
 
-def _assembled(spark, sf, roads=None):
-    g = _gtfs_with_shapes(spark, sf)
-    if roads is not None:
-        return R.assemble_routes(g, feeds(spark), region_edges(spark), roads)
-    none = spark.createDataFrame([], "segment string, points array<struct<lng:double,lat:double>>")
-    return R.assemble_routes(g, feeds(spark), region_edges(spark), none)
+def _legs(spark, sf):
+    return R.route_legs(_gtfs_with_shapes(spark, sf), feeds(spark), region_edges(spark))
+
+
+def _no_roads(spark):
+    return spark.createDataFrame([], "segment string, points array<struct<lng:double,lat:double>>")
+
+
+def _assembled(spark, sf):
+    return R.draw_routes(_legs(spark, sf), region_edges(spark), _no_roads(spark))
 
 
 ASSEMBLED = [
@@ -144,8 +148,9 @@ SELECT feed || ':' || route_id AS route, coalesce(regions, CASE WHEN feed IN ('f
 FROM f JOIN drawn USING (feed, route_id) LEFT JOIN regs USING (feed, route_id) LEFT JOIN mended m USING (feed, route_id)""".replace("m.feed IS NOT NULL", "(feed, route_id) IN (SELECT (feed, route_id) FROM mended)").replace(" LEFT JOIN mended m USING (feed, route_id)", "")))
 def assembled_repaired_routes(spark, sf):
     """Route features whose gaps meet a road cache: mended routes say that their geometry is approximate."""
-    roads = cut_lineage(_cached_roads(_assembled(spark, sf)["missing"]))
-    f = _assembled(spark, sf, roads)["features"]
+    legs = _legs(spark, sf)
+    roads = cut_lineage(_cached_roads(R.missing_roads(legs, _no_roads(spark))))
+    f = R.draw_routes(legs, region_edges(spark), roads)["features"]
     return f.select("route", F.array_join("regions", ",").alias("regions"), "geometry_accuracy", "geometry_provider", "geometry_note")
 
 
@@ -172,7 +177,7 @@ def assembled_paths(spark, sf):
 SELECT DISTINCT feed, route_id, printf('%.5f,%.5f', pl, pa) AS from_token, printf('%.5f,%.5f', lng, lat) AS to_token FROM aleg WHERE kind = 3 AND leg_km > 20"""))
 def assembled_missing(spark, sf):
     """Bus gaps above the chord limit that no cached road geometry covers."""
-    return _assembled(spark, sf)["missing"].select("feed", "route_id", "from_token", "to_token").distinct()
+    return R.missing_roads(_legs(spark, sf), _no_roads(spark)).select("feed", "route_id", "from_token", "to_token").distinct()
 
 
 @query("FLT17", with_ctes(ROUTE, """
