@@ -54,6 +54,28 @@ def test_fold_matches_arrival_order(spark, width_s):
     assert {tuple(r) for r in folded.select("mmsi", "lng", "name", "ship_type", "at_us").collect()} == plain_state(rows, 600_000_000)
 
 
+@pytest.mark.parametrize("prune_s", [1, 90, 600, 7200, 10**6])
+def test_fold_reads_few_spans_and_sorts_none_of_its_messages(spark, prune_s):
+    rows = [r for seed in range(3) for r in [(r[0] + 10 * seed, *r[1:]) for r in messages(300)][seed * 7 :]]
+    random.Random(prune_s).shuffle(rows)
+    # a vessel with static messages alone, and messages without a vessel or a time
+    rows += [(99, 1_700_000_000_000_000 + i, True, None, None, "Alpha", None, None, 1.0) for i in range(3)]
+    sent = spark.createDataFrame([*rows, (None, *rows[0][1:]), (rows[0][0], None, *rows[0][2:])], MESSAGE)
+    got = lambda df: {tuple(r) for r in df.select("mmsi", "lng", "name", "ship_type", "at_us").collect()}
+    want, end = plain_state(sorted(rows, key=lambda r: r[1]), prune_s * 1_000_000), max(r[1] for r in rows)
+    folded = vessels.fold_vessels(sent, prune_s)
+    assert got(folded) == want
+    assert got(vessels.fold_vessels(sent, prune_s, now_us=F.lit(end))) == {s for s in want if end - s[4] <= prune_s * 1_000_000}
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    windows = [n.output().mkString(" ") for n in nodes(folded._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and not any("lng" in w or "is_static" in w for w in windows)
+
+
 def test_stream_matches_fold(spark, tmp_path):
     rows = messages(240)
     rng = random.Random(2)

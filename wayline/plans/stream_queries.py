@@ -30,17 +30,21 @@ FOLDED = """SELECT pos.mmsi, pos.lng, CASE WHEN nam.at_us > pos.at_us THEN nam.n
 FROM pos JOIN fst USING (mmsi) LEFT JOIN sta USING (mmsi) LEFT JOIN nam USING (mmsi)"""
 
 
+def _parsed_messages(spark, sf):
+    """Parsed once: the fold reads its rows twice, the clock once more."""
+    return cut_lineage(vessel_rows(vessel_messages(spark, sf), "at_us"))
+
+
 @query("SS01", with_ctes(FIX, VMSG, FOLD, FOLDED))
 def vessel_fold(spark, sf):
-    rows = vessel_rows(vessel_messages(spark, sf), "at_us")
-    return vessels.fold_vessels(rows, prune_s=PRUNE).select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
+    return vessels.fold_vessels(_parsed_messages(spark, sf), prune_s=PRUNE).select("mmsi", "lng", "name", "heading", "ship_type", "at_us")
 
 
 CLOCK = "(SELECT max(at_us) FROM vm)"
 
 
 def _clocked(spark, sf):
-    rows = vessel_rows(vessel_messages(spark, sf), "at_us")
+    rows = _parsed_messages(spark, sf)
     end = rows.agg(F.max("at_us")).first()[0]
     return vessels.fold_vessels(rows, prune_s=PRUNE, now_us=F.lit(end))
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayline import fixed_values as V
-from wayline.operators.ordered import OrderedScan, last_wins, time_chunk
+from wayline.operators.ordered import last_wins
 from wayline.streaming.upserts import VERSION, Folder, UpsertTable, query_of
 
 # message row: mmsi, at_us, is_static, lng, lat, name, sog, heading, ship_type
@@ -28,32 +28,45 @@ OUTPUT = f"mmsi bigint, {STATE}"
 def fold_vessels(messages: DataFrame, prune_s: float = V.VESSEL_PRUNE_S, chunk: Column | None = None, now_us: Column | None = None) -> DataFrame:
     """State of every vessel after all its messages; ``at_us`` must be unique per vessel.
 
-    ``now_us`` is the clock at the end: vessels that are silent for longer than the prune time by then are forgotten too.
+    Only the last session of a vessel counts, and no session ends inside a span as long as the prune time: the ends of the positions in
+    each span tell where it begins. Then at most four spans of a vessel are read again. ``messages`` are thus read twice; ``chunk`` cuts
+    spans finer. ``now_us`` is the clock at the end: vessels that are silent for longer than the prune time by then are forgotten too.
     """
-    prune_us = F.lit(int(prune_s * 1_000_000))
-    scan = OrderedScan(messages, ["mmsi"], ["at_us"], time_chunk("at_us") if chunk is None else chunk)
-    position = ~F.col("is_static")
-    scan = scan.extend(max_before={"_prev": F.when(position, F.col("at_us"))})
-    fresh = F.coalesce(F.col("at_us") - F.col("_prev") <= prune_us, F.lit(False))
-    scan = scan.extend(running_max={"_session": F.when(position & ~fresh, F.col("at_us"))})
-    rows = scan.df.where(position | fresh)
-    state = F.struct("lng", "lat", "sog", "heading", "name", "at_us", "_session")
-    static = F.struct("_session", "at_us", "name", "ship_type")
-    when_static = F.when(F.col("is_static"), F.col("at_us"))
-    folded = rows.groupBy("mmsi").agg(
-        F.max_by(state, F.when(position, F.col("at_us"))).alias("p"),
-        F.max_by("ship_type", F.when(position, F.struct(F.col("_session"), -F.col("at_us")))).alias("first_type"),
-        F.max_by(static, when_static).alias("s"),
-        F.max_by(F.col("name"), F.when(F.col("is_static") & F.col("name").isNotNull(), F.col("at_us"))).alias("static_name"),
-        F.max(F.when(F.col("is_static") & F.col("name").isNotNull(), F.col("at_us"))).alias("static_name_at"),
+    prune_us = int(prune_s * 1_000_000)
+    at, static = F.col("at_us"), F.col("is_static")
+    keys = ["mmsi", "_span", *(["_cut"] if chunk is not None else [])]
+    rows = messages.withColumn("_span", at - F.pmod(at, F.lit(max(prune_us, 1)))).where(F.col("mmsi").isNotNull() & at.isNotNull())
+    if chunk is not None:
+        rows = rows.withColumn("_cut", chunk).where(F.col("_cut").isNotNull())
+    # numbers alone, so the fold keeps no rows and sorts none
+    spans = rows.groupBy(*keys).agg(
+        F.min(F.when(~static, at)).alias("_first"), F.max(F.when(~static, at)).alias("_last"),
+        F.min(F.when(static, at)).alias("_static"), F.min(F.when(static & F.col("name").isNotNull(), at)).alias("_named"),
+    )
+    over = Window.partitionBy("mmsi").orderBy(*keys[1:])
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.max("_last").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_joined", F.coalesce(F.col("_first") - before <= prune_us, F.lit(False)))
+    spans = spans.withColumns({"_session": F.max(F.when(~F.col("_joined"), F.col("_first"))).over(whole), "_until": F.max("_last").over(whole) + prune_us})
+    newest = lambda c: F.max(F.when(F.col(c) <= F.col("_until"), F.col(c))).over(whole)
+    spans = spans.withColumns({"_static_from": newest("_static"), "_named_from": newest("_named")}).where(
+        (F.col("_first") == F.col("_session")) | (F.col("_last") + prune_us == F.col("_until"))
+        | (F.col("_static") == F.col("_static_from")) | (F.col("_named") == F.col("_named_from"))
     )
-    enriched = F.coalesce(F.col("s._session") == F.col("p._session"), F.lit(False))
-    renamed = F.coalesce(F.col("static_name_at") > F.col("p.at_us"), F.lit(False))
     if now_us is not None:
-        folded = folded.where(F.col("p.at_us") >= now_us - prune_us)
+        spans = spans.where(F.col("_until") >= now_us)
+    when_position, when_static = F.when(~static, at), F.when(static, at)
+    when_named = F.when(F.col("name").isNotNull(), when_static)
+    folded = rows.join(spans.select(*keys, "_session", "_until"), keys).where(at.between(F.col("_session"), F.col("_until"))).groupBy("mmsi").agg(
+        F.max_by(F.struct("lng", "lat", "sog", "heading", "name", "at_us"), when_position).alias("p"),
+        F.min_by("ship_type", when_position).alias("first_type"),
+        F.max_by(F.struct("ship_type"), when_static).alias("s"),
+        F.max_by("name", when_named).alias("static_name"), F.max(when_named).alias("static_name_at"),
+    )
+    renamed = F.coalesce(F.col("static_name_at") > F.col("p.at_us"), F.lit(False))
     return folded.select(
         "mmsi", "p.lng", "p.lat", F.when(renamed, F.col("static_name")).otherwise(F.col("p.name")).alias("name"), "p.sog", "p.heading",
-        F.when(enriched, F.col("s.ship_type")).otherwise(F.col("first_type")).alias("ship_type"), "p.at_us",
+        F.when(F.col("s").isNotNull(), F.col("s.ship_type")).otherwise(F.col("first_type")).alias("ship_type"), "p.at_us",
     )
 
 
