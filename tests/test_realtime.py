@@ -58,6 +58,24 @@ def test_quoted_numbers_and_bad_leaves(spark):
     assert got == {"q": (1_700_000_000, 5, 42.5), "bad": (1_700_000_000, None, None)}
 
 
+def test_a_number_in_quotes_is_read_and_converted_once(spark):
+    vehicle = lambda n, **p: {"id": n, "vehicle": {"timestamp": p.pop("at", 7), "position": p, "trip": {"routeId": p.pop("route", "r")}}}
+    entities = [
+        vehicle("n/a", latitude="n/a", longitude=-71.5, at="soon"), vehicle("text", latitude=" 42.5 ", longitude="1e2", bearing="", at="5"), vehicle("plain", latitude=42, longitude=-71.25, speed=3),
+        vehicle("far", latitude="Infinity", longitude="NaN", at="NaN"), vehicle("name", latitude=1.5, longitude=2.5, route='"speed":"x"'), {"id": "none", "vehicle": None}, {"id": "bare", "vehicle": {"timestamp": None}},
+    ]
+    sent = [{"header": {"timestamp": 9}, "entity": entities}, *[{"header": {"timestamp": 9}, "entity": [e]} for e in entities]]
+    text = spark.createDataFrame([("f", "A", json.dumps(m)) for m in sent], "feed string, agency string, payload string")
+    read = M.vehicle_entities(text)
+    place = lambda r: r["vehicle"]["position"] and tuple(r["vehicle"]["position"])
+    got = sorted((r["id"], r["vehicle"]["timestamp"], place(r)) for r in read.collect())
+    want = [("bare", None, None), ("far", None, (None, None, None, None)), ("n/a", None, (None, -71.5, None, None)), ("name", 7, (1.5, 2.5, None, None)), ("plain", 7, (42.0, -71.25, None, 3.0)), ("text", 5, (42.5, 100.0, None, None))]
+    assert got == sorted(want * 2, key=lambda w: w[0])
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    # five numbers of an entity and the clock of the header, which a projection evaluates once; the first reading leaves out what it cannot read
+    assert plan.count("trim(") <= 7 and "RLIKE" in plan
+
+
 def test_damage_goes_to_the_dead_letters(spark):
     whole = HEADER + VEHICLE
     cases = {

@@ -9,14 +9,19 @@ from wayline import fixed_values as V
 
 
 def finite(x: Column) -> Column:
-    """Double, with NaN and the infinities as null."""
+    """Double, with NaN and the infinities as null; NaN is above infinity in comparisons."""
     d = x.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
+
+
+def number_of(text: Column) -> Column:
+    """Double from text, NaN and the infinities included; blank and unparseable text is null."""
+    return F.trim(text.cast("string")).try_cast("double")
 
 
 def safe_number(text: Column) -> Column:
     """Finite double from text; blank and unparseable text is null."""
-    return finite(F.trim(text.cast("string")).try_cast("double"))
+    return finite(number_of(text))
 
 
 def clean_number(text: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline import schemas as S
-from wayline.functions.numbers import safe_number
+from wayline.functions.numbers import finite, number_of, safe_number
 
 CORRUPT = "_corrupt"
+QUOTED_NUMBER = r'"(?:latitude|longitude|bearing|speed|timestamp)"\s*:\s*"'  # a number of a vehicle message given as text
 
 
 def read_messages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -48,22 +49,29 @@ def vehicle_entities(messages: DataFrame) -> DataFrame:
     """Vehicle entities of position messages; ``messages`` carries ``feed`` and ``agency``.
 
     A message is read with numbers as numbers; only where that fails is it read again with its leaves as text, so that one bad value makes
-    one field null and not the message.
+    one field null and not the message. A failed reading costs several good ones, so messages with a number in quotes are read as text at once.
     """
     def read(schema: str) -> Column:
         return F.from_json("payload", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
-    def typed(e: Column) -> Column:
+    axes = ("latitude", "longitude", "bearing", "speed")
+
+    def entity(e: Column, number, stamp) -> Column:
         v = e["vehicle"]
-        position = F.when(v["position"].isNotNull(), F.struct(*[safe_number(v["position"][c]).alias(c) for c in ("latitude", "longitude", "bearing", "speed")]))
-        vehicle = F.struct(safe_number(v["timestamp"]).cast("bigint").alias("timestamp"), position.alias("position"), v["trip"].alias("trip"), v["vehicle"].alias("vehicle"))
+        position = F.when(v["position"].isNotNull(), F.struct(*[number(v["position"][c]).alias(c) for c in axes]))
+        vehicle = F.struct(stamp(v["timestamp"]).alias("timestamp"), position.alias("position"), v["trip"].alias("trip"), v["vehicle"].alias("vehicle"))
         return F.struct(e["id"].alias("id"), F.when(v.isNotNull(), vehicle).alias("vehicle"))
 
-    rows = once(messages.select("feed", "agency", "payload"), read(S.VEHICLE_NUMBERS).alias("n"))
+    def typed(entities: Column) -> Column:  # in two steps, since a function of elements computes a text's number anew for every use of it
+        numbers = F.transform(entities, lambda e: entity(e, number_of, number_of))
+        return F.transform(numbers, lambda e: entity(e, finite, lambda x: finite(x).cast("bigint")))
+
+    quoted = F.coalesce(F.rlike("payload", F.lit(QUOTED_NUMBER)), F.lit(False))
+    rows = once(messages.select("feed", "agency", "payload"), F.when(~quoted, read(S.VEHICLE_NUMBERS)).alias("n"))
     clean = F.col("n").isNotNull() & F.col(f"n.{CORRUPT}").isNull()
     rows = once(rows, F.when(~clean, read(S.VEHICLE_MESSAGE)).alias("t"))
     whole = F.when(F.col(f"t.{CORRUPT}").isNull(), F.col("t.entity"))
-    entities = F.when(clean, F.col("n.entity")).otherwise(F.transform(whole, typed))
+    entities = F.when(clean, F.col("n.entity")).otherwise(typed(whole))
     stamp = F.when(clean, F.col("n.header.timestamp")).otherwise(safe_number(F.col("t.header.timestamp")).cast("bigint"))
     return _vehicles(rows.select("feed", "agency", stamp.alias("header_timestamp"), F.explode(entities).alias("e")))
 
