@@ -82,3 +82,20 @@ def test_rows_by_their_headers(spark, tmp_path):
     got = {tuple(r) for r in L.gtfs_folder(spark, str(tmp_path), "stops").select("feed", "row_ix", "stop_id", "stop_name").collect()}
     assert got == {("a", 0, "1", "Main\nStreet"), ("a", 1, "2", 'say "hi"'), ("b", 0, "3", None)}
     assert L.gtfs_folder(spark, str(tmp_path), "stops", "nothing.txt").count() == 0
+
+
+def test_headers_are_carried_with_the_rows(spark):
+    records = [("a", 1, "x,y", 1), ("a", 2, "1,2", 1), ("a", 1_000_000, None, 5), ("a", 1_000_003, "3,4", 2), ("a", 3_000_000, '"5",', 1), ("b", 0, "y, x ,x", 1), ("b", 9, "1,2,3", 1), ("c", 0, None, 9), ("d", 0, "x", 1)]
+    rows = R.headed_rows(spark.createDataFrame(records, "file string, record bigint, text string, lines bigint"), ["x", "y", "z"])
+    want = {("a", 0, "1", "2", None), ("a", 1, "3", "4", None), ("a", 2, "5", None, None), ("b", 0, "3", "1", None)}
+    assert {tuple(r) for r in rows.collect()} == want
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    plan = list(nodes(rows._jdf.queryExecution().optimizedPlan()))
+    dealt = [[a.split("#")[0] for a in n.output().mkString(" ").split()] for n in plan if n.nodeName() == "RepartitionByExpression"]
+    # records are used by the scan alone, whose two uses deal the same columns and so share one exchange
+    assert sum(n.children().size() == 0 for n in plan) == 2 and len(dealt) == 2 and dealt[0] == dealt[1] and "lines" not in dealt[0]

@@ -98,12 +98,12 @@ def fields(text: Column) -> Column:
 
 def headed_rows(found: DataFrame, columns: list[str]) -> DataFrame:
     """(file, row_ix, columns...): values by the names in each file's first record; rows are numbered from 0, empty values are null."""
-    found = found.where(F.col("text").isNotNull())
-    first = found.groupBy("file").agg(F.min_by("text", "record").alias("header"), F.min("record").alias("head"))
-    names = first.select("file", "head", F.transform(fields(F.col("header")), lambda n: F.trim(n)).alias("names"))  # a row per file
-    body = found.join(names, "file").where(F.col("record") > F.col("head"))
+    # the header is carried over the blocks of its file, so the records are put together and exchanged once: without other columns the scan shares it
+    found = found.where(F.col("text").isNotNull()).select("file", "record", "text")
+    scan = OrderedScan(found, ["file"], ["record"], F.floor(F.col("record") / 1_000_000))
+    numbered = scan.extend(first={"_header": F.col("text"), "_head": F.col("record")}, position="_place").df.where(F.col("record") > F.col("_head"))
+    body = numbered.withColumn("row_ix", F.col("_place") - 1).withColumn("names", F.transform(fields(F.col("_header")), lambda n: F.trim(n)))
     # the last of equal names wins, values without a name are dropped
     pairs = F.filter(F.arrays_zip(F.col("names").alias("k"), fields(F.col("text")).alias("v")), lambda p: p["k"].isNotNull())
     value = lambda c: F.nullif(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("_pairs", lambda p: p["k"] == c), lambda p: p["v"])), -1), F.lit(""))
-    numbered = OrderedScan(body, ["file"], ["record"], F.floor(F.col("record") / 1_000_000)).extend(position="row_ix").df
-    return numbered.withColumn("_pairs", pairs).select("file", "row_ix", *[value(c).alias(c) for c in columns])
+    return body.withColumn("_pairs", pairs).select("file", "row_ix", *[value(c).alias(c) for c in columns])
