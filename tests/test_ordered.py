@@ -72,3 +72,17 @@ def test_last_and_first_wins(spark):
     df = spark.createDataFrame([("a", 1, 2, "x"), ("a", 2, 1, "y"), ("b", 1, 1, None)], "k string, probe int, pos int, v string")
     assert {tuple(r) for r in last_wins(df, ["k"], ["probe", "pos"]).select("k", "v").collect()} == {("a", "y"), ("b", None)}
     assert {tuple(r) for r in first_wins(df, ["k"], ["probe", "pos"]).select("k", "v").collect()} == {("a", "x"), ("b", None)}
+
+
+def test_rows_dealt_into_a_given_number_of_parts_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from wayline.operators import paths, repair
+
+    cache = spark.createDataFrame([(f"s{i}", [(0.0, 0.0)] * 7) for i in range(9)] + [("none", None)], "segment string, points array<struct<lng:double,lat:double>>")
+    assert repair.road_partitions(cache, 3) == max(21, spark.sparkContext.defaultParallelism)
+    points = cache.select("segment", F.posexplode("points").alias("ix", "p")).select("segment", "ix", F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat"))
+    metrics = lambda n: paths.loop_metrics(paths.path_scan(points, ["segment"], partitions=n))
+    plan = metrics(21)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, metrics(21).collect())) == sorted(map(tuple, metrics(None).collect()))

@@ -29,11 +29,15 @@ def block_chunk(ix: str, size: int = 65_536) -> Column:
 
 
 class OrderedScan:
-    """``chunk`` must not decrease along ``order``; ``order`` must be unique per key. Rows without a key are dropped."""
+    """``chunk`` must not decrease along ``order``; ``order`` must be unique per key. Rows without a key are dropped.
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, _prepared: bool = False):
+    ``partitions`` fixes the number of parts of the exchange and merges the carry there, for rows that take many times their stored
+    size in memory: Spark may take them for small, join them by broadcast and sort all of them in a few tasks.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, _prepared: bool = False, partitions: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        self._chunk = chunk
+        self._chunk, self._partitions = chunk, partitions
         if _prepared:
             self._rows = df
         else:
@@ -41,7 +45,7 @@ class OrderedScan:
             df = df.withColumn(CHUNK, chunk)
             for c in [*self.keys, CHUNK]:
                 df = df.where(F.col(c).isNotNull())
-            self._rows = df.repartition(*[F.col(k) for k in self.keys], F.col(CHUNK))
+            self._rows = df.repartition(*([partitions] if partitions else []), *[F.col(k) for k in self.keys], F.col(CHUNK))
 
     @property
     def df(self) -> DataFrame:
@@ -62,7 +66,7 @@ class OrderedScan:
         return self._next(cut_lineage(self._rows))
 
     def _next(self, rows: DataFrame) -> OrderedScan:
-        return OrderedScan(rows, self.keys, self.order, self._chunk, _prepared=True)
+        return OrderedScan(rows, self.keys, self.order, self._chunk, _prepared=True, partitions=self._partitions)
 
     def extend(
         self,
@@ -167,7 +171,7 @@ class OrderedScan:
         local = {f"_l_{n}": F.sum(F.when(is_inner, term(e)).otherwise(F.lit(0))).over(upto) for n, e in sums.items()}
         local |= {f"_l_{n}": F.max(F.when(is_inner, e)).over(upto) for n, e in maxes.items()}
         local |= {f"_l_{n}": F.max(F.when(is_inner, e)).over(earlier) for n, e in befores.items()}
-        rows = (rows.withColumns(local) if local else rows).join(carry, group)
+        rows = (rows.withColumns(local) if local else rows).join(carry.hint("merge") if self._partitions else carry, group)
 
         result = {n: F.when(F.col("_rn") == 1, F.col(f"_c_{n}")).otherwise(F.col(n)) for n in lag}
         result |= {n: F.when(F.col("_final"), F.col(f"_c_{n}")).otherwise(F.col(n)) for n in lead}

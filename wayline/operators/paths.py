@@ -15,9 +15,9 @@ POINT = ("lng", "lat")
 
 
 def path_scan(
-    points: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = ("ix",), chunk: Column | None = None
+    points: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = ("ix",), chunk: Column | None = None, partitions: int | None = None
 ) -> OrderedScan:
-    return OrderedScan(points, keys, order, block_chunk(order[0]) if chunk is None else chunk)
+    return OrderedScan(points, keys, order, block_chunk(order[0]) if chunk is None else chunk, partitions=partitions)
 
 
 def _leg_km() -> Column:

@@ -36,13 +36,19 @@ def key_points(segment: Column) -> Column:
     return F.when(number[0].isNotNull() & number[1].isNotNull() & number[2].isNotNull() & number[3].isNotNull(), pair)
 
 
-def validate_roads(cache: DataFrame, signature_controls: str | None = None) -> DataFrame:
+def road_partitions(cache: DataFrame, points: int = 250_000) -> int:
+    """Parts of the exchange of all points of ``cache`` with about as many ``points`` each: a point repeats its long segment key."""
+    total = cache.agg(F.sum(F.greatest(F.size("points"), F.lit(0)))).first()[0] or 0
+    return max(cache.sparkSession.sparkContext.defaultParallelism, -(-total // points))
+
+
+def validate_roads(cache: DataFrame, signature_controls: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``routed_km``, ``direct_km`` and ``errors`` to every cached segment."""
     pts = F.col("points")
     long_form = cache.select("segment", F.posexplode("points").alias("ix", "p")).select(
         "segment", "ix", F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat")
     )
-    loops = loop_metrics(path_scan(long_form, ["segment"]))
+    loops = loop_metrics(path_scan(long_form, ["segment"], partitions=partitions))
     rows = cache.join(loops, "segment", "left")
     ends = key_points(F.col("segment"))
     tokens = F.transform(pts, lambda p: token(p["lng"], p["lat"]))
@@ -183,13 +189,13 @@ def audit_steps(steps: DataFrame) -> DataFrame:
     )
 
 
-def audit_cache(cache: DataFrame, controls_sha256: str) -> DataFrame:
+def audit_cache(cache: DataFrame, controls_sha256: str, partitions: int | None = None) -> DataFrame:
     """Integrity of stored road rows, as ``(segment, error)``.
 
     ``cache`` adds ``start``, ``end`` (points), ``distance_km``, ``direct_stored_km``, ``roads array<string>`` and
     ``ref_segments array<struct<distance_km, bbox array<double>>>`` to the columns of ``validate_roads``.
     """
-    rows = validate_roads(cache).drop("errors")
+    rows = validate_roads(cache, partitions=partitions).drop("errors")
     pts, ends = F.col("points"), key_points(F.col("segment"))
 
     def same(p: Column, q: Column) -> Column:
