@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.llm import components, decontaminate, jaccard, packing, pii, rans, repeats
+from wayline.llm import components, decontaminate, jaccard, packing, pii, queries, rans, repeats
 from wayline.llm.tokens import BYTE_BPE, WORD_BPE, WordEncoder, tokenizer_path
 
 ROWS = "doc_id long, text string"
@@ -135,6 +135,45 @@ def test_repeated_bytes(spark, most_places):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(rows, 20)
 
 
+def brute_passage_words(rows, words):
+    texts = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    count = Counter(tuple(w[i : i + words]) for w in texts for i in range(len(w) - words + 1))
+    out = []
+    for (key, _), w in zip(rows, texts, strict=True):
+        out.append((key, len({j for i in range(len(w) - words + 1) if count[tuple(w[i : i + words])] > 1 for j in range(i, i + words)})))
+    return sorted(out, key=str)
+
+
+def passage_rows(words):
+    """Texts of their own, some with a passage of up to 60 short words; other white space, a repeat in one text, near copies."""
+    rng = np.random.default_rng(8)
+    say = lambda n, k=5000: [f"{x:x}" for x in rng.integers(0, k, n)]
+    core = say(60)
+    rows = [(i, " ".join(say(int(rng.integers(0, 90))) + (core[: int(rng.integers(words - 5, 61))] if i % 2 else []) + say(int(rng.integers(0, 40))))) for i in range(30)]
+    own = say(words)
+    rows += [(100, "\t\n".join(core) + "  "), (101, " ".join([*own, "x", *own])), (102, "a " * 150), (103, "  "), (104, None), (105, ""), (None, " ".join(core)), (100, " ".join(core))]
+    return rows + [(106, " ".join(say(200))), (107, " ".join(say(words - 1))), *((200 + i, " ".join([*say(i), *core, *say(90 - i)])) for i in range(4))]
+
+
+@pytest.mark.parametrize(("words", "gram", "most_places"), [(51, 26, 20_000), (51, 26, 1), (8, 3, 20_000)])
+def test_repeated_words(spark, words, gram, most_places):
+    rows = passage_rows(words)
+    numbered = spark.createDataFrame(rows, ROWS).withColumn("text_number", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = repeats.repeated_words(spark.createDataFrame(rows, ROWS), words, gram, most_places)
+    got = numbered.join(found, "text_number", "left").select("doc_id", F.coalesce("n_passage_words", F.lit(0))).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_passage_words(rows, words)
+
+
+def test_op3_query_tells_passages_under_400_bytes(spark, tmp_path):
+    long = " ".join(f"longer{i}" for i in range(70))
+    rows = [*passage_rows(51), (300, "a " + long), (301, long + " b"), (302, long)]
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op3_run_length_index_dedup(spark, str(tmp_path)).collect()]
+    assert sorted((r[:5] for r in got), key=str) == brute_repeats(rows, 400)
+    assert sorted(((r[0], r[5]) for r in got), key=str) == brute_passage_words(rows, 51)
+    assert any(r[2] == 0 and r[5] > 50 for r in got) and any(r[2] > 0 for r in got)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.repeated_bytes(spark.createDataFrame([], ROWS)).count() == 0
 
