@@ -33,7 +33,7 @@ from wayline.llm.common import collecting, discard, slices, staged
 from wayline.llm.shingles import mixed
 
 LENGTH, GRAM = 400, 200
-WORDS, WORD_GRAM = 51, 26
+WORDS, WORD_GRAM = 51, 13
 MOST_PLACES, SHARD_BYTES = 20_000, 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -72,11 +72,25 @@ def byte_hashes(cut: bytes) -> np.ndarray:
     return _TABLE[np.frombuffer(cut, np.uint8)]
 
 
-def as_words(raw: bytes) -> bytes:
-    """The hash of every word, eight bytes each."""
+def laid_bytes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return byte_hashes(b"".join(raws)), np.cumsum([len(r) for r in raws])
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of words."""
     values = np.frombuffer(raw, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[values], [True])).astype(np.int8)))
-    return Hashes(_TABLE[values]).of(edges[::2], edges[1::2]).tobytes()
+    return edges[::2], Hashes(_TABLE[values]).of(edges[::2], edges[1::2])
+
+
+def as_words(raw: bytes) -> bytes:
+    """The hash of every word, eight bytes each."""
+    return _words(raw)[1].tobytes()
+
+
+def laid_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    starts, hashes = _words(b"\n".join([*raws, b""]))
+    return hashes, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
 
 
 def word_hashes(cut: bytes) -> np.ndarray:
@@ -84,43 +98,48 @@ def word_hashes(cut: bytes) -> np.ndarray:
 
 
 class Unit(NamedTuple):
-    """What a text is a sequence of: bytes of one symbol, a text's symbols one after the other, their hashes."""
+    """What a text is a sequence of: bytes of one symbol, a text's symbols one after the other, their hashes, hashes and ends of texts laid end to end."""
 
     width: int
     symbols: Callable[[bytes], bytes]
     hashes: Callable[[bytes], np.ndarray]
+    laid: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-BYTE, WORD = Unit(1, as_bytes, byte_hashes), Unit(8, as_words, word_hashes)
+BYTE, WORD = Unit(1, as_bytes, byte_hashes, laid_bytes), Unit(8, as_words, word_hashes, laid_words)
 
 
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     """Smallest of every ``w`` values in a row."""
-    n = len(values)
-    full = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    full[:n] = values
-    blocks = full.reshape(-1, w)
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[: n - w + 1], before[w - 1 : n])
+    least, size = values, 1
+    while 2 * size <= w:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    return np.minimum(least[: len(values) - w + 1], least[w - size :])
 
 
-def anchors(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, gram hashes, hashes of the surroundings) of the anchors of one text: in each window the smallest gram, the last of equals."""
+def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends among them, positions, gram hashes, hashes of the surroundings) of the anchors of texts laid end to end.
+
+    In each window of one text the smallest gram, the last of equals.
+    """
     if len(symbols) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.zeros(len(ends), np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     hashes, w, low = Hashes(symbols), length - gram + 1, np.uint64((1 << 24) - 1)
     starts = np.arange(len(symbols) - gram + 1)
     grams = hashes.of(starts, starts + gram)
+    first = np.concatenate(([0], ends[:-1]))
+    inside = np.repeat(ends, ends - first)[: len(symbols) - length + 1] - starts[: len(symbols) - length + 1] >= length
     found = []
     for at in range(0, len(grams) - w + 1, 1 << 23):  # the last bits of a key hold the place in a stretch
         part = grams[at : at + (1 << 23) + w - 1]
         keys = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64))
-        found.append(np.unique(low - (window_minima(keys, w) & low)).astype(np.int64) + at)
+        smallest = (low - (window_minima(keys, w) & low)).astype(np.int64)[inside[at : at + (1 << 23)]]
+        found.append(smallest[np.flatnonzero(np.diff(smallest, prepend=-1))] + at)
     position = np.unique(np.concatenate(found))
-    lo, hi = np.maximum(0, position - (length - gram)), np.minimum(len(symbols), position + length)
+    text = np.searchsorted(ends, position, "right")
+    lo, hi = np.maximum(first[text], position - (length - gram)), np.minimum(ends[text], position + length)
     around = hashes.of(lo, hi) + mixed((position - lo).astype(np.uint64))
-    return position, grams[position], around
+    return np.searchsorted(position, ends), position - first[text], grams[position], around
 
 
 def long_matches(regions: list[bytes] | list[np.ndarray], length: int) -> list[tuple[int, int, int]]:
@@ -184,14 +203,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _signatures(unit: Unit, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            symbols = [unit.symbols(r) for r in raws]
-            found = [anchors(unit.hashes(s), length, gram) for s in symbols]
-            offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[i] if i == 0 else _signed(f[i]) for f in found]).astype(kind))) for i, kind in enumerate((np.int32, np.int64, np.int64))]
+            symbols, ends = unit.laid(raws)
+            upto, position, grams, around = anchors(symbols, ends, length, gram)
+            offsets = pa.array(np.concatenate(([0], upto)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(f)) for f in (position.astype(np.int32), _signed(grams), _signed(around))]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(s) // unit.width for s in symbols], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), *lists,
+                batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), *lists,
             ], names=["doc_id", "text_number", "size", "sha256", "position", "anchor", "around"])
 
     return run
