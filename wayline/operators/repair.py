@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +39,22 @@ def key_points(segment: Column) -> Column:
 
 
 def road_partitions(cache: DataFrame, points: int = 250_000) -> int:
-    """Parts of the exchange of all points of ``cache`` with about as many ``points`` each: a point repeats its long segment key."""
+    """Parts of the exchange of all points of ``cache`` with about as many ``points`` each: a point repeats its keys."""
     total = cache.agg(F.sum(F.greatest(F.size("points"), F.lit(0)))).first()[0] or 0
     return max(cache.sparkSession.sparkContext.defaultParallelism, -(-total // points))
 
 
-def validate_roads(cache: DataFrame, signature_controls: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Add ``routed_km``, ``direct_km`` and ``errors`` to every cached segment."""
-    pts = F.col("points")
-    long_form = cache.select("segment", F.posexplode("points").alias("ix", "p")).select(
-        "segment", "ix", F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat")
+def validate_roads(cache: DataFrame, signature_controls: str | None = None, partitions: int | None = None, keys: Sequence[str] = ("segment",)) -> DataFrame:
+    """Add ``routed_km``, ``direct_km`` and ``errors`` to every cached segment.
+
+    ``keys`` must be unique in ``cache``: roads between the same end points have one segment key, and their points would form one path.
+    """
+    pts, keys = F.col("points"), list(keys)
+    long_form = cache.select(*keys, F.posexplode("points").alias("ix", "p")).select(
+        *keys, "ix", F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat")
     )
-    loops = loop_metrics(path_scan(long_form, ["segment"], partitions=partitions))
-    rows = cache.join(loops, "segment", "left")
+    loops = loop_metrics(path_scan(long_form, keys, partitions=partitions))
+    rows = cache.join(loops, keys, "left")
     ends = key_points(F.col("segment"))
     tokens = F.transform(pts, lambda p: token(p["lng"], p["lat"]))
     repeats = F.exists(
@@ -189,13 +194,15 @@ def audit_steps(steps: DataFrame) -> DataFrame:
     )
 
 
-def audit_cache(cache: DataFrame, controls_sha256: str, partitions: int | None = None) -> DataFrame:
-    """Integrity of stored road rows, as ``(segment, error)``.
+def audit_cache(
+    cache: DataFrame, controls_sha256: str, partitions: int | None = None, keys: Sequence[str] = ("segment",), least_points: int = 4
+) -> DataFrame:
+    """Integrity of stored road rows, as ``(*keys, error)``; ``keys`` as in ``validate_roads``.
 
     ``cache`` adds ``start``, ``end`` (points), ``distance_km``, ``direct_stored_km``, ``roads array<string>`` and
     ``ref_segments array<struct<distance_km, bbox array<double>>>`` to the columns of ``validate_roads``.
     """
-    rows = validate_roads(cache, partitions=partitions).drop("errors")
+    rows = validate_roads(cache, partitions=partitions, keys=keys).drop("errors")
     pts, ends = F.col("points"), key_points(F.col("segment"))
 
     def same(p: Column, q: Column) -> Column:
@@ -208,7 +215,7 @@ def audit_cache(cache: DataFrame, controls_sha256: str, partitions: int | None =
     first, final = _end(pts, 1), _end(pts, -1)
     direct = haversine_km(first["lng"], first["lat"], final["lng"], final["lat"])
     shaped = rows.withColumns({"_e": ends, "_legs": legs}).withColumns(
-        {"_ok": F.col("_e").isNotNull() & (F.size(pts) >= 4) & ~F.exists(pts, lambda p: finite(p["lng"]).isNull() | finite(p["lat"]).isNull()), "_d": direct}
+        {"_ok": F.col("_e").isNotNull() & (F.size(pts) >= least_points) & ~F.exists(pts, lambda p: finite(p["lng"]).isNull() | finite(p["lat"]).isNull()), "_d": direct}
     )
     d, routed = F.col("_d"), F.col("routed_km")
     back, down = F.col("backtracking_km") > F.greatest(F.lit(5.0), d * 0.08), F.col("max_drawdown_km") > F.greatest(F.lit(5.0), d * 0.03)
@@ -239,4 +246,4 @@ def audit_cache(cache: DataFrame, controls_sha256: str, partitions: int | None =
         (ok & (repeated | (back & down) | (excess & (back | down))), "loop or backtracking"),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in checks]))
-    return shaped.select("segment", F.explode(found).alias("error"))
+    return shaped.select(*keys, F.explode(found).alias("error"))
